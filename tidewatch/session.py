@@ -28,6 +28,7 @@ def local_session(cpus: int | str = 8, name: str = "tidewatch") -> SparkSession:
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
     )
     for key, value in RECOMMENDED.items():
