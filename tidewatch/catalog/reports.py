@@ -42,12 +42,18 @@ TOP_RISK = """top_risk AS (SELECT customer_id, geography, gender, age, balance,
 
 @query("rollup_hourly", on_predictions("SELECT * FROM hourly", HOURLY))
 def rollup_hourly(spark, folder):
-    return R.rollup_hourly(predictions(spark, folder))
+    return R.finish(_hours(spark, folder, score_facts(spark, folder)), R.HOUR)
+
+
+def _hours(spark, folder, facts):
+    """Hourly states; events are condensed per hour and customer before the join."""
+    states = R.customer_state(facts, R.hour_key())
+    return R.merge_states(with_attributes(spark, folder, states), R.HOUR)
 
 
 @query("rollup_daily", on_predictions("SELECT * FROM daily", DAILY))
 def rollup_daily(spark, folder):
-    return R.rollup_daily(predictions(spark, folder))
+    return R.daily_from_hourly(_hours(spark, folder, score_facts(spark, folder)))
 
 
 @query(
@@ -60,7 +66,7 @@ def rollup_daily(spark, folder):
 def rollup_previous_hour(spark, folder):
     as_of = latest_instant(spark, folder)
     facts = R.previous_hour(score_facts(spark, folder), as_of)
-    return R.rollup_hourly(with_attributes(spark, folder, facts))
+    return R.finish(_hours(spark, folder, facts), R.HOUR)
 
 
 @query("realtime_dashboard", on_predictions("SELECT * FROM dashboard", DASHBOARD))
@@ -69,8 +75,19 @@ def realtime_dashboard(spark, folder):
 
 
 def _geography(spark, folder):
+    month = R.last(score_facts(spark, folder), latest_instant(spark, folder), "30 DAYS")
+    states = with_attributes(spark, folder, R.customer_state(month))
+    return R.geography_rows(R.merge_states(states, "geography"))
+
+
+def _demographics(spark, folder):
+    states = with_attributes(spark, folder, R.customer_state(score_facts(spark, folder)))
+    return R.demographic_rows(R.merge_states(states, "gender", "geography"))
+
+
+def _risky_customers(spark, folder):
     as_of = latest_instant(spark, folder)
-    return R.geography_churn(predictions(spark, folder), as_of)
+    return with_attributes(spark, folder, R.riskiest_per_customer(score_facts(spark, folder), as_of)), as_of
 
 
 @query("geography_churn", on_predictions("SELECT * FROM by_geography", GEOGRAPHY))
@@ -87,7 +104,7 @@ def geography_churn(spark, folder):
     ),
 )
 def demographics(spark, folder):
-    return R.demographics(predictions(spark, folder))
+    return _demographics(spark, folder)
 
 
 def _rate_where(condition: str) -> str:
@@ -105,7 +122,7 @@ _FEMALE, _MALE = "gender = 'Female'", "gender = 'Male'"
     ),
 )
 def demographics_pivot(spark, folder):
-    return R.demographics_pivot(predictions(spark, folder))
+    return R.demographics_pivot(_demographics(spark, folder))
 
 
 @query(
@@ -120,7 +137,7 @@ def demographics_pivot(spark, folder):
     ),
 )
 def overall_kpis(spark, folder):
-    return R.overall_kpis(predictions(spark, folder))
+    return R.kpi_row(with_attributes(spark, folder, R.customer_state(score_facts(spark, folder))))
 
 
 _TABLES = [
@@ -256,7 +273,7 @@ def risk_segments_tracking(spark, folder):
     ),
 )
 def risk_bands(spark, folder):
-    top = R.top_risk_customers(predictions(spark, folder), latest_instant(spark, folder))
+    top = R.top_risk_customers(*_risky_customers(spark, folder))
     return R.risk_bands(top, "max_risk_score", R.BANDS_NOTEBOOK, None)
 
 
@@ -282,7 +299,7 @@ def risk_bands_dashboard(spark, folder):
     ),
 )
 def risk_histogram(spark, folder):
-    top = R.top_risk_customers(predictions(spark, folder), latest_instant(spark, folder))
+    top = R.top_risk_customers(*_risky_customers(spark, folder))
     return R.histogram(top, "max_risk_score", 0.7, 1.0, 20)
 
 
@@ -361,7 +378,7 @@ def prediction_summary(spark, folder):
 
 @query("top_risk_customers", on_predictions("SELECT * FROM top_risk", TOP_RISK))
 def top_risk_customers(spark, folder):
-    return R.top_risk_customers(predictions(spark, folder), latest_instant(spark, folder))
+    return R.top_risk_customers(*_risky_customers(spark, folder))
 
 
 @query(
@@ -376,7 +393,7 @@ def top_risk_customers(spark, folder):
     ),
 )
 def top_risk_customers_latest(spark, folder):
-    return R.top_risk_customers_latest(predictions(spark, folder), latest_instant(spark, folder))
+    return R.top_risk_customers_latest(*_risky_customers(spark, folder))
 
 
 @query(
@@ -387,7 +404,7 @@ def top_risk_customers_latest(spark, folder):
     ),
 )
 def top_risk_20(spark, folder):
-    return R.top_risk_customers(predictions(spark, folder), latest_instant(spark, folder), 20)
+    return R.top_risk_customers(*_risky_customers(spark, folder), 20)
 
 
 @query(

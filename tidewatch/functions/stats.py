@@ -90,39 +90,31 @@ def exact_quantiles(
     """
     counts = unpivoted(df, cols).groupBy("feature", "value").agg(F.count("*").alias("n"))
     bucketed = _bucketed(counts, ["feature"], buckets)
-    offsets = _bucket_offsets(bucketed, ["feature"], ["n"])
-    totals = W.partitionBy("feature")
-    ranks = offsets.withColumn("total", F.sum("n").over(totals)).select(
-        "feature",
-        "bucket",
-        "before_n",
-        "n",
-        "total",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.cast("bigint").alias("rank"))
-                    for i, p in enumerate(probs)
-                    for side, rank in (
-                        ("lo", F.floor((F.col("total") - 1) * F.lit(float(p)))),
-                        ("hi", F.ceil((F.col("total") - 1) * F.lit(float(p)))),
-                    )
-                ]
+    offsets = _bucket_offsets(bucketed, ["feature"], ["n"]).withColumn(
+        "total", F.sum("n").over(W.partitionBy("feature"))
+    )
+    wants = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.cast("bigint").alias("rank"))
+            for i, p in enumerate(probs)
+            for side, rank in (
+                ("lo", F.floor((F.col("total") - 1) * F.lit(float(p)))),
+                ("hi", F.ceil((F.col("total") - 1) * F.lit(float(p)))),
             )
-        ).alias("want"),
+        ]
     )
-    wanted = ranks.where(
-        (F.col("want.rank") >= F.col("before_n")) & (F.col("want.rank") < F.col("before_n") + F.col("n"))
-    ).select("feature", "bucket", "before_n", "total", "want.*")
-    needed = wanted.select("feature", "bucket").distinct()
-    # `wanted` has two rows per feature and probability.
-    inside = W.partitionBy("feature", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    ordered = bucketed.join(F.broadcast(needed), ["feature", "bucket"], "left_semi").withColumn(
-        "upto", F.sum("n").over(inside)
+    here = F.filter(
+        wants, lambda w: (w["rank"] >= F.col("before_n")) & (w["rank"] < F.col("before_n") + F.col("n"))
     )
-    hit = ordered.join(F.broadcast(wanted), ["feature", "bucket"]).where(
-        (F.col("rank") < F.col("before_n") + F.col("upto"))
-        & (F.col("rank") >= F.col("before_n") + F.col("upto") - F.col("n"))
+    # At most one row per wanted rank and feature name.
+    wanted = offsets.select("feature", "bucket", "before_n", "total", here.alias("wants")).where(F.size("wants") > 0)
+    inside = W.partitionBy("feature", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    hit = (
+        bucketed.join(F.broadcast(wanted), ["feature", "bucket"])
+        .withColumn("upto", F.col("before_n") + F.sum("n").over(inside))
+        .select("feature", "value", "n", "upto", "total", F.explode("wants").alias("w"))
+        .where((F.col("w.rank") < F.col("upto")) & (F.col("w.rank") >= F.col("upto") - F.col("n")))
+        .select("feature", "value", "total", F.col("w.i").alias("i"), F.col("w.side").alias("side"))
     )
 
     def quantile(i: int, p: float) -> Column:

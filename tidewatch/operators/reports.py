@@ -54,65 +54,101 @@ def above(df: DataFrame, threshold: float = HIGH_RISK, column: str = "risk_score
 
 # --- rollups ---------------------------------------------------------------
 
-_AVERAGED = ["risk_score", "age", "balance", "tenure"]
+# A rollup state holds sums and counts.  Unlike averages they can be merged, so
+# days come out of hours, and rows can be condensed before they are joined.
+_SCORES = ["risk_score", "probability"]
+_ATTRIBUTES = ["age", "balance", "tenure"]
 
 
-def rollup_state(df: DataFrame, key: Column, threshold: float = HIGH_RISK) -> DataFrame:
-    """Sums and counts per ``key``; unlike averages, they can be merged."""
-    return df.groupBy(key).agg(*state_columns(threshold))
-
-
-def state_columns(threshold: float = HIGH_RISK) -> list[Column]:
+def _score_states(threshold: float) -> list[Column]:
     return [
         F.count("*").alias("total_predictions"),
         F.sum(F.col("prediction").cast("bigint")).alias("churn_count"),
         count_if(F.col("risk_score") >= threshold).alias("high_risk_count"),
-        *[F.sum(F.col(c).cast("double")).alias(f"sum_{c}") for c in _AVERAGED],
-        *[F.count(c).alias(f"n_{c}") for c in _AVERAGED],
+        F.min("predicted_at").alias("first_prediction"),
+        F.max("predicted_at").alias("last_prediction"),
+        *[F.sum(c).alias(f"sum_{c}") for c in _SCORES],
+        *[F.count(c).alias(f"n_{c}") for c in _SCORES],
     ]
 
 
-def merge_states(states: DataFrame, key: Column) -> DataFrame:
-    return states.groupBy(key).agg(
-        *[
-            F.sum(c).alias(c)
-            for c in ["total_predictions", "churn_count", "high_risk_count"]
-            + [f"sum_{c}" for c in _AVERAGED]
-            + [f"n_{c}" for c in _AVERAGED]
-        ]
+def rollup_state(df: DataFrame, *keys, threshold: float = HIGH_RISK) -> DataFrame:
+    """State per ``keys`` of scored rows that carry the customer attributes."""
+    return df.groupBy(*keys).agg(
+        *_score_states(threshold),
+        *[F.sum(F.col(c).cast("double")).alias(f"sum_{c}") for c in _ATTRIBUTES],
+        *[F.count(c).alias(f"n_{c}") for c in _ATTRIBUTES],
     )
 
 
+def customer_state(df: DataFrame, *keys, threshold: float = HIGH_RISK) -> DataFrame:
+    """State per ``keys`` and customer, before the attributes are joined.
+
+    Joining these rows instead of the events shuffles one row per customer and
+    key; a customer that owns a third of the events is condensed on the map side.
+    """
+    return df.groupBy(*keys, "customer_id", "user_id").agg(*_score_states(threshold))
+
+
+def merge_states(states: DataFrame, *keys) -> DataFrame:
+    """Merge states; attribute columns that are still per customer are weighted by rows."""
+    merged = [
+        *[F.sum(c).alias(c) for c in ("total_predictions", "churn_count", "high_risk_count")],
+        F.min("first_prediction").alias("first_prediction"),
+        F.max("last_prediction").alias("last_prediction"),
+        *[F.sum(f"{kind}_{c}").alias(f"{kind}_{c}") for c in _SCORES for kind in ("sum", "n")],
+    ]
+    rows = F.col("total_predictions")
+    for c in _ATTRIBUTES:
+        if f"sum_{c}" in states.columns:
+            total, n = F.col(f"sum_{c}"), F.col(f"n_{c}")
+        else:
+            total, n = F.col(c) * rows.cast("double"), F.when(F.col(c).isNotNull(), rows).otherwise(0)
+        merged += [F.sum(total).alias(f"sum_{c}"), F.sum(n).alias(f"n_{c}")]
+    return states.groupBy(*keys).agg(*merged)
+
+
+def _mean(c: str, places: int) -> Column:
+    return rounded(F.try_divide(F.col(f"sum_{c}"), F.col(f"n_{c}")), places)
+
+
+def _churn_rate() -> Column:
+    return share(F.col("churn_count"), F.col("total_predictions"))
+
+
 def finish(states: DataFrame, key: str) -> DataFrame:
     """The published metric row of a rollup state."""
-    def mean(c: str, places: int) -> Column:
-        return rounded(F.try_divide(F.col(f"sum_{c}"), F.col(f"n_{c}")), places)
-
     return states.select(
         key,
         "total_predictions",
         "churn_count",
-        share(F.col("churn_count"), F.col("total_predictions")).alias("churn_rate"),
-        mean("risk_score", 4).alias("avg_risk_score"),
+        _churn_rate().alias("churn_rate"),
+        _mean("risk_score", 4).alias("avg_risk_score"),
         "high_risk_count",
-        mean("age", 1).alias("avg_age"),
-        mean("balance", 2).alias("avg_balance"),
-        mean("tenure", 1).alias("avg_tenure"),
+        _mean("age", 1).alias("avg_age"),
+        _mean("balance", 2).alias("avg_balance"),
+        _mean("tenure", 1).alias("avg_tenure"),
     )
 
 
-def hourly_state(df: DataFrame, threshold: float = HIGH_RISK) -> DataFrame:
-    return rollup_state(df, hour_of(F.col("predicted_at")).alias("hour_timestamp"), threshold)
+HOUR = "hour_timestamp"
+
+
+def hour_key() -> Column:
+    return hour_of(F.col("predicted_at")).alias(HOUR)
 
 
 def rollup_hourly(df: DataFrame, threshold: float = HIGH_RISK) -> DataFrame:
-    return finish(hourly_state(df, threshold), "hour_timestamp")
+    return finish(rollup_state(df, hour_key(), threshold=threshold), HOUR)
+
+
+def daily_from_hourly(states: DataFrame) -> DataFrame:
+    return finish(merge_states(states, F.to_date(HOUR).alias("date")), "date")
 
 
 def rollup_daily(df: DataFrame, threshold: float = HIGH_RISK) -> DataFrame:
     """Daily metrics out of the hourly sums: raw rows are read and shuffled once."""
-    days = merge_states(hourly_state(df, threshold), F.to_date("hour_timestamp").alias("date"))
-    return finish(days, "date")
+    return daily_from_hourly(rollup_state(df, hour_key(), threshold=threshold))
 
 
 # --- dashboards ------------------------------------------------------------
@@ -134,57 +170,61 @@ def realtime_dashboard(df: DataFrame, as_of) -> DataFrame:
 
 
 def geography_churn(df: DataFrame, as_of) -> DataFrame:
-    return (
-        last(df, as_of, "30 DAYS")
-        .groupBy("geography")
-        .agg(
-            F.count("*").alias("total_customers"),
-            F.sum(F.col("prediction").cast("bigint")).alias("churn_count"),
-            share(F.sum("prediction"), F.count("*")).alias("churn_rate"),
-            rounded(F.avg("risk_score"), 3).alias("avg_risk_score"),
-            rounded(F.avg("age"), 1).alias("avg_age"),
-            rounded(F.avg("balance"), 2).alias("avg_balance"),
-        )
-        .orderBy(F.desc("churn_rate"), "geography")
-    )
+    return geography_rows(rollup_state(last(df, as_of, "30 DAYS"), "geography"))
+
+
+def geography_rows(states: DataFrame) -> DataFrame:
+    return states.select(
+        "geography",
+        F.col("total_predictions").alias("total_customers"),
+        "churn_count",
+        _churn_rate().alias("churn_rate"),
+        _mean("risk_score", 3).alias("avg_risk_score"),
+        _mean("age", 1).alias("avg_age"),
+        _mean("balance", 2).alias("avg_balance"),
+    ).orderBy(F.desc("churn_rate"), "geography")
 
 
 def demographics(df: DataFrame) -> DataFrame:
-    return (
-        df.groupBy("gender", "geography")
-        .agg(
-            F.count("*").alias("count"),
-            F.sum(F.col("prediction").cast("bigint")).alias("churns"),
-            share(F.sum("prediction"), F.count("*")).alias("churn_rate"),
-            rounded(F.avg("age"), 1).alias("avg_age"),
-            rounded(F.avg("balance"), 2).alias("avg_balance"),
-            rounded(F.avg("tenure"), 1).alias("avg_tenure"),
-        )
-        .orderBy(F.desc("churn_rate"), "gender", "geography")
-    )
+    return demographic_rows(rollup_state(df, "gender", "geography"))
 
 
-def demographics_pivot(df: DataFrame, genders: Sequence[str] = ("Female", "Male")) -> DataFrame:
-    """Churn rate as a geography × gender matrix; naming the genders saves a job."""
-    return (
-        df.groupBy("geography")
-        .pivot("gender", list(genders))
-        .agg(share(F.sum("prediction"), F.count(F.lit(1))))
-    )
+def demographic_rows(states: DataFrame) -> DataFrame:
+    return states.select(
+        "gender",
+        "geography",
+        F.col("total_predictions").alias("count"),
+        F.col("churn_count").alias("churns"),
+        _churn_rate().alias("churn_rate"),
+        _mean("age", 1).alias("avg_age"),
+        _mean("balance", 2).alias("avg_balance"),
+        _mean("tenure", 1).alias("avg_tenure"),
+    ).orderBy(F.desc("churn_rate"), "gender", "geography")
+
 
+def demographics_pivot(demographic: DataFrame, genders: Sequence[str] = ("Female", "Male")) -> DataFrame:
+    """The churn rates of ``demographics`` as a matrix; naming the genders saves a job."""
+    return demographic.groupBy("geography").pivot("gender", list(genders)).agg(F.first("churn_rate"))
 
-def overall_kpis(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
+
+def overall_kpis(df: DataFrame) -> DataFrame:
+    return kpi_row(rollup_state(df, "customer_id", "geography"))
+
+
+def kpi_row(states: DataFrame, exact_distinct: bool = True) -> DataFrame:
+    """One row over states per customer and geography; the distinct counts see those rows only."""
     distinct = F.countDistinct if exact_distinct else F.approx_count_distinct
-    return df.agg(
-        F.count("*").alias("total_predictions"),
-        F.sum(F.col("prediction").cast("bigint")).alias("total_churns"),
-        share(F.sum("prediction"), F.count("*")).alias("overall_churn_rate"),
-        rounded(F.avg("probability"), 3).alias("avg_probability"),
-        rounded(F.avg("risk_score"), 3).alias("avg_risk_score"),
-        count_if(F.col("risk_score") >= HIGH_RISK).alias("high_risk_count"),
-        share(count_if(F.col("risk_score") >= HIGH_RISK), F.count("*")).alias("high_risk_rate"),
-        F.min("predicted_at").alias("first_prediction"),
-        F.max("predicted_at").alias("last_prediction"),
+    total, churns, risky = F.sum("total_predictions"), F.sum("churn_count"), F.sum("high_risk_count")
+    return states.agg(
+        total.alias("total_predictions"),
+        churns.alias("total_churns"),
+        share(churns, total).alias("overall_churn_rate"),
+        rounded(F.try_divide(F.sum("sum_probability"), F.sum("n_probability")), 3).alias("avg_probability"),
+        rounded(F.try_divide(F.sum("sum_risk_score"), F.sum("n_risk_score")), 3).alias("avg_risk_score"),
+        risky.alias("high_risk_count"),
+        share(risky, total).alias("high_risk_rate"),
+        F.min("first_prediction").alias("first_prediction"),
+        F.max("last_prediction").alias("last_prediction"),
         distinct("customer_id").alias("unique_customers"),
         distinct("geography").alias("geographies_covered"),
     )
@@ -365,6 +405,20 @@ def _risky(df: DataFrame, as_of) -> DataFrame:
     return above(last(df, as_of, "7 DAYS"))
 
 
+def riskiest_per_customer(df: DataFrame, as_of) -> DataFrame:
+    """The risky week condensed to one row per customer, before attributes are joined.
+
+    Maxima of maxima: the top reports give the same rows on this as on the events.
+    """
+    newest = F.max(F.struct("predicted_at", "event_id")).alias("_newest")
+    return (
+        _risky(df, as_of)
+        .groupBy("customer_id", "user_id")
+        .agg(F.max("risk_score").alias("risk_score"), newest)
+        .select("customer_id", "user_id", "risk_score", "_newest.*")
+    )
+
+
 def top_risk_customers(df: DataFrame, as_of, n: int = TOP_CUSTOMERS) -> DataFrame:
     """Top risks per distinct customer view; changed attributes give a second row."""
     return (

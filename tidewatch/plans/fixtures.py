@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.functions.expr import risk_score, rounded
+from tidewatch.schemas import SOURCES
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A source table; the declared schema saves the job that reads file footers."""
+    return spark.read.schema(SOURCES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def score_facts(spark: SparkSession, folder: str, mode: str = "certainty") -> DataFrame:
