@@ -165,7 +165,7 @@ def impute_random_valid(spark, folder):
     )
 
 
-_NUMBERS = [c for c in _NAMES if c not in ("Firstname", "Lastname", "Geography", "Gender")]
+_NUMBERS = [c for c in _NAMES if c not in ("Firstname", "Lastname", "Geography", "Gender", "CustomerId", "RowNumber")]
 _KNOWN = 'known AS (SELECT * FROM customers WHERE "Gender" IS NOT NULL)'
 
 
@@ -175,7 +175,7 @@ _KNOWN = 'known AS (SELECT * FROM customers WHERE "Gender" IS NOT NULL)'
         "SELECT "
         + _replaced(
             **{c: f'coalesce("{c}", (SELECT quantile_cont("{c}", 0.5) FROM customers))' for c in _NUMBERS},
-            **{c: f"""coalesce("{c}", {_mode(c, 'known')}, 'Unknown')""" for c in ("Firstname", "Lastname", "Geography")},
+            **{c: f"""coalesce("{c}", {_mode(c, 'known')}, 'Unknown')""" for c in ("Geography",)},
         )
         + " FROM known", _KNOWN,
     ),

@@ -45,7 +45,7 @@ def alphabetical_encoder(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def apply_encoder(
     df: DataFrame, encoder: DataFrame, cols: Sequence[str], null_as: str, unseen: str = "next"
 ) -> DataFrame:
-    """Replace each text by its code; an unseen one gets the number of categories, or null.
+    """Replace each text by its code; an unseen one gets the number of categories ("next") or null.
 
     The encoder is joined without a hint: a handful of categories is broadcast
     by size, a million of them is not.
@@ -62,7 +62,8 @@ def apply_encoder(
 
 def index_by_frequency(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     encoder = frequency_encoder(df if fit_on is None else fit_on, cols)
-    return apply_encoder(df, encoder, cols, "MISSING")
+    # Nothing is unseen in the frame the encoder was fitted on.
+    return apply_encoder(df, encoder, cols, "MISSING", unseen="null" if fit_on is None else "next")
 
 
 def label_encode_alpha(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch.functions.expr import hash32, rounded
 from tidewatch.functions.stats import attach, quantiles, stat, widened
 from tidewatch.operators.profile import numeric_columns, text_columns
+from tidewatch.schemas import IDENTIFIERS
 
 STATS = "_fill"
 
@@ -118,16 +119,16 @@ def impute_random_valid(
     return filled.withColumn(column, F.coalesce(F.col(column), drawn)).drop(STATS)
 
 
-def missing_policy_pandas(df: DataFrame) -> DataFrame:
+def missing_policy_pandas(df: DataFrame, skip: Sequence[str] = IDENTIFIERS) -> DataFrame:
     """Numbers → median, missing Gender → row dropped, other texts → mode or 'Unknown'.
 
     Medians see every row, also those dropped for their Gender; modes see the
-    rows that are left.
+    rows that are left.  Identifiers are no measurements and stay as they are.
     """
-    numeric = numeric_columns(df)
+    numeric = [c for c in numeric_columns(df) if c not in skip]
     known = df.dropna(subset=["Gender"]) if "Gender" in df.columns else df
     filled = fill_from(known, median_stats(df, numeric), numeric)
-    for column in [c for c in text_columns(df) if c != "Gender"]:
+    for column in [c for c in text_columns(df) if c != "Gender" and c not in skip]:
         filled = fill_from(filled, mode_stats(known, column, "Unknown"), [column])
     return filled
 

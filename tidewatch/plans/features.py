@@ -1,7 +1,9 @@
 """The two feature plans, end to end: clean, bin, encode, scale, split.
 
-Each is one lazy plan.  ``fit_scope="train"`` fits scalers on the training rows
-only; ``"all"`` fits them on every row, as the published job does.
+Statistics of one step read the rows of the step before, so the cleaned rows are
+written once to the shared folder instead of being recomputed by every reader.
+``fit_scope="train"`` fits scalers and encoders on the training rows only;
+``"all"`` fits them on every row, as the published job does.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from tidewatch.operators import scaling as S
 from tidewatch.operators import split as SP
 from tidewatch.operators.projections import align_features, drop_identifiers, model_columns
 from tidewatch.schemas import TARGET
+from tidewatch.session import materialize
 
 # The columns each step works on.
 OUTLIER_COLUMNS = ["CreditScore", "Age", "NumOfProducts"]
@@ -46,12 +49,13 @@ def one_hot_features(
 
     Returns the key, the ordered model columns, the target and ``split``.
     """
-    clean = M.missing_policy_pandas(df)
+    clean = M.missing_policy_pandas(materialize(df, "raw")).withColumn(TARGET, F.col(TARGET).cast("int"))
+    clean = materialize(clean, "clean")
     # The side of a row depends on its key and class alone, so the split may come
     # first and the scaler can be fitted on the training side.
     sided = SP.split_stratified(clean, list(key), TARGET, test_size, seed, exact_split)
     binned = B.bin_ordinal(E.one_hot_apply(sided, categories))
-    scaled = S.scale_minmax(binned, SCALED, _fit_side(binned, fit_scope), constant=0.0)
+    scaled = S.scale_minmax(binned, SCALED, _fit_side(sided, fit_scope), constant=0.0)
     return align_features(scaled, model_columns(categories), keep=[*key, TARGET, SP.SIDE])
 
 
@@ -64,13 +68,14 @@ def indexed_features(
     nulls: str = "drop",
 ) -> DataFrame:
     """Mean age, outlier rows removed, named credit bins, frequency codes, min-max scaling, random split."""
-    clean = M.missing_policy_spark(df)
+    clean = materialize(M.missing_policy_spark(df), "clean")
     inliers = O.outlier_remove(clean, OUTLIER_COLUMNS, nulls=nulls)
     binned = B.bin_named_ranges(inliers, "CreditScore", B.CREDIT_RANGES, first={850: "Excellent"})
-    sided = SP.split_random(binned, list(key), test_size, seed)
-    coded = E.index_by_frequency(sided, NOMINAL, _fit_side(sided, fit_scope))
+    sided = materialize(SP.split_random(binned, list(key), test_size, seed), "sided")
+    fitted_on = _fit_side(sided, fit_scope)
+    coded = E.index_by_frequency(sided, NOMINAL, fitted_on)
     ordinal = E.ordinal_encode(coded, {"CreditScoreBins": B.CREDIT_CODES})
-    scaled = S.scale_minmax(ordinal, SCALED, _fit_side(ordinal, fit_scope))
+    scaled = S.scale_minmax(ordinal, SCALED, fitted_on)
     return drop_identifiers(scaled, [c for c in ("RowNumber", "CustomerId", "Firstname", "Lastname") if c not in key])
 
 

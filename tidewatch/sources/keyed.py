@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewatch.session import work_folder
+from tidewatch.session import materialize
 from tidewatch.sources.readers import path_exists, spark_path
 
 
@@ -102,17 +102,6 @@ def _days(df: DataFrame, column: str) -> list:
     return [r[0] for r in df.select(F.to_date(column)).distinct().collect()]
 
 
-def _stage(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` aside and read it back.
-
-    A batch is used several times and the table it came from is about to change;
-    a written copy in the shared folder survives lost executors.
-    """
-    path = work_folder(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _replace_days(df: DataFrame, path: str, column: str) -> None:
     (
         with_day(df, column)
@@ -140,7 +129,7 @@ def insert_table(
     known = read_table(spark, path, batch)
     if same_day:
         known = _only_days(spark, path, batch, _days(batch, column))
-    fresh = _stage(spark, new_rows(known, batch, keys, order), "insert")
+    fresh = materialize(new_rows(known, batch, keys, order), "insert")
     append_table(fresh, path, column)
 
 
@@ -159,12 +148,12 @@ def upsert_table(
     The merged days are written aside first; the swap reads that copy, so an
     interrupted swap can be repeated.
     """
-    staged = _stage(spark, changes, "changes")
+    staged = materialize(changes, "changes")
     days = _days(staged, column)
     if not days:
         return
     merged = upsert(_only_days(spark, path, changes, days), staged, keys, order)
-    _replace_days(_stage(spark, merged, "merged"), path, column)
+    _replace_days(materialize(merged, "merged"), path, column)
 
 
 def archive_table(spark: SparkSession, live: str, archive: str, cutoff, keys: Sequence[str], column: str, like: DataFrame) -> None:
@@ -180,7 +169,7 @@ def archive_table(spark: SparkSession, live: str, archive: str, cutoff, keys: Se
     old, _ = split_by_age(candidates, limit, column)
     insert_table(spark, archive, old, keys, [column], column, same_day=True)
     boundary = table.where(F.col(DAY) == F.to_date(limit)).select(*like.columns)
-    kept = _stage(spark, split_by_age(boundary, limit, column)[1], "boundary")
+    kept = materialize(split_by_age(boundary, limit, column)[1], "boundary")
     past = [r[0] for r in table.where(F.col(DAY) <= F.to_date(limit)).select(DAY).distinct().collect()]
     _replace_days(kept, live, column)
     emptied = set(past) - {r[0] for r in kept.select(F.to_date(column)).distinct().collect()}
