@@ -1 +1,228 @@
-"""Not yet."""
+"""Evaluation (with SQL twins) and training, scoring and storing of models."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from tidewatch.catalog.features import STORED
+from tidewatch.catalog.registry import query
+from tidewatch.catalog.sqltext import count_if, on_customers, on_pairs, rnd, share
+from tidewatch.functions.expr import hash32, rounded
+from tidewatch.operators import evaluation as V
+from tidewatch.operators import learning as L
+from tidewatch.plans.features import one_hot_features
+from tidewatch.plans.fixtures import customers, outcome_pairs
+from tidewatch.schemas import NUMERIC, TARGET
+from tidewatch.session import materialize, work_folder
+
+# --- evaluation ----------------------------------------------------------------
+
+_COUNTS = f"""counts AS (SELECT {count_if('true_label = 0 AND predicted_label = 0')} AS tn,
+  {count_if('true_label = 0 AND predicted_label = 1')} AS fp, {count_if('true_label = 1 AND predicted_label = 0')} AS fn,
+  {count_if('true_label = 1 AND predicted_label = 1')} AS tp FROM pairs)"""
+
+
+def _per_class(counts: str) -> str:
+    """CTEs: precision, recall, F1 and support per class, from a table of counts."""
+    return f"""pr AS (
+  SELECT '0' AS class, coalesce(tn / nullif(tn + fn, 0), 0) AS p, coalesce(tn / nullif(tn + fp, 0), 0) AS r, tn + fp AS support,
+    (tp + tn) / (tp + tn + fp + fn) AS accuracy FROM {counts}
+  UNION ALL SELECT '1', coalesce(tp / nullif(tp + fp, 0), 0), coalesce(tp / nullif(tp + fn, 0), 0), tp + fn,
+    (tp + tn) / (tp + tn + fp + fn) FROM {counts}),
+per_class AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM pr)"""
+
+
+_CLASSES = _per_class("counts")
+_POSITIVE = f"""metrics AS (SELECT {rnd('accuracy', 6)} AS accuracy, {rnd('p', 6)} AS precision, {rnd('r', 6)} AS recall,
+  {rnd('f', 6)} AS f1_score FROM per_class WHERE class = '1')"""
+
+
+@query("classification_metrics", on_pairs("SELECT * FROM metrics", _COUNTS, _CLASSES, _POSITIVE))
+def classification_metrics(spark, folder):
+    return V.classification_metrics(outcome_pairs(spark, folder))
+
+
+def _weighted(c: str) -> str:
+    return f"(sum({c} * support) / sum(support))"
+
+
+@query(
+    "classification_metrics_weighted",
+    on_pairs(
+        f"""SELECT {rnd('any_value(accuracy)', 6)} AS accuracy, {rnd(_weighted('p'), 6)} AS precision,
+          {rnd(_weighted('r'), 6)} AS recall, {rnd(_weighted('f'), 6)} AS f1_score FROM per_class""",
+        _COUNTS, _CLASSES,
+    ),
+)
+def classification_metrics_weighted(spark, folder):
+    return V.classification_metrics(outcome_pairs(spark, folder), "weighted")
+
+
+@query(
+    "classification_report",
+    on_pairs(
+        f"""SELECT class, {rnd('p', 6)} AS precision, {rnd('r', 6)} AS recall, {rnd('f', 6)} AS f1_score, support FROM per_class
+        UNION ALL SELECT 'macro avg', {rnd('avg(p)', 6)}, {rnd('avg(r)', 6)}, {rnd('avg(f)', 6)}, CAST(sum(support) AS BIGINT) FROM per_class
+        UNION ALL SELECT 'weighted avg', {rnd(_weighted('p'), 6)}, {rnd(_weighted('r'), 6)}, {rnd(_weighted('f'), 6)},
+          CAST(sum(support) AS BIGINT) FROM per_class""",
+        _COUNTS, _CLASSES,
+    ),
+)
+def classification_report(spark, folder):
+    return V.classification_report(outcome_pairs(spark, folder))
+
+
+@query(
+    "confusion_matrix",
+    on_pairs(
+        f"""SELECT tn, fp, fn, tp, {share('fp', '(tn + fp + fn + tp)')} AS false_alert_percentage,
+          {share('fn', '(tn + fp + fn + tp)')} AS missed_percentage FROM counts""",
+        _COUNTS,
+    ),
+)
+def confusion_matrix(spark, folder):
+    return V.confusion_matrix(outcome_pairs(spark, folder))
+
+
+@query(
+    "roc_auc",
+    on_pairs(
+        f"""SELECT CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives,
+          {rnd('(sum(CAST(pos AS DOUBLE) * (CAST(upto AS DOUBLE) - neg / 2)) / (sum(pos) * CAST(sum(neg) AS DOUBLE)))', 9)} AS roc_auc
+        FROM (SELECT pos, neg, sum(neg) OVER (ORDER BY prediction_probability) AS upto FROM (
+          SELECT prediction_probability, {count_if('true_label = 1')} AS pos, {count_if('true_label = 0')} AS neg
+          FROM pairs GROUP BY prediction_probability))"""
+    ),
+)
+def roc_auc(spark, folder):
+    return V.roc_auc(outcome_pairs(spark, folder))
+
+
+@query(
+    "model_gate",
+    on_pairs(
+        """SELECT 'accuracy' AS metric, accuracy AS value, 0.75e0 AS threshold, true AS enforced, accuracy >= 0.75 AS passed FROM metrics
+        UNION ALL SELECT 'precision', precision, NULL, false, true FROM metrics
+        UNION ALL SELECT 'recall', recall, NULL, false, true FROM metrics
+        UNION ALL SELECT 'f1_score', f1_score, NULL, false, true FROM metrics""",
+        _COUNTS, _CLASSES, _POSITIVE,
+    ),
+)
+def model_gate(spark, folder):
+    return V.model_gate(V.classification_metrics(outcome_pairs(spark, folder)))
+
+
+_EVENT_HASH = "CAST('0x' || substring(md5('7|' || event_id), 1, 8) AS BIGINT)"
+
+
+def _side_metrics(side: str, condition: str) -> list[str]:
+    counts = _COUNTS.replace("counts AS", f"counts_{side} AS").replace("FROM pairs", f"FROM pairs WHERE {condition}")
+    classes = _per_class(f"counts_{side}").replace("pr AS", f"pr_{side} AS").replace("per_class AS", f"class_{side} AS").replace("FROM pr)", f"FROM pr_{side})")
+    metrics = _POSITIVE.replace("metrics AS", f"metrics_{side} AS").replace("FROM per_class", f"FROM class_{side}")
+    return [counts, classes, metrics]
+
+
+@query(
+    "overfit_gap",
+    on_pairs(
+        " UNION ALL ".join(
+            f"""SELECT '{m}' AS metric, a.{m} AS train_value, b.{m} AS test_value, {rnd(f'(a.{m} - b.{m})', 6)} AS gap,
+              a.{m} - b.{m} <= 0.1 AS passed FROM metrics_train a, metrics_test b"""
+            for m in ("accuracy", "precision", "recall", "f1_score")
+        ),
+        *_side_metrics("train", f"{_EVENT_HASH} >= 2147483648"),
+        *_side_metrics("test", f"{_EVENT_HASH} < 2147483648"),
+    ),
+)
+def overfit_gap(spark, folder):
+    pairs = outcome_pairs(spark, folder)
+    half = hash32(7, F.col("event_id")) < 2**31
+    return V.overfit_gap(pairs.where(~half), pairs.where(half))
+
+
+# --- models --------------------------------------------------------------------
+
+_COMPLETE = " AND ".join(f'"{c}" IS NOT NULL' for c in NUMERIC)
+
+
+@query(
+    "assemble_features",
+    on_customers(
+        'SELECT "CustomerId", '
+        + ", ".join(f'"{c}" * 1e0 AS f{i}' for i, c in enumerate(NUMERIC))
+        + f', "Exited" * 1e0 AS label FROM customers WHERE {_COMPLETE}'
+    ),
+)
+def assemble_features(spark, folder):
+    df = L.assemble_features(customers(spark, folder), NUMERIC, TARGET, keep=["CustomerId"])
+    array = vector_to_array("features")
+    return df.select("CustomerId", *[array[i].alias(f"f{i}") for i in range(len(NUMERIC))], "label")
+
+
+def _sides(spark, folder):
+    features = materialize(one_hot_features(customers(spark, folder), STORED), "features")
+    cols = [c for c in features.columns if c not in ("CustomerId", TARGET, "split")]
+    return features.where("split = 'train'"), features.where("split = 'test'"), cols
+
+
+_SCORED_AT = dt.datetime(2024, 1, 31)
+
+
+def _trained(spark, folder, classifier):
+    train, test, cols = _sides(spark, folder)
+    model = L.train(train, classifier, cols, TARGET)
+    scored = L.batch_score(model, test, ["CustomerId", TARGET], "batch_1", _SCORED_AT)
+    return model, scored
+
+
+def _test_metrics(scored):
+    pairs = scored.select(
+        F.col(TARGET).alias("true_label"), F.col("prediction").alias("predicted_label"),
+        F.col("probability").alias("prediction_probability"),
+    )
+    return V.classification_metrics(pairs)
+
+
+@query("train_random_forest")
+def train_random_forest(spark, folder):
+    return _test_metrics(_trained(spark, folder, L.random_forest())[1])
+
+
+@query("train_gbt")
+def train_gbt(spark, folder):
+    return _test_metrics(_trained(spark, folder, L.gradient_boosting())[1])
+
+
+@query("train_logistic")
+def train_logistic(spark, folder):
+    return _test_metrics(_trained(spark, folder, L.logistic())[1])
+
+
+@query("batch_score")
+def batch_score(spark, folder):
+    _, scored = _trained(spark, folder, L.logistic())
+    return scored.withColumn("probability", rounded(F.col("probability"), 6)).drop(TARGET)
+
+
+@query("feature_importance")
+def feature_importance(spark, folder):
+    model, _ = _trained(spark, folder, L.random_forest(trees=20, depth=5))
+    return L.feature_importance(spark, model)
+
+
+@query("top_features")
+def top_features(spark, folder):
+    model, _ = _trained(spark, folder, L.logistic())
+    return L.top_features(L.feature_importance(spark, model), 5)
+
+
+@query("model_save_load")
+def model_save_load(spark, folder):
+    train, test, cols = _sides(spark, folder)
+    root = work_folder(spark, "models")
+    L.save_model(L.train(train, L.logistic(iterations=5), cols, TARGET), root, "20240101000000")
+    L.save_model(L.train(train, L.logistic(), cols, TARGET), root, "20240131000000")
+    return L.batch_score(L.load_model(spark, root), test, ["CustomerId"], "batch_1", _SCORED_AT)
