@@ -1 +1,306 @@
-"""Not yet."""
+"""Events as messages, and the streaming jobs run over the whole event table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.catalog.registry import query
+from tidewatch.catalog.reports import ALERTS, DAILY, HOURLY
+from tidewatch.catalog.sqltext import hash32, on_customers, on_predictions, rnd
+from tidewatch.functions.expr import churn_label, rounded
+from tidewatch.operators import projections as P
+from tidewatch.operators.reports import union_all
+from tidewatch.plans.fixtures import customer_attributes, customers, predictions, table
+from tidewatch.schemas import ALERTS as ALERT_SCHEMA
+from tidewatch.schemas import DAILY as DAILY_SCHEMA
+from tidewatch.schemas import HOURLY as HOURLY_SCHEMA
+from tidewatch.schemas import PREDICTIONS as PREDICTION_SCHEMA
+from tidewatch.session import work_folder
+from tidewatch.sources import keyed
+from tidewatch.streaming import jobs as J
+from tidewatch.streaming import messages as MSG
+
+TOPIC = "customer-events"
+
+
+def event_messages(spark, folder, damaged: bool = False):
+    """Every event as a message.
+
+    Every seventh comes without an envelope, every thirteenth without a credit
+    score; with ``damaged`` every fiftieth is cut short.
+    """
+    rows = table(spark, folder, "events").join(
+        customer_attributes(spark, folder), F.col("user_id") == F.col("c_custkey"), "left"
+    )
+    stamp = MSG.iso(F.col("ts"))
+    fields = [
+        F.col("user_id").alias("CustomerId"),
+        F.col("geography").alias("Geography"),
+        F.col("gender").alias("Gender"),
+        F.col("age").alias("Age"),
+        F.when(F.col("event_id") % 13 != 0, 350 + F.col("event_id") % 500).cast("int").alias("CreditScore"),
+        F.col("balance").alias("Balance"),
+        F.col("value").alias("EstimatedSalary"),
+        F.col("tenure").alias("Tenure"),
+        F.col("num_of_products").alias("NumOfProducts"),
+        F.col("has_cr_card").alias("HasCrCard"),
+        F.col("is_active_member").alias("IsActiveMember"),
+        F.col("event_id").cast("string").alias("event_id"),
+        stamp.alias("event_timestamp"),
+    ]
+    value = F.when(F.col("event_id") % 7 == 0, F.to_json(F.struct(*fields))).otherwise(
+        P.enveloped(F.struct(*fields), stamp)
+    )
+    if damaged:
+        value = F.when(F.col("event_id") % 50 == 0, F.substring(value, 1, 40)).otherwise(value)
+    return MSG.message_rows(rows, TOPIC, F.col("user_id"), value, F.col("event_id"), F.col("ts"))
+
+
+def _publish(spark, folder, purpose: str, damaged: bool = False) -> str:
+    root = work_folder(spark, purpose)
+    MSG.publish_files(event_messages(spark, folder, damaged), f"{root}/topic")
+    return root
+
+
+# Arrival in three parts; the cuts lie inside an hour, so a window is revised.
+_CUTS = ["2024-01-11T06:30", "2024-01-21T18:10"]
+
+
+def _in_parts(spark, folder, purpose: str, run) -> str:
+    """Publish a part, run the job on what is new, and so on with one checkpoint."""
+    root = work_folder(spark, purpose)
+    messages = event_messages(spark, folder)
+    at = F.col("timestamp")
+    for part in (at < _CUTS[0], (at >= _CUTS[0]) & (at < _CUTS[1]), at >= _CUTS[1]):
+        MSG.publish_files(messages.where(part), f"{root}/topic")
+        run(root)
+    return root
+
+
+def _events(spark, root: str):
+    return J.events(J.parse(MSG.file_messages(spark, f"{root}/topic")))
+
+
+_EXPECTED = """expected AS (
+  SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(customer_id AS BIGINT) AS "CustomerId",
+    coalesce(geography, 'Unknown') AS "Geography", coalesce(gender, 'Unknown') AS "Gender",
+    coalesce(age, 0) AS "Age",
+    CAST(CASE WHEN CAST(event_id AS BIGINT) % 13 <> 0 THEN 350 + CAST(event_id AS BIGINT) % 500 ELSE 600 END AS INTEGER) AS "CreditScore",
+    coalesce(balance, 0) AS "Balance", coalesce(tenure, 0) AS "Tenure", coalesce(num_of_products, 1) AS "NumOfProducts",
+    coalesce(has_cr_card, 0) AS "HasCrCard", coalesce(is_active_member, 0) AS "IsActiveMember",
+    predicted_at AS event_time FROM predictions)"""
+_EVENT_COLUMNS = [
+    "event_id", "CustomerId", "Geography", "Gender", "Age", "CreditScore", "Balance", "Tenure", "NumOfProducts",
+    "HasCrCard", "IsActiveMember",
+]
+
+
+def _event_view(df):
+    return df.select(*_EVENT_COLUMNS, F.col("event_time").cast("timestamp_ntz").alias("event_time"))
+
+
+# --- payloads ----------------------------------------------------------------
+
+@query("event_defaults", on_predictions("SELECT * FROM expected", _EXPECTED))
+def event_defaults(spark, folder):
+    return _event_view(J.events(J.parse(event_messages(spark, folder))))
+
+
+_PAYLOAD = ["CustomerId", "Geography", "Gender", "Age", "Tenure", "NumOfProducts", "HasCrCard", "IsActiveMember"]
+
+
+@query(
+    "event_payload",
+    on_customers(
+        'SELECT "CustomerId", CAST(to_json({'
+        + ", ".join(f"""'{c}': "{c}" """ for c in _PAYLOAD) + '}) AS VARCHAR) AS payload FROM customers'
+    ),
+)
+def event_payload(spark, folder):
+    df = customers(spark, folder)
+    return df.select("CustomerId", P.event_payload(df, _PAYLOAD).alias("payload"))
+
+
+@query(
+    "score_event_row",
+    on_predictions(
+        f"""SELECT event_id, customer_id, prediction, probability, {rnd('risk_score', 6)} AS risk_score,
+          CASE WHEN prediction = 1 THEN 'Churn' ELSE 'Retain' END AS status, {rnd('(100 * probability)', 2)} AS confidence,
+          geography, gender, age, balance, predicted_at AS processed_at, model_version FROM predictions"""
+    ),
+)
+def score_event_row(spark, folder):
+    scored = predictions(spark, folder)
+    return scored.select(
+        "event_id", "customer_id", "prediction", "probability", rounded(F.col("risk_score"), 6).alias("risk_score"),
+        churn_label(F.col("prediction"), "Churn", "Retain").alias("status"),
+        rounded(100 * F.col("probability"), 2).alias("confidence"),
+        "geography", "gender", "age", "balance", F.col("predicted_at").alias("processed_at"), "model_version",
+    )
+
+
+# --- source and sink ---------------------------------------------------------
+
+@query(
+    "event_stream_source",
+    f"""SELECT '{TOPIC}' AS topic, CAST({hash32(0, 'user_id')} % 3 AS INTEGER) AS partition, event_id AS "offset",
+      CAST(user_id AS VARCHAR) AS key, CAST(ts AS TIMESTAMP) AS message_time FROM events""",
+)
+def event_stream_source(spark, folder):
+    root = _publish(spark, folder, "source")
+    rows = MSG.file_messages(spark, f"{root}/topic").select(
+        "topic", "partition", "offset", "key", F.to_timestamp("timestamp").alias("message_time")
+    )
+    writer = rows.writeStream.format("parquet").option("path", f"{root}/table")
+    J.run_available(writer.option("checkpointLocation", f"{root}/checkpoint"))
+    return spark.read.schema(rows.schema).parquet(f"{root}/table").withColumn(
+        "message_time", F.col("message_time").cast("timestamp_ntz")
+    )
+
+
+@query(
+    "event_stream_sink",
+    on_predictions("SELECT customer_id AS key, event_id, prediction, geography FROM predictions"),
+)
+def event_stream_sink(spark, folder):
+    root = _publish(spark, folder, "outbox")
+    scored = J.score(_events(spark, root))
+    result = F.to_json(F.struct("event_id", "prediction", "geography"))
+    outgoing = MSG.message_rows(
+        scored, "churn-predictions", F.col("customer_id"), result, F.col("event_id"), F.col("predicted_at")
+    )
+    J.run_available(MSG.file_sink(outgoing, f"{root}/out", f"{root}/checkpoint"))
+    sent = spark.read.schema(MSG.MESSAGE).json(f"{root}/out")
+    return sent.select("key", F.from_json("value", "event_id string, prediction int, geography string").alias("v")).select(
+        "key", "v.*"
+    )
+
+
+# --- jobs --------------------------------------------------------------------
+
+@query(
+    "stream_parse",
+    on_predictions(
+        """SELECT 'event' AS kind, event_id, "CustomerId", "CreditScore" FROM expected WHERE CAST(event_id AS BIGINT) % 50 <> 0
+        UNION ALL SELECT 'dead_letter', event_id, NULL, NULL FROM expected WHERE CAST(event_id AS BIGINT) % 50 = 0""",
+        _EXPECTED,
+    ),
+)
+def stream_parse(spark, folder):
+    root = _publish(spark, folder, "parse", damaged=True)
+    parsed = J.parse(MSG.file_messages(spark, f"{root}/topic"))
+    good = J.events(parsed).select("event_id", "CustomerId", "CreditScore")
+    bad = J.dead_letters(parsed).select(F.col("offset").cast("string").alias("event_id"))
+    for name, rows in (("event", good), ("dead_letter", bad)):
+        writer = rows.writeStream.format("parquet").option("path", f"{root}/{name}")
+        J.run_available(writer.option("checkpointLocation", f"{root}/checkpoint_{name}"))
+    none = F.lit(None)
+    return union_all(
+        [
+            spark.read.schema(good.schema).parquet(f"{root}/event").select(F.lit("event").alias("kind"), "*"),
+            spark.read.schema(bad.schema).parquet(f"{root}/dead_letter").select(
+                F.lit("dead_letter").alias("kind"), "event_id",
+                none.cast("bigint").alias("CustomerId"), none.cast("int").alias("CreditScore"),
+            ),
+        ]
+    )
+
+
+@query("stream_micro_batch", "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS key FROM events")
+def stream_micro_batch(spark, folder):
+    """Batches of a limited number of files, each written under its own number."""
+    root = work_folder(spark, "batches")
+    parts = spark.sparkContext.defaultParallelism
+    MSG.publish_files(event_messages(spark, folder).repartition(parts), f"{root}/topic")
+    stream = MSG.file_messages(spark, f"{root}/topic", max_files=max(1, parts // 4))
+
+    def write(batch, batch_id):
+        rows = batch.select(F.col("offset").cast("string").alias("event_id"), "key")
+        rows.write.mode("overwrite").parquet(f"{root}/table/batch={batch_id}")
+
+    J.run_available(J.each_batch(stream, write, f"{root}/checkpoint"))
+    return spark.read.schema("event_id string, key string, batch int").parquet(f"{root}/table").drop("batch")
+
+
+@query(
+    "stream_score",
+    on_predictions(
+        f"""SELECT event_id, customer_id, prediction, {rnd('probability', 6)} AS probability,
+          {rnd('risk_score', 6)} AS risk_score, predicted_at, geography, gender, age, tenure, balance FROM predictions"""
+    ),
+)
+def stream_score(spark, folder):
+    root = _publish(spark, folder, "score")
+    J.run_available(J.scoring_job(_events(spark, root), f"{root}/table", f"{root}/outbox", f"{root}/checkpoint"))
+    like = spark.createDataFrame([], PREDICTION_SCHEMA)
+    return keyed.read_table(spark, f"{root}/table", like).select(
+        "event_id", "customer_id", "prediction", rounded(F.col("probability"), 6).alias("probability"),
+        rounded(F.col("risk_score"), 6).alias("risk_score"), "predicted_at", "geography", "gender", "age", "tenure", "balance",
+    )
+
+
+@query("stream_dedup", "SELECT CAST(event_id AS VARCHAR) AS event_id, user_id AS \"CustomerId\" FROM events")
+def stream_dedup(spark, folder):
+    root = work_folder(spark, "dedup")
+    messages = event_messages(spark, folder)
+    MSG.publish_files(messages.unionByName(messages), f"{root}/topic")
+    unique = J.deduplicate(_events(spark, root)).select("event_id", "CustomerId")
+    writer = unique.writeStream.format("parquet").option("path", f"{root}/table")
+    J.run_available(writer.option("checkpointLocation", f"{root}/checkpoint"))
+    return spark.read.schema(unique.schema).parquet(f"{root}/table")
+
+
+def _rollup(spark, folder, width: str, schema):
+    def run(root):
+        J.run_available(J.rollup_job(J.score(_events(spark, root)), f"{root}/metrics", f"{root}/checkpoint", width))
+
+    root = _in_parts(spark, folder, "rollup", run)
+    return keyed.read_table(spark, f"{root}/metrics", spark.createDataFrame([], schema))
+
+
+@query("stream_rollup_hourly", on_predictions("SELECT * FROM hourly", HOURLY))
+def stream_rollup_hourly(spark, folder):
+    return _rollup(spark, folder, "1 hour", HOURLY_SCHEMA)
+
+
+@query("stream_rollup_daily", on_predictions("SELECT * FROM daily", DAILY))
+def stream_rollup_daily(spark, folder):
+    return _rollup(spark, folder, "1 day", DAILY_SCHEMA)
+
+
+@query("stream_high_risk_alerts", on_predictions("SELECT * FROM alerts", ALERTS))
+def stream_high_risk_alerts(spark, folder):
+    def run(root):
+        J.run_available(J.alert_job(J.score(_events(spark, root)), f"{root}/alerts", f"{root}/checkpoint"))
+
+    root = _in_parts(spark, folder, "alerts", run)
+    return keyed.read_table(spark, f"{root}/alerts", spark.createDataFrame([], ALERT_SCHEMA))
+
+
+@query(
+    "stream_bounded_run",
+    f"""SELECT CASE WHEN ts < TIMESTAMP '2024-01-11 06:30:00' THEN 0 WHEN ts < TIMESTAMP '2024-01-21 18:10:00' THEN 1
+      ELSE 2 END AS run, count(*) AS events FROM events GROUP BY 1""",
+)
+def stream_bounded_run(spark, folder):
+    """Each run handles exactly what arrived since the one before."""
+    runs = iter(range(len(_CUTS) + 1))
+
+    def run(root):
+        number = next(runs)
+        rows = MSG.file_messages(spark, f"{root}/topic").select("offset", F.lit(number).alias("run"))
+        J.run_available(
+            rows.writeStream.format("parquet").option("path", f"{root}/table").option("checkpointLocation", f"{root}/checkpoint")
+        )
+
+    root = _in_parts(spark, folder, "runs", run)
+    stored = spark.read.schema("offset bigint, run int").parquet(f"{root}/table")
+    return stored.groupBy("run").agg(F.count("*").alias("events"))
+
+
+@query("stream_progress", "SELECT count(*) AS input_rows FROM events")
+def stream_progress(spark, folder):
+    root = _publish(spark, folder, "progress")
+    writer = MSG.file_messages(spark, f"{root}/topic").select("offset").writeStream.format("noop")
+    done = J.run_available(writer.option("checkpointLocation", f"{root}/checkpoint"))
+    return J.progress_rows(spark, done).agg(F.sum("input_rows").alias("input_rows"))

@@ -64,18 +64,3 @@ def export_reports(reports: Mapping[str, DataFrame], root: str, stamp: str) -> l
         save_table(df.coalesce(1), path, "csv")
         written.append(path)
     return written
-
-
-def message_rows(df: DataFrame, topic: str, key: str, value, partitions: int = 3) -> DataFrame:
-    """Rows as keyed messages in the record shape of a Kafka source.
-
-    One key always gets the same partition.
-    """
-    return df.select(
-        F.lit(topic).alias("topic"),
-        F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(partitions)).cast("int").alias("partition"),
-        F.col("_offset").cast("bigint").alias("offset"),
-        F.col("_timestamp").cast("string").alias("timestamp"),
-        F.col(key).cast("string").alias("key"),
-        value.alias("value"),
-    )
