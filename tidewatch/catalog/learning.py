@@ -14,9 +14,10 @@ from tidewatch.functions.expr import hash32, rounded
 from tidewatch.operators import evaluation as V
 from tidewatch.operators import learning as L
 from tidewatch.plans.features import one_hot_features
-from tidewatch.plans.fixtures import customers, outcome_pairs
+from tidewatch.plans.fixtures import customers, outcome_counts, outcome_pairs
 from tidewatch.schemas import NUMERIC, TARGET
 from tidewatch.session import materialize, work_folder
+from tidewatch.sources.readers import list_versions
 
 # --- evaluation ----------------------------------------------------------------
 
@@ -42,7 +43,7 @@ _POSITIVE = f"""metrics AS (SELECT {rnd('accuracy', 6)} AS accuracy, {rnd('p', 6
 
 @query("classification_metrics", on_pairs("SELECT * FROM metrics", _COUNTS, _CLASSES, _POSITIVE))
 def classification_metrics(spark, folder):
-    return V.classification_metrics(outcome_pairs(spark, folder))
+    return V.classification_metrics(outcome_counts(spark, folder), weight="n")
 
 
 def _weighted(c: str) -> str:
@@ -58,7 +59,7 @@ def _weighted(c: str) -> str:
     ),
 )
 def classification_metrics_weighted(spark, folder):
-    return V.classification_metrics(outcome_pairs(spark, folder), "weighted")
+    return V.classification_metrics(outcome_counts(spark, folder), "weighted", weight="n")
 
 
 @query(
@@ -72,7 +73,7 @@ def classification_metrics_weighted(spark, folder):
     ),
 )
 def classification_report(spark, folder):
-    return V.classification_report(outcome_pairs(spark, folder))
+    return V.classification_report(outcome_counts(spark, folder), weight="n")
 
 
 @query(
@@ -84,7 +85,7 @@ def classification_report(spark, folder):
     ),
 )
 def confusion_matrix(spark, folder):
-    return V.confusion_matrix(outcome_pairs(spark, folder))
+    return V.confusion_matrix(outcome_counts(spark, folder), weight="n")
 
 
 @query(
@@ -112,7 +113,7 @@ def roc_auc(spark, folder):
     ),
 )
 def model_gate(spark, folder):
-    return V.model_gate(V.classification_metrics(outcome_pairs(spark, folder)))
+    return V.model_gate(V.classification_metrics(outcome_counts(spark, folder), weight="n"))
 
 
 _EVENT_HASH = "CAST('0x' || substring(md5('7|' || event_id), 1, 8) AS BIGINT)"
@@ -138,9 +139,8 @@ def _side_metrics(side: str, condition: str) -> list[str]:
     ),
 )
 def overfit_gap(spark, folder):
-    pairs = outcome_pairs(spark, folder)
-    half = hash32(7, F.col("event_id")) < 2**31
-    return V.overfit_gap(pairs.where(~half), pairs.where(half))
+    pairs = outcome_counts(spark, folder, (hash32(7, F.col("event_id")) < 2**31).alias("half"))
+    return V.overfit_gap(pairs.where(~F.col("half")), pairs.where("half"), weight="n")
 
 
 # --- models --------------------------------------------------------------------
@@ -219,10 +219,22 @@ def top_features(spark, folder):
     return L.top_features(L.feature_importance(spark, model), 5)
 
 
-@query("model_save_load")
-def model_save_load(spark, folder):
+def _save_versions(spark, folder):
     train, test, cols = _sides(spark, folder)
     root = work_folder(spark, "models")
     L.save_model(L.train(train, L.logistic(iterations=5), cols, TARGET), root, "20240101000000")
     L.save_model(L.train(train, L.logistic(), cols, TARGET), root, "20240131000000")
+    return root, test
+
+
+@query("model_save")
+def model_save(spark, folder):
+    root, _ = _save_versions(spark, folder)
+    rows = [(v, len(L.load_model(spark, root, v).stages)) for v in list_versions(spark, root, "models")]
+    return spark.createDataFrame(rows, "run_ts string, stages int")
+
+
+@query("model_load")
+def model_load(spark, folder):
+    root, test = _save_versions(spark, folder)
     return L.batch_score(L.load_model(spark, root), test, ["CustomerId"], "batch_1", _SCORED_AT)

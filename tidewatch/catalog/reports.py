@@ -8,8 +8,9 @@ from tidewatch.catalog.registry import query
 from tidewatch.catalog.sqltext import count_if, on_pairs, on_predictions, rnd, share
 from tidewatch.functions.expr import churn_label, rounded
 from tidewatch.operators import reports as R
+from tidewatch.operators.evaluation import prediction_summary as prediction_totals
 from tidewatch.plans.fixtures import (
-    latest_instant, outcome_pairs, predictions, score_facts, with_attributes,
+    latest_instant, outcome_counts, predictions, score_facts, with_attributes,
 )
 
 CHURN_RATE = share("sum(prediction)", "count(*)")
@@ -373,7 +374,7 @@ def churn_risk_level(spark, folder):
     ),
 )
 def prediction_summary(spark, folder):
-    return R.prediction_summary(outcome_pairs(spark, folder))
+    return prediction_totals(outcome_counts(spark, folder), weight="n")
 
 
 @query("top_risk_customers", on_predictions("SELECT * FROM top_risk", TOP_RISK))

@@ -1,7 +1,8 @@
 """Classifier metrics as SQL aggregates.
 
 Inputs have ``true_label`` and ``predicted_label`` in {0, 1}.  One aggregation
-gives the four counts; all metrics are expressions on that row.
+gives the four counts; all metrics are expressions on that row.  ``weight`` names
+a column that says how many predictions a row stands for.
 """
 
 from __future__ import annotations
@@ -12,19 +13,38 @@ from tidewatch.functions.expr import count_if, rounded, share
 from tidewatch.functions.stats import running_counts
 
 
-def confusion_counts(pairs: DataFrame) -> DataFrame:
+def weighted_count(condition: Column, weight: str | None) -> Column:
+    if weight is None:
+        return count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0).cast("bigint"))
+
+
+def confusion_counts(pairs: DataFrame, weight: str | None = None) -> DataFrame:
     truth, said = F.col("true_label"), F.col("predicted_label")
     return pairs.agg(
-        count_if((truth == 0) & (said == 0)).alias("tn"),
-        count_if((truth == 0) & (said == 1)).alias("fp"),
-        count_if((truth == 1) & (said == 0)).alias("fn"),
-        count_if((truth == 1) & (said == 1)).alias("tp"),
+        weighted_count((truth == 0) & (said == 0), weight).alias("tn"),
+        weighted_count((truth == 0) & (said == 1), weight).alias("fp"),
+        weighted_count((truth == 1) & (said == 0), weight).alias("fn"),
+        weighted_count((truth == 1) & (said == 1), weight).alias("tp"),
+    )
+
+
+def prediction_summary(pairs: DataFrame, weight: str | None = None) -> DataFrame:
+    """Predicted and true class totals, and the accuracy."""
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    return confusion_counts(pairs, weight).select(
+        _total().alias("total_predictions"),
+        (fp + tp).alias("predicted_churn"),
+        (tn + fn).alias("predicted_stay"),
+        (fn + tp).alias("true_churn"),
+        (tn + fp).alias("true_stay"),
+        rounded(F.try_divide((tn + tp).cast("double"), _total()), 6).alias("accuracy"),
     )
 
 
-def confusion_matrix(pairs: DataFrame) -> DataFrame:
+def confusion_matrix(pairs: DataFrame, weight: str | None = None) -> DataFrame:
     total = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
-    return confusion_counts(pairs).select(
+    return confusion_counts(pairs, weight).select(
         "tn", "fp", "fn", "tp",
         share(F.col("fp"), total).alias("false_alert_percentage"),
         share(F.col("fn"), total).alias("missed_percentage"),
@@ -57,19 +77,19 @@ def _weighted(metric: str) -> Column:
     return _ratio(zero[metric] * zero["support"] + one[metric] * one["support"], _total())
 
 
-def classification_metrics(pairs: DataFrame, average: str = "positive") -> DataFrame:
+def classification_metrics(pairs: DataFrame, average: str = "positive", weight: str | None = None) -> DataFrame:
     """Accuracy, precision, recall and F1 of the churn class, or weighted by support."""
     if average not in ("positive", "weighted"):
         raise ValueError(f"unknown average {average!r}")
     metrics = ["precision", "recall", "f1_score"]
     values = _class_metrics(1) if average == "positive" else {m: _weighted(m) for m in metrics}
-    return confusion_counts(pairs).select(
+    return confusion_counts(pairs, weight).select(
         rounded(_ratio(F.col("tp") + F.col("tn"), _total()), 6).alias("accuracy"),
         *[rounded(values[m], 6).alias(m) for m in metrics],
     )
 
 
-def classification_report(pairs: DataFrame) -> DataFrame:
+def classification_report(pairs: DataFrame, weight: str | None = None) -> DataFrame:
     """Precision, recall, F1 and support per class, and their macro and weighted averages."""
     zero, one = _class_metrics(0), _class_metrics(1)
     metrics = ["precision", "recall", "f1_score"]
@@ -85,7 +105,7 @@ def classification_report(pairs: DataFrame) -> DataFrame:
         row("macro avg", {m: (zero[m] + one[m]) / 2 for m in metrics}, _total()),
         row("weighted avg", {m: _weighted(m) for m in metrics}, _total()),
     ]
-    return confusion_counts(pairs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return confusion_counts(pairs, weight).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def roc_auc(pairs: DataFrame, score: str = "prediction_probability") -> DataFrame:
@@ -124,10 +144,10 @@ def model_gate(metrics: DataFrame, thresholds: dict[str, float] | None = None) -
     return metrics.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def overfit_gap(train: DataFrame, test: DataFrame, limit: float = 0.10) -> DataFrame:
+def overfit_gap(train: DataFrame, test: DataFrame, limit: float = 0.10, weight: str | None = None) -> DataFrame:
     """Per metric the training value minus the test value."""
-    a = classification_metrics(train)
-    b = classification_metrics(test).select(F.struct("*").alias("t"))
+    a = classification_metrics(train, weight=weight)
+    b = classification_metrics(test, weight=weight).select(F.struct("*").alias("t"))
     joined = a.withColumn("t", b.scalar())
     rows = [
         F.struct(

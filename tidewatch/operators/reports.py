@@ -366,18 +366,6 @@ def churn_risk_level(df: DataFrame, high: float = 25, moderate: float = 15) -> D
     )
 
 
-def prediction_summary(pairs: DataFrame) -> DataFrame:
-    hit = F.col("true_label") == F.col("predicted_label")
-    return pairs.agg(
-        F.count("*").alias("total_predictions"),
-        count_if(F.col("predicted_label") == 1).alias("predicted_churn"),
-        count_if(F.col("predicted_label") == 0).alias("predicted_stay"),
-        count_if(F.col("true_label") == 1).alias("true_churn"),
-        count_if(F.col("true_label") == 0).alias("true_stay"),
-        rounded(F.try_divide(count_if(hit), F.count("*")), 6).alias("accuracy"),
-    )
-
-
 def value_distribution(df: DataFrame, column: str, places: int = 2) -> DataFrame:
     """Count and percentage per value; the total is one constant, not a window."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"))

@@ -107,19 +107,25 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def outcome_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Scored events next to what the customer really did."""
+def _outcomes(spark: SparkSession, folder: str, scored: DataFrame) -> DataFrame:
     truth = customers(spark, folder).select(
         F.col("CustomerId").alias("user_id"), F.col("Exited").alias("true_label")
     )
-    return (
-        score_facts(spark, folder)
-        .join(truth, "user_id")
-        .select(
-            "event_id",
-            "true_label",
-            F.col("prediction").alias("predicted_label"),
-            F.col("probability").alias("prediction_probability"),
-            (F.col("true_label") == F.col("prediction")).alias("correct_prediction"),
-        )
+    return scored.join(truth, "user_id").drop("user_id")
+
+
+def outcome_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Scored events next to what the customer really did."""
+    scored = score_facts(spark, folder).select(
+        "user_id",
+        "event_id",
+        F.col("prediction").alias("predicted_label"),
+        F.col("probability").alias("prediction_probability"),
     )
+    return _outcomes(spark, folder, scored)
+
+
+def outcome_counts(spark: SparkSession, folder: str, *keys) -> DataFrame:
+    """The same pairs counted (``n``) per customer, class and ``keys`` before the join."""
+    scored = score_facts(spark, folder).groupBy("user_id", F.col("prediction").alias("predicted_label"), *keys)
+    return _outcomes(spark, folder, scored.agg(F.count("*").alias("n")))

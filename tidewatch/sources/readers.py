@@ -34,10 +34,13 @@ def read_parquet(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.options(**options).parquet(spark_path(path))
 
 
-def read_json_records(spark: SparkSession, path: str, schema: StructType | str, array: bool = False) -> DataFrame:
-    """JSON lines, or files that each hold one array of records."""
+def read_json_records(spark: SparkSession, path: str, schema: StructType | str, whole_file: bool = False) -> DataFrame:
+    """Records, or arrays of records, one per line; ``whole_file`` for one array per file.
+
+    Lines can be split over tasks, a whole file cannot.
+    """
     reader = spark.read.schema(schema)
-    return (reader.option("multiLine", "true") if array else reader).json(spark_path(path))
+    return (reader.option("multiLine", "true") if whole_file else reader).json(spark_path(path))
 
 
 def load_table(

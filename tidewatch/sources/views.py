@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from tidewatch import schemas
 from tidewatch.operators import reports as R
-from tidewatch.sources.keyed import DAY, with_day
+from tidewatch.sources.keyed import DAY, by_day
 
 
 @dataclass(frozen=True)
@@ -41,12 +41,9 @@ def write_by_day(df: DataFrame, path: str, column: str, sort_by: Sequence[str] =
     """Append, one folder per day, rows of a file sorted for min/max skipping.
 
     The day prunes folders, the order inside a file lets Parquet statistics skip
-    row groups: together they stand in for the indexes of a database.  Rows are
-    not shuffled by day, so a day that holds a third of them is written by many
-    tasks.
+    row groups: together they stand in for the indexes of a database.
     """
-    dated = with_day(df, column)
-    dated.sortWithinPartitions(DAY, *sort_by).write.mode(mode).partitionBy(DAY).parquet(path)
+    by_day(df, column).sortWithinPartitions(DAY, *sort_by).write.mode(mode).partitionBy(DAY).parquet(path)
 
 
 def load(df: DataFrame, table: Table) -> None:

@@ -22,7 +22,15 @@ def write_json_records(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     df.write.mode(mode).option("ignoreNullFields", "false").json(spark_path(path))
 
 
-SPLIT_TABLES = ["X_train", "X_test", "Y_train", "Y_test"]
+def write_json_arrays(df: DataFrame, path: str, group, mode: str = "overwrite") -> None:
+    """JSON arrays of records, one array per value of ``group`` and line.
+
+    An array is built in memory: choose groups of a bounded number of rows.
+    """
+    record = F.struct(*df.columns)
+    arrays = df.groupBy(group.alias("_group")).agg(F.collect_list(record).alias("records"))
+    lines = arrays.select(F.to_json("records", {"ignoreNullFields": "false"}).alias("value"))
+    lines.write.mode(mode).text(spark_path(path))
 
 
 def split_tables(df: DataFrame, target: str, keep: Sequence[str] = ()) -> dict[str, DataFrame]:
