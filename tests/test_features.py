@@ -68,6 +68,13 @@ def test_alphabetical_codes(places):
     assert column(E.label_encode_alpha(places, ["c"]), "c", "id") == [1, 1, 0, 2, 3, 0, 1]
 
 
+def test_long_category_lists_are_numbered_on_the_executors(spark, places):
+    many = spark.range(3000).select("id", F.concat(F.lit("é"), (F.col("id") % 777).cast("string")).alias("c"))
+    for df in (places, many):
+        for fit in (E.frequency_encoder, E.alphabetical_encoder, E.encoder_table):
+            assert spark_rows(fit(df, ["c"], small=2)) == spark_rows(fit(df, ["c"]))
+
+
 def test_ordinal(places):
     assert column(E.ordinal_encode(places, {"c": {"a": 10, "b": 20}}), "c", "id") == [20, 20, 10, -1, None, 10, 20]
 

@@ -75,7 +75,7 @@ def realtime_dashboard(spark, folder):
     return R.realtime_dashboard(score_facts(spark, folder), latest_instant(spark, folder))
 
 
-def _geography(spark, folder):
+def geography_report(spark, folder):
     month = R.last(score_facts(spark, folder), latest_instant(spark, folder), "30 DAYS")
     states = with_attributes(spark, folder, R.customer_state(month))
     return R.geography_rows(R.merge_states(states, "geography"))
@@ -93,7 +93,7 @@ def _risky_customers(spark, folder):
 
 @query("geography_churn", on_predictions("SELECT * FROM by_geography", GEOGRAPHY))
 def geography_churn(spark, folder):
-    return _geography(spark, folder)
+    return geography_report(spark, folder)
 
 
 @query(
@@ -329,7 +329,7 @@ def risk_histogram_all(spark, folder):
 )
 def rate_traffic_light(spark, folder):
     rate = F.col("churn_rate")
-    return _geography(spark, folder).select(
+    return geography_report(spark, folder).select(
         "geography",
         "churn_rate",
         R.traffic_light(rate, 15, 20).alias("overall_colour"),

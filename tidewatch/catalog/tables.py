@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import query
-from tidewatch.catalog.reports import ALERTS, DASHBOARD, GEOGRAPHY, HOURLY, TOP_RISK
+from tidewatch.catalog.reports import ALERTS, DASHBOARD, GEOGRAPHY, HOURLY, TOP_RISK, geography_report
 from tidewatch.catalog.sqltext import on_customers, on_predictions, rnd
 from tidewatch.operators import reports as R
 from tidewatch.operators import split as SP
@@ -204,7 +204,7 @@ def sql_source(spark, folder):
 def report_export(spark, folder):
     as_of = latest_instant(spark, folder)
     reports = {
-        "geography": R.geography_churn(predictions(spark, folder), as_of).select(
+        "geography": geography_report(spark, folder).select(
             F.col("geography").alias("label"), F.col("churn_rate").alias("value")
         ),
         "dashboard": R.realtime_dashboard(score_facts(spark, folder), as_of).select(
@@ -318,15 +318,13 @@ def archive_old(spark, folder):
 )
 def create_tables(spark, folder):
     root, scored = work_folder(spark, "tables"), predictions(spark, folder)
-    rows = {
-        "churn_predictions": scored.withColumn("estimated_salary", F.lit(None).cast("double")),
-        "churn_metrics_hourly": R.rollup_hourly(scored),
-        "churn_metrics_daily": R.rollup_daily(scored),
-        "high_risk_customers": R.high_risk_alerts(scored),
-    }
     tables = views.create_tables(spark, root)
-    for name, df in rows.items():
-        views.load(df, tables[name])
+    views.load(scored.withColumn("estimated_salary", F.lit(None).cast("double")), tables["churn_predictions"])
+    # The other tables come from the stored predictions: the join is not repeated.
+    stored = views.read(spark, tables["churn_predictions"])
+    views.load(R.rollup_hourly(stored), tables["churn_metrics_hourly"])
+    views.load(R.rollup_daily(stored), tables["churn_metrics_daily"])
+    views.load(R.high_risk_alerts(stored), tables["high_risk_customers"])
     return R.union_all(
         [
             views.read(spark, t).agg(

@@ -8,38 +8,56 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions.stats import numbered
 from tidewatch.operators.missing import fill_sentinel
+from tidewatch.operators.profile import text_counts, top_per_column
 from tidewatch.operators.reports import union_all
 
 
-def _positions(counts: DataFrame, column: str, *order: Column) -> DataFrame:
-    """Number the categories from 0; works for a handful and for billions."""
-    return numbered(counts, *order, name="code").select(
-        F.lit(column).alias("column"), "category", F.col("code").cast("int").alias("code")
-    )
+# Up to this many categories in all, an encoder is fitted into a literal table.
+SMALL = 10000
 
 
-def frequency_encoder(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Codes by falling frequency, ties in alphabetical order; nulls as 'MISSING'."""
-    filled = fill_sentinel(df, cols)
+def _positions(counts: DataFrame, cols: Sequence[str], by_frequency: bool, small: int) -> DataFrame:
+    """Number the categories of each column from 0.
+
+    All columns come out of the same counts, one scan and one shuffle of the
+    table.  A short list is numbered here and becomes a literal table, which
+    Catalyst then broadcasts; a longer one is numbered in ranges on the executors.
+    """
+    few = counts.limit(small + 1).collect()
+    if len(few) <= small:
+        rows = []
+        for c in cols:
+            mine = [r for r in few if r["column"] == c]
+            mine.sort(key=lambda r: (-r["n"] if by_frequency else 0, r["value"]))
+            rows += [(c, r["value"], i) for i, r in enumerate(mine)]
+        # From Arrow, so that the plan holds a local relation of known size.
+        fields = [("column", pa.string()), ("category", pa.string()), ("code", pa.int32())]
+        arrays = [pa.array(v, t) for v, (_, t) in zip(zip(*rows) if rows else ([], [], []), fields)]
+        return counts.sparkSession.createDataFrame(pa.table(arrays, names=[n for n, _ in fields]))
+    order = [-F.col("n"), F.col("category")] if by_frequency else [F.col("category")]
     parts = []
     for c in cols:
-        counts = filled.groupBy(F.col(c).alias("category")).agg(F.count("*").alias("_n"))
-        parts.append(_positions(counts, c, -F.col("_n"), F.col("category")))
+        mine = counts.where(F.col("column") == c).select("column", F.col("value").alias("category"), "n")
+        parts.append(
+            numbered(mine, *order, name="code").select("column", "category", F.col("code").cast("int").alias("code"))
+        )
     return union_all(parts)
 
 
-def alphabetical_encoder(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def frequency_encoder(df: DataFrame, cols: Sequence[str], small: int = SMALL) -> DataFrame:
+    """Codes by falling frequency, ties in alphabetical order; nulls as 'MISSING'."""
+    return _positions(text_counts(df, cols, "MISSING"), cols, True, small)
+
+
+def alphabetical_encoder(df: DataFrame, cols: Sequence[str], small: int = SMALL) -> DataFrame:
     """Codes in alphabetical order; nulls as 'nan', the text a missing value has there."""
-    parts = []
-    for c in cols:
-        values = df.select(F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("category")).distinct()
-        parts.append(_positions(values, c, F.col("category")))
-    return union_all(parts)
+    return _positions(text_counts(df, cols, "nan"), cols, False, small)
 
 
 def apply_encoder(
@@ -110,20 +128,13 @@ def categories(df: DataFrame, cols: Sequence[str], max_categories: int = 1000) -
     They become column names, so they must be known when the plan is built.  One
     job for all columns; a column with more than ``max_categories`` values raises.
     """
-    found = {}
-    pairs = union_all(
-        [
-            df.where(F.col(c).isNotNull()).select(F.lit(c).alias("column"), F.col(c).alias("category")).distinct()
-            .limit(max_categories + 1)
-            for c in cols
-        ]
-    )
-    for row in pairs.collect():
-        found.setdefault(row["column"], []).append(row["category"])
+    found: dict[str, list[str]] = {c: [] for c in cols}
+    for row in top_per_column(text_counts(df, cols), max_categories + 1).collect():
+        found[row["column"]].append(row["value"])
     for c, values in found.items():
         if len(values) > max_categories:
             raise ValueError(f"{c} has more than {max_categories} categories; index it instead")
-    return {c: sorted(found.get(c, [])) for c in cols}
+    return {c: sorted(values) for c, values in found.items()}
 
 
 def one_hot_apply(df: DataFrame, values: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -139,10 +150,6 @@ def one_hot_columns(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None
     return one_hot_apply(df, categories(df if fit_on is None else fit_on, cols))
 
 
-def encoder_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def encoder_table(df: DataFrame, cols: Sequence[str], small: int = SMALL) -> DataFrame:
     """Alphabetical codes of the non-null categories, as published next to a dataset."""
-    parts = []
-    for c in cols:
-        values = df.where(F.col(c).isNotNull()).select(F.col(c).alias("category")).distinct()
-        parts.append(_positions(values, c, F.col("category")))
-    return union_all(parts)
+    return _positions(text_counts(df, cols), cols, False, small)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.expr import hash32, rounded
 from tidewatch.functions.stats import attach, quantiles, stat, widened
-from tidewatch.operators.profile import numeric_columns, text_columns
+from tidewatch.operators.profile import numeric_columns, text_columns, text_counts
 from tidewatch.schemas import IDENTIFIERS
 
 STATS = "_fill"
@@ -39,6 +39,14 @@ def mode_stats(df: DataFrame, column: str, default: str | None = None) -> DataFr
     return best.agg(F.coalesce(F.max(column), F.lit(default)).alias(column))
 
 
+def modes_stats(df: DataFrame, cols: Sequence[str], default: str | None = None) -> DataFrame:
+    """The modes of several text columns from one scan."""
+    best = F.min(F.struct((-F.col("n")).alias("rank"), "value")).alias("best")
+    per_column = text_counts(df, cols).groupBy(F.col("column").alias("feature")).agg(best)
+    found = per_column.agg(*widened(cols, F.col("best.value")))
+    return found.select(*[F.coalesce(F.col(c), F.lit(default)).alias(c) for c in cols])
+
+
 def fill_from(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Fill the nulls of ``cols`` from the one-row ``stats`` (fitted on any frame)."""
     filled = attach(df, stats, STATS)
@@ -128,9 +136,8 @@ def missing_policy_pandas(df: DataFrame, skip: Sequence[str] = IDENTIFIERS) -> D
     numeric = [c for c in numeric_columns(df) if c not in skip]
     known = df.dropna(subset=["Gender"]) if "Gender" in df.columns else df
     filled = fill_from(known, median_stats(df, numeric), numeric)
-    for column in [c for c in text_columns(df) if c != "Gender" and c not in skip]:
-        filled = fill_from(filled, mode_stats(known, column, "Unknown"), [column])
-    return filled
+    texts = [c for c in text_columns(df) if c != "Gender" and c not in skip]
+    return fill_from(filled, modes_stats(known, texts, "Unknown"), texts) if texts else filled
 
 
 def missing_policy_spark(df: DataFrame, critical: Sequence[str] = ("Firstname",)) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tidewatch.functions.expr import count_if, rounded, share
-from tidewatch.functions.stats import attach, quantiles, stat
+from tidewatch.functions.stats import quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -95,27 +95,47 @@ def numeric_column_stats(df: DataFrame, cols: Sequence[str], method: str = "exac
     return basics.join(quartiles, "column", "left")
 
 
+def text_counts(df: DataFrame, cols: Sequence[str], null_as: str | None = None) -> DataFrame:
+    """``(column, value, n)``: rows per value of every column, from one scan and one shuffle.
+
+    Nulls are left out, or counted as ``null_as``.
+    """
+    texts = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(null_as)).alias(c) for c in cols])
+    long = texts.unpivot([], list(cols), "column", "value")
+    return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def top_per_column(counts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most frequent values of each column.
+
+    A rank with a limit: every task keeps its best ``n`` per column before the
+    shuffle, however many values there are.
+    """
+    rank = F.row_number().over(W.partitionBy("column").orderBy(F.desc("n"), F.asc("value")))
+    return counts.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
 def categorical_column_stats(df: DataFrame, cols: Sequence[str], n: int = 10) -> DataFrame:
     """Distinct count and the top values of each text column."""
-    from tidewatch.operators.reports import top_values, union_all
-
-    parts = []
-    for c in cols:
-        distinct = df.agg(F.countDistinct(c).alias("distinct"))
-        top = top_values(df.where(F.col(c).isNotNull()), c, n)
-        parts.append(
-            attach(top, distinct).select(
-                F.lit(c).alias("column"), stat("distinct").alias("distinct_count"), "value", "count"
-            )
-        )
-    return union_all(parts)
+    counts = text_counts(df, cols)
+    distinct = counts.groupBy("column").agg(F.count("*").alias("distinct_count"))
+    # One row per column name.
+    return top_per_column(counts, n).join(F.broadcast(distinct), "column").select(
+        "column", "distinct_count", "value", F.col("n").alias("count")
+    )
 
 
 def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows beyond the first of each group; nulls equal each other."""
-    groups = df.groupBy(*(cols or df.columns)).agg(F.count("*").alias("_n"))
+    return duplicates_in(df.groupBy(*(cols or df.columns)).agg(F.count("*").alias("n")))
+
+
+def duplicates_in(groups: DataFrame) -> DataFrame:
+    """The same from groups that are counted already (``n``)."""
+    rows = F.coalesce(F.sum("n"), F.lit(0))
+    extra = F.coalesce(F.sum(F.col("n") - 1), F.lit(0))
     return groups.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
-        share(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)), F.sum("_n")).alias("duplicate_percentage"),
+        rows.alias("total_rows"),
+        extra.alias("duplicate_rows"),
+        share(extra, rows).alias("duplicate_percentage"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidewatch.functions.expr import count_if, rounded
 from tidewatch.functions.stats import running_counts, unpivoted
 from tidewatch.operators.outliers import outlier_share
-from tidewatch.operators.profile import duplicate_count
+from tidewatch.operators.profile import duplicates_in
 from tidewatch.operators.reports import union_all
 from tidewatch.schemas import CATEGORICAL, NUMERIC, REQUIRED, TARGET
 
@@ -147,9 +147,12 @@ def check_duplicates(df: DataFrame, key: str = "CustomerId", limit: float = MAX_
             F.coalesce(percentage <= limit, F.lit(True)).alias("passed"),
         )
 
-    parts = [row(duplicate_count(df), "duplicate_rows", "*")]
+    # Distinct rows with their counts serve both checks: the table is read and shuffled once.
+    groups = df.groupBy(*df.columns).agg(F.count("*").alias("n"))
+    parts = [row(duplicates_in(groups), "duplicate_rows", "*")]
     if key in df.columns:
-        parts.insert(0, row(duplicate_count(df, [key]), "duplicate_keys", key))
+        keys = groups.groupBy(key).agg(F.sum("n").alias("n"))
+        parts.insert(0, row(duplicates_in(keys), "duplicate_keys", key))
     return union_all(parts)
 
 

@@ -367,9 +367,9 @@ def churn_risk_level(df: DataFrame, high: float = 25, moderate: float = 15) -> D
 
 
 def value_distribution(df: DataFrame, column: str, places: int = 2) -> DataFrame:
-    """Count and percentage per value; the total is one constant, not a window."""
+    """Count and percentage per value; the total is one constant out of the same counts."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"))
-    total = df.agg(F.count("*").alias("total"))
+    total = counts.agg(F.sum("count").alias("total"))
     return (
         attach(counts, total)
         .withColumn("percentage", share(F.col("count"), stat("total"), places))

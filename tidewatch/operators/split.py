@@ -113,7 +113,7 @@ def split_report(df: DataFrame, target: str) -> DataFrame:
     counts = df.groupBy(SIDE, target).agg(F.count("*").alias("count"))
     # One row per side and class.
     within = F.sum("count").over(W.partitionBy(SIDE))
-    total = df.agg(F.count("*").alias("total"))
+    total = counts.agg(F.sum("count").alias("total"))
     return attach(counts.withColumn("side_rows", within), total).select(
         SIDE,
         F.col(target).alias("target"),
