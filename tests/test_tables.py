@@ -125,6 +125,25 @@ def test_upsert_table_touches_only_its_days(spark, tmp_path):
     assert K.read_table(spark, path, rows_of(spark, [])).count() == 4
 
 
+def test_upsert_table_writes_only_what_changes(spark, tmp_path):
+    path, like = f"{tmp_path}/t", rows_of(spark, [])
+
+    def files(day):
+        folder = tmp_path / "t" / f"predicted_date=2024-01-0{day}"
+        return {p.name for p in folder.iterdir() if p.suffix == ".parquet"}
+
+    batch = [("a", 1, 0, 1), ("b", 2, 0, 2)]
+    K.upsert_table(spark, path, rows_of(spark, batch), ["k"], ["at"], "at")
+    first = files(1), files(2)
+    K.upsert_table(spark, path, rows_of(spark, batch), ["k"], ["at"], "at")
+    assert (files(1), files(2)) == first
+    K.upsert_table(spark, path, rows_of(spark, [("c", 1, 5, 3), ("b", 2, 0, 9)]), ["k"], ["at"], "at")
+    assert files(1) > first[0] and not files(2) & first[1]
+    assert [(r["k"], r["v"]) for r in K.read_table(spark, path, like).orderBy("k").collect()] == [("a", 1), ("b", 9), ("c", 3)]
+    K.upsert_table(spark, path, rows_of(spark, [("b", 2, 0, None)]), ["k"], ["at"], "at")
+    assert K.read_table(spark, path, like).where("k = 'b'").first()["v"] is None
+
+
 def test_archive(spark, tmp_path):
     live, old, like = f"{tmp_path}/live", f"{tmp_path}/old", rows_of(spark, [])
     K.append_table(rows_of(spark, [("a", 1, 0, 1), ("b", 2, 5, 2), ("c", 2, 6, 3), ("d", 3, 0, 4)]), live, "at")

@@ -138,8 +138,7 @@ def insert_table(
     known = read_table(spark, path, batch)
     if same_day:
         known = _only_days(spark, path, batch, _days(batch, column))
-    fresh = materialize(new_rows(known, batch, keys, order), "insert")
-    append_table(fresh, path, column)
+    append_table(new_rows(known, batch, keys, order), path, column)
 
 
 def _only_days(spark: SparkSession, path: str, like: DataFrame, days: list) -> DataFrame:
@@ -152,17 +151,29 @@ def _only_days(spark: SparkSession, path: str, like: DataFrame, days: list) -> D
 def upsert_table(
     spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], order: Sequence[str], column: str
 ) -> None:
-    """Upsert on keys that fix the day, rewriting the touched days only.
+    """Upsert on keys that fix the day.
 
-    The merged days are written aside first; the swap reads that copy, so an
-    interrupted swap can be repeated.
+    Days that only gain rows are appended to; a day is rewritten when a row of it
+    really changes, so a repeated batch writes nothing.  Rewritten days are
+    written aside first and the swap reads that copy: an interrupted swap can be
+    repeated.
     """
-    staged = materialize(changes, "changes")
+    last = one_per_key(changes.where(_has_key(keys)), keys, order, "last")
+    staged = materialize(last.unionByName(changes.where(~_has_key(keys))), "changes")
     days = _days(staged, column)
     if not days:
         return
-    merged = upsert(_only_days(spark, path, changes, days), staged, keys, order)
-    _replace_days(materialize(merged, "merged"), path, column)
+    stored = _only_days(spark, path, changes, days)
+    rest = [c for c in changes.columns if c not in keys]
+    before = stored.select(*keys, F.struct(*rest).alias("_before"))
+    changed = staged.join(before, list(keys)).where(~F.struct(*rest).eqNullSafe(F.col("_before")))
+    rewritten = _days(changed, column)
+    fresh = staged.join(stored.select(*keys), list(keys), "left_anti").select(*changes.columns)
+    day = F.to_date(column)
+    append_table(fresh.where(~day.isin(rewritten)) if rewritten else fresh, path, column)
+    if rewritten:
+        merged = upsert(stored.where(day.isin(rewritten)), staged.where(day.isin(rewritten)), keys, order)
+        _replace_days(materialize(merged, "merged"), path, column)
 
 
 def archive_table(spark: SparkSession, live: str, archive: str, cutoff, keys: Sequence[str], column: str, like: DataFrame) -> None:
