@@ -54,13 +54,15 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/tidewatch/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
+def materialize(df: DataFrame, purpose: str, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` to the shared work folder and read it back.
 
     For a frame that several later steps read: it is computed once, its lineage
-    ends here, and unlike a cache it does not go away with an executor.
+    ends here, and unlike a cache it does not go away with an executor.  A
+    streaming batch is read back in the session ``spark`` that started the
+    stream: the batch's own session has adaptive execution switched off.
     """
-    spark = df.sparkSession
+    spark = spark or df.sparkSession
     path = work_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

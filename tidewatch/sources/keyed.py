@@ -149,28 +149,38 @@ def _only_days(spark: SparkSession, path: str, like: DataFrame, days: list) -> D
 
 
 def upsert_table(
-    spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], order: Sequence[str], column: str
+    spark: SparkSession,
+    path: str,
+    changes: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    column: str,
+    compare: bool = True,
 ) -> None:
     """Upsert on keys that fix the day.
 
     Days that only gain rows are appended to; a day is rewritten when a row of it
-    really changes, so a repeated batch writes nothing.  Rewritten days are
-    written aside first and the swap reads that copy: an interrupted swap can be
-    repeated.
+    really changes, so a repeated batch writes nothing.  Without ``compare`` every
+    day of the batch is rewritten, which is cheaper where most batches change a
+    few rows of small days.  Rewritten days are written aside first and the swap
+    reads that copy: an interrupted swap can be repeated.
     """
-    last = one_per_key(changes.where(_has_key(keys)), keys, order, "last")
-    staged = materialize(last.unionByName(changes.where(~_has_key(keys))), "changes")
-    days = _days(staged, column)
+    # First of all, and once: every use of a streaming batch computes it anew.
+    batch = materialize(changes, "changes", spark)
+    days = _days(batch, column)
     if not days:
         return
+    last = one_per_key(batch.where(_has_key(keys)), keys, order, "last")
+    staged = last.unionByName(batch.where(~_has_key(keys)))
     stored = _only_days(spark, path, changes, days)
-    rest = [c for c in changes.columns if c not in keys]
-    before = stored.select(*keys, F.struct(*rest).alias("_before"))
-    changed = staged.join(before, list(keys)).where(~F.struct(*rest).eqNullSafe(F.col("_before")))
-    rewritten = _days(changed, column)
-    fresh = staged.join(stored.select(*keys), list(keys), "left_anti").select(*changes.columns)
-    day = F.to_date(column)
-    append_table(fresh.where(~day.isin(rewritten)) if rewritten else fresh, path, column)
+    day, rewritten = F.to_date(column), days
+    if compare:
+        rest = [c for c in changes.columns if c not in keys]
+        before = stored.select(*keys, F.struct(*rest).alias("_before"))
+        changed = staged.join(before, list(keys)).where(~F.struct(*rest).eqNullSafe(F.col("_before")))
+        rewritten = _days(changed, column)
+        fresh = staged.join(stored.select(*keys), list(keys), "left_anti").select(*changes.columns)
+        append_table(fresh.where(~day.isin(rewritten)) if rewritten else fresh, path, column)
     if rewritten:
         merged = upsert(stored.where(day.isin(rewritten)), staged.where(day.isin(rewritten)), keys, order)
         _replace_days(materialize(merged, "merged"), path, column)

@@ -15,6 +15,7 @@ from tidewatch.functions.expr import HIGH_RISK, risk_score
 from tidewatch.operators import reports as R
 from tidewatch.operators.projections import event_defaults, event_struct
 from tidewatch.schemas import PREDICTIONS
+from tidewatch.session import materialize
 from tidewatch.sources import keyed
 
 CORRUPT = "_corrupt"
@@ -110,17 +111,15 @@ def scoring_job(stream: DataFrame, table: str, outbox: str, checkpoint: str):
     A repeated batch changes nothing: the table ignores known events, and the
     outbox folder of a batch is overwritten.
     """
+    spark = stream.sparkSession
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = stored(batch).persist()
-        try:
-            spark = batch.sparkSession
-            keyed.insert_table(spark, table, rows, ["event_id"], ["predicted_at"], "predicted_at", same_day=True)
-            result = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
-            rows.select(F.col("customer_id").alias("key"), result.alias("value")).write.mode("overwrite").json(
-                f"{outbox}/batch={batch_id}"
-            )
-        finally:
-            rows.unpersist()
+        rows = materialize(stored(batch), "scored", spark)
+        keyed.insert_table(spark, table, rows, ["event_id"], ["predicted_at"], "predicted_at", same_day=True)
+        result = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+        rows.select(F.col("customer_id").alias("key"), result.alias("value")).write.mode("overwrite").json(
+            f"{outbox}/batch={batch_id}"
+        )
 
     return each_batch(score(stream), write, checkpoint)
 
@@ -138,20 +137,21 @@ def rollup_job(predictions: DataFrame, table: str, checkpoint: str, width: str =
     start = F.col("w.start").cast("timestamp_ntz")
     start = F.to_date(start) if key == "date" else start
     states = windowed_states(predictions, width, delay).withColumn(key, start).drop("w")
+    spark = predictions.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        keyed.upsert_table(batch.sparkSession, table, R.finish(batch, key), [key], [], key)
+        keyed.upsert_table(spark, table, R.finish(batch, key), [key], [], key, compare=False)
 
     return each_batch(states, write, checkpoint, "update")
 
 
 def alert_job(predictions: DataFrame, table: str, checkpoint: str, threshold: float = HIGH_RISK):
     """Upsert an alert per customer and event time of high risk."""
+    spark = predictions.sparkSession
+
     def write(batch: DataFrame, batch_id: int) -> None:
         alerts = R.high_risk_alerts(stored(batch), threshold)
-        keyed.upsert_table(
-            batch.sparkSession, table, alerts, ["customer_id", "detected_at"], ["risk_score"], "detected_at"
-        )
+        keyed.upsert_table(spark, table, alerts, ["customer_id", "detected_at"], ["risk_score"], "detected_at")
 
     return each_batch(predictions, write, checkpoint)
 
