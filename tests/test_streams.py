@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.util import spark_rows
 from tidewatch import schemas
+from tidewatch.functions.expr import naive, utc_clock, utc_instant
 from tidewatch.catalog import streams as C
 from tidewatch.operators import reports as R
 from tidewatch.plans.fixtures import predictions
@@ -60,6 +61,16 @@ def test_defaults_and_envelopes(spark):
     assert rows[f"evt_9_{seconds}"]["CustomerId"] == 9
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_are_utc_in_any_session(spark, conf, zone):
+    conf(**{"spark.sql.session.timeZone": zone})
+    stamps = ["2024-01-01T10:00:00", "2024-01-01T10:00:00Z", "2024-01-01T15:30:00+05:30", "2024-01-01 10:00:00.000000", "soon", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(stamps)], "i int, s string")
+    clocks = [r[1] for r in df.select("i", utc_clock(utc_instant(F.col("s")))).orderBy("i").collect()]
+    assert clocks == [dt.datetime(2024, 1, 1, 10)] * 4 + [None, None]
+    assert spark.range(1).select(naive(dt.datetime(2024, 1, 1, 10))).first()[0] == dt.datetime(2024, 1, 1, 10)
+
+
 def test_top_level_id_wins(spark):
     value = json.loads(message("inner", 1))
     value["event_id"] = "outer"

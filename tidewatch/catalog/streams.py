@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog.registry import query
 from tidewatch.catalog.reports import ALERTS, DAILY, HOURLY
 from tidewatch.catalog.sqltext import hash32, on_customers, on_predictions, rnd
-from tidewatch.functions.expr import churn_label, rounded
+from tidewatch.functions.expr import churn_label, rounded, utc_clock, utc_instant
 from tidewatch.operators import projections as P
 from tidewatch.operators.reports import union_all
 from tidewatch.plans.fixtures import customer_attributes, customers, predictions, table
@@ -96,7 +96,7 @@ _EVENT_COLUMNS = [
 
 
 def _event_view(df):
-    return df.select(*_EVENT_COLUMNS, F.col("event_time").cast("timestamp_ntz").alias("event_time"))
+    return df.select(*_EVENT_COLUMNS, utc_clock(F.col("event_time")).alias("event_time"))
 
 
 # --- payloads ----------------------------------------------------------------
@@ -149,12 +149,12 @@ def score_event_row(spark, folder):
 def event_stream_source(spark, folder):
     root = _publish(spark, folder, "source")
     rows = MSG.file_messages(spark, f"{root}/topic").select(
-        "topic", "partition", "offset", "key", F.to_timestamp("timestamp").alias("message_time")
+        "topic", "partition", "offset", "key", utc_instant(F.col("timestamp")).alias("message_time")
     )
     writer = rows.writeStream.format("parquet").option("path", f"{root}/table")
     J.run_available(writer.option("checkpointLocation", f"{root}/checkpoint"))
     return spark.read.schema(rows.schema).parquet(f"{root}/table").withColumn(
-        "message_time", F.col("message_time").cast("timestamp_ntz")
+        "message_time", utc_clock(F.col("message_time"))
     )
 
 
@@ -167,7 +167,8 @@ def event_stream_sink(spark, folder):
     scored = J.score(_events(spark, root))
     result = F.to_json(F.struct("event_id", "prediction", "geography"))
     outgoing = MSG.message_rows(
-        scored, "churn-predictions", F.col("customer_id"), result, F.col("event_id"), F.col("predicted_at")
+        scored, "churn-predictions", F.col("customer_id"), result, F.col("event_id"),
+        utc_clock(F.col("predicted_at")),
     )
     J.run_available(MSG.file_sink(outgoing, f"{root}/out", f"{root}/checkpoint"))
     sent = spark.read.schema(MSG.MESSAGE).json(f"{root}/out")

@@ -29,6 +29,26 @@ def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
+def naive(ts: dt.datetime) -> Column:
+    """A datetime as a zone-less constant, whatever the zone of the session."""
+    return F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+_EPOCH = "TIMESTAMP '1970-01-01 00:00:00Z'"
+_EPOCH_CLOCK = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def utc_instant(text: Column) -> Column:
+    """The instant an ISO text names, in UTC unless it says otherwise; null if it is none."""
+    zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    return F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))))
+
+
+def utc_clock(instant: Column) -> Column:
+    """What a clock in UTC shows at an instant."""
+    return F.expr(_EPOCH_CLOCK) + (instant - F.expr(_EPOCH))
+
+
 def earlier(as_of: DataFrame | dt.datetime, interval: str) -> Column:
     """The instant ``interval`` before ``as_of``, as one constant.
 
@@ -39,14 +59,14 @@ def earlier(as_of: DataFrame | dt.datetime, interval: str) -> Column:
     if isinstance(as_of, DataFrame):
         name = as_of.columns[0]
         return as_of.select(F.col(name) - F.expr(f"INTERVAL {interval}")).scalar()
-    return F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {interval}")
+    return naive(as_of) - F.expr(f"INTERVAL {interval}")
 
 
 def instant(as_of: DataFrame | dt.datetime) -> Column:
     """``as_of`` itself as a constant."""
     if isinstance(as_of, DataFrame):
         return as_of.scalar()
-    return F.lit(as_of).cast("timestamp_ntz")
+    return naive(as_of)
 
 
 def hour_of(ts: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from tidewatch.functions.expr import churn_label, rounded
+from tidewatch.functions.expr import churn_label, naive, rounded
 from tidewatch.sources.readers import list_versions, spark_path
 
 LABEL = "label"
@@ -69,7 +69,7 @@ def batch_score(
         churn_label(F.col("prediction"), "Churn", "Retain").alias("status"),
         rounded(100 * probability, 2).alias("confidence"),
         F.lit(batch_id).alias("batch_id"),
-        F.lit(scored_at).cast("timestamp_ntz").alias("scored_at"),
+        naive(scored_at).alias("scored_at"),
     )
 
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidewatch.functions.expr import utc_instant
 from tidewatch.schemas import IDENTIFIERS, TARGET
 
 # The ordered model matrix.
@@ -108,9 +109,10 @@ def event_defaults(df: DataFrame, message: str = "m") -> DataFrame:
         name: F.coalesce(field(name), F.lit(default).cast(kind)) for name, (kind, default) in EVENT_DEFAULTS.items()
     }
     stamp = F.coalesce(F.col(f"{message}.timestamp"), field("event_timestamp"))
-    seconds = F.unix_timestamp(F.try_to_timestamp(stamp)).cast("string")
+    at = utc_instant(stamp)
+    seconds = F.unix_seconds(at).cast("string")
     fallback = F.concat(F.lit("evt_"), values["CustomerId"].cast("string"), F.lit("_"), F.coalesce(seconds, F.lit("0")))
     identity = F.coalesce(F.col(f"{message}.event_id"), F.col(f"{message}.data.event_id"), fallback)
     return df.withColumns(
-        {**values, "event_id": identity, "event_time": F.try_to_timestamp(stamp)}
+        {**values, "event_id": identity, "event_time": at}
     ).drop(message)

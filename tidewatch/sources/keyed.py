@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidewatch.functions.expr import naive
 from tidewatch.session import materialize
 from tidewatch.sources.readers import path_exists, spark_path
 
@@ -192,7 +193,7 @@ def archive_table(spark: SparkSession, live: str, archive: str, cutoff, keys: Se
     Rows reach the archive before they leave the live table, and the archive
     ignores known keys: a rerun after a failure completes the move.
     """
-    limit = F.lit(cutoff).cast("timestamp_ntz")
+    limit = naive(cutoff)
     table = spark.read.schema(with_schema(like)).parquet(spark_path(live))
     # The day filter prunes folders; the exact one decides the cut-off day.
     candidates = table.where(F.col(DAY) <= F.to_date(limit)).select(*like.columns)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewatch.functions.expr import HIGH_RISK, risk_score
+from tidewatch.functions.expr import HIGH_RISK, risk_score, utc_clock
 from tidewatch.operators import reports as R
 from tidewatch.operators.projections import event_defaults, event_struct
 from tidewatch.schemas import PREDICTIONS
@@ -83,7 +83,8 @@ def score(
 
 def stored(df: DataFrame) -> DataFrame:
     """Prediction rows in the types of the prediction table."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PREDICTIONS.fields])
+    clock = {"predicted_at": utc_clock(F.col("predicted_at"))}
+    return df.select(*[clock.get(f.name, F.col(f.name).cast(f.dataType)).alias(f.name) for f in PREDICTIONS.fields])
 
 
 # --- running -----------------------------------------------------------------
@@ -134,7 +135,7 @@ def windowed_states(predictions: DataFrame, width: str, delay: str, threshold: f
 def rollup_job(predictions: DataFrame, table: str, checkpoint: str, width: str = "1 hour", delay: str = "2 hours"):
     """Upsert the metric row of every window that changed."""
     key = "date" if width == "1 day" else R.HOUR
-    start = F.col("w.start").cast("timestamp_ntz")
+    start = utc_clock(F.col("w.start"))
     start = F.to_date(start) if key == "date" else start
     states = windowed_states(predictions, width, delay).withColumn(key, start).drop("w")
     spark = predictions.sparkSession
