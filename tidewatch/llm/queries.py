@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import packing
+from tidewatch.llm import decontaminate, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,3 +41,40 @@ def vocabulary() -> str:
 @query("op6_packing")
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary())
+
+
+_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+
+@query(
+    "op10_decontaminate",
+    f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS u, {_WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    p AS (
+        SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS p
+        FROM (SELECT item_id, w, least(len(w), 10) AS m,
+                     unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)
+    ),
+    g AS (
+        SELECT u, m, i, array_to_string(w[i:i + m - 1], ' ') AS p
+        FROM (SELECT u, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i
+              FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m)
+    ),
+    h AS (SELECT g.u, g.i, g.m, p.item_id FROM g JOIN p USING (p, m)),
+    n AS (SELECT u, count(DISTINCT q) AS n_hit FROM (SELECT u, unnest(generate_series(i, i + m - 1)) AS q FROM h) GROUP BY u),
+    t AS (
+        SELECT u, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS s
+        FROM (SELECT DISTINCT u, item_id::VARCHAR AS x FROM h) GROUP BY u
+    )
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN n USING (u) LEFT JOIN t USING (u)
+    """,
+)
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.report(decontaminate.find(docs, items))
