@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, packing
+from tidewatch.llm import decontaminate, packing, warc
+from tidewatch.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,3 +79,23 @@ _WORDS = (
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return decontaminate.report(decontaminate.find(docs, items))
+
+
+@query(
+    "op5_warc",
+    """
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest
+        FROM pages
+    ),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+    FROM m
+    """,
+)
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    place = work_folder(spark, "warc")
+    warc.write(table(spark, folder, "pages"), place)
+    return warc.restored(warc.read(spark, place))
