@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, packing, warc
+from tidewatch.llm import decontaminate, embedding_dedup, packing, warc
 from tidewatch.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,8 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     place = work_folder(spark, "warc")
     warc.write(table(spark, folder, "pages"), place)
     return warc.restored(warc.read(spark, place))
+
+
+@query("op3_embedding_dedup")
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
