@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD_CACHE = 300_000  # words kept per Python worker, a memory bound only
+WORD_CACHE = 250_000  # words remembered per Python worker, twice over: bounds memory only
 CELL = 4  # bytes of a token id
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -33,31 +33,41 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 _encoders: dict[str, WordEncoder] = {}
 
 
-class WordEncoder(dict):
+class WordEncoder:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
-    A byte-level tokenizer always starts a new word at a space that a Latin letter
-    follows, so a text may be cut there and each word encoded once and remembered.
+    A byte-level tokenizer always starts a new word at a space before a visible
+    character.  So a text may be cut there and each word encoded once and remembered.
+    Characters that only some Unicode versions call white space are no place to cut.
+    Words not seen for ``WORD_CACHE`` new ones are forgotten.
     """
 
-    _cut = re.compile(r"(?= [A-Za-z])")
+    _cut = re.compile(r"(?= [^\s\u180e\u200b\u2060\ufeff])")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.recent = self._Words(self)
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = np.array(ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= WORD_CACHE:
-                self.clear()
-            self[word] = found
-        return found
+    class _Words(dict):
+        def __init__(self, owner: WordEncoder):
+            self.owner = owner
+
+        def __missing__(self, word: str) -> bytes:
+            found = self.owner.older.get(word) or self.owner.encode(word)
+            if len(word) <= 64:
+                self[word] = found
+            return found
+
+    def encode(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self._cut.split(text)))
+        if len(self.recent) >= WORD_CACHE:
+            self.older, self.recent = self.recent, self._Words(self)
+        return b"".join(map(self.recent.__getitem__, self._cut.split(text)))
 
 
 def encoder(path: str) -> WordEncoder:
