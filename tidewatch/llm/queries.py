@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, embedding_dedup, packing, warc
+from tidewatch.llm import decontaminate, embedding_dedup, packing, secrets, warc
 from tidewatch.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,57 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_embedding_dedup")
 def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def _secrets_sql(reach: int = 300) -> str:
+    """The same matches and links in plain SQL: every pair of parts is tested."""
+    literal = lambda p: "'" + p.replace("'", r"\x27") + "'"
+    patterns = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX, "part": secrets.PARTS}
+    hits = " UNION ALL ".join(
+        f"SELECT u, '{kind}' AS kind, h, g, unnest(range(1, len(h) + 1)) AS i FROM (SELECT u, regexp_extract_all(t, {literal(p)})"
+        f" AS h, string_split_regex(t, {literal(p)}) AS g FROM docs)" for kind, p in patterns.items()
+    )
+    value = literal(secrets.ROLES[0][0])
+    cases = " ".join(f"WHEN regexp_matches(hit, {literal(p)}) THEN '{role} {strong}'" for p, role, strong in secrets.ROLES)
+    mixed = "regexp_matches(hit, '[0-9].*[0-9]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]')"
+    ranks = " ".join(f"WHEN '{kind}' THEN {i}" for i, kind in enumerate(secrets.KINDS))
+    near = lambda role: (
+        f"EXISTS (FROM parts q WHERE q.u = p.u AND q.role = '{role}' AND abs(q.s - p.s) <= {reach})"
+    )
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS u, doc_id, coalesce(text, '') AS t FROM documents),
+    hits AS (
+        SELECT u, kind, h[i] AS hit, sum(len(g[i]) + len(h[i])) OVER (PARTITION BY u, kind ORDER BY i) AS e FROM ({hits})
+    ),
+    base AS (
+        SELECT u, kind, e - len(hit) AS s, e FROM hits
+        WHERE kind IN ('access', 'hex') OR (kind = 'assign' AND regexp_matches(hit, {value}))
+    ),
+    parts AS (
+        SELECT u, e - len(hit) + CASE WHEN regexp_matches(hit, '^[\\x20\\t\\n"\\x27=:,;(]') THEN 1 ELSE 0 END AS s, e,
+               split_part(what, ' ', 1) AS role, split_part(what, ' ', 2) = 'True' AS strong
+        FROM (SELECT *, CASE {cases} WHEN {mixed} THEN 'secret False' END AS what FROM hits WHERE kind = 'part')
+        WHERE what IS NOT NULL
+    ),
+    spans AS (
+        SELECT *, true AS strong FROM base
+        UNION ALL
+        SELECT u, role, s, e, false FROM parts p
+        WHERE NOT strong AND (role = 'id' OR {near("id")}) AND (role = 'secret' OR {near("secret")})
+    ),
+    per AS (
+        SELECT u, count_if(strong AND kind = 'assign') AS n_assign, count_if(strong AND kind = 'access') AS n_access,
+               count_if(strong AND kind = 'hex') AS n_hex, count_if(NOT strong) AS n_linked,
+               string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, CASE kind {ranks} END) AS spans,
+               string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, CASE kind {ranks} END) FILTER (strong) AS base
+        FROM spans GROUP BY u
+    )
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           coalesce(n_linked, 0) AS n_linked, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM docs LEFT JOIN per USING (u)
+    """
+
+
+@query("op2_secrets", _secrets_sql())
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.report(secrets.find(table(spark, folder, "documents")))
