@@ -10,7 +10,6 @@ searched shard by shard, what was found so far travelling along with the documen
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -19,20 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.llm.words import words
 from tidewatch.session import materialize
 
 SHARD = 200_000  # windows searched for at once: bounds what is broadcast, not what is searched
 
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _FOUND = "n_words long, spans array<int>, items array<string>"
 _searchers: dict[str, list[WuManber]] = {}
 
 
-def words(text: str | None) -> list[bytes]:
-    """Runs of ASCII digits, letters (A-Z in lower case) and all characters beyond ASCII."""
-    return _WORD.findall((text or "").encode().lower())
-
-
 class WuManber:
     """All occurrences of word sequences of one length."""
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, embedding_dedup, packing, secrets, warc
+from tidewatch.llm import decontaminate, embedding_dedup, ngram_join, packing, secrets, warc
 from tidewatch.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +158,8 @@ def _secrets_sql(reach: int = 300) -> str:
 @query("op2_secrets", _secrets_sql())
 def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(secrets.find(table(spark, folder, "documents")))
+
+
+@query("op8_ngram_join")
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
