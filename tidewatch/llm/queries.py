@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, embedding_dedup, ngram_join, packing, secrets, warc
+from tidewatch.llm import decontaminate, embedding_dedup, ngram_join, packing, pii, secrets, toxicity, warc
 from tidewatch.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,22 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_ngram_join")
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
+CATEGORIES = ["quality", "toxic"]
+
+
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
+    rows = toxicity.training_rows(docs, labels, CATEGORIES, "doc_id", "text")
+    return toxicity.train(rows, CATEGORIES)
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity_chain(docs, table(spark, folder, "labels")).score(docs).drop("text")
+
+
+@query("op1_pii")
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, folder, "documents")))
