@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidewatch.llm import packing
-from tidewatch.llm.queries import QUERIES, vocabulary
+from tidewatch.llm.queries import QUERIES
+from tidewatch.llm.settings import vocabulary
 
 TOKENS = Tokenizer.from_file(vocabulary())
 

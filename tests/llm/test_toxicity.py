@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import toxicity
-from tidewatch.llm.queries import CATEGORIES, QUERIES
+from tidewatch.llm.queries import QUERIES
+from tidewatch.llm.settings import CATEGORIES
 
 
 @pytest.fixture(scope="module")

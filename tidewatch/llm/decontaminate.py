@@ -142,8 +142,9 @@ def find(
     """
     pairs = materialize(windows(benchmark, size, item, item_text), "windows")
     shards = max(1, -(-pairs.count() // shard))
+    others = [c for c in keep if c != text]
     rows = docs.select(
-        F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
+        F.struct(*(others or [F.lit(1).alias("none")])).alias("kept"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"),
     )
     # Arrow hands nullability on; declare what comes back.
@@ -154,7 +155,8 @@ def find(
         rows = _search(rows, [tuple(r) for r in chosen.collect()])
         if number + 1 < shards:
             rows = materialize(rows, "searched")
-    return rows.select("kept.*", "n_words", "spans", "items")
+    kept = [F.col("text").alias(c) if c == text else F.col("kept")[c].alias(c) for c in keep]
+    return rows.select(*kept, "n_words", "spans", "items")
 
 
 def report(found: DataFrame) -> DataFrame:

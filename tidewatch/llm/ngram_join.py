@@ -251,7 +251,7 @@ def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8,
     recall: float = 0.99, trees: int = TREES, deepest: int = DEEPEST, slack: float = 0.15, tile: int = TILE, seed: int = 17,
 ) -> DataFrame:
-    """One row per document: key, class_id, n_links, group_id, kept.
+    """One row per document: key, class_id, n_links, group_id, kept, text_key.
 
     ``class_id`` is the smallest key with the same set of shingles, ``n_links`` the
     number of other documents at a Jaccard similarity of ``threshold`` or more (those
@@ -282,10 +282,42 @@ def near_duplicates(
     )
     least = joined.groupBy("root").agg(F.min("class_id").alias("group_id"))
     marked = materialize(joined.join(least, "root").drop("root"), "marked")
-    linked = found.where("set_key IS NOT NULL").select("key", "set_key").join(marked, "set_key").drop("set_key")
+    linked = found.where("set_key IS NOT NULL").select("key", "text_key", "set_key").join(marked, "set_key")
     alone = found.where("set_key IS NULL").select(
-        "key", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("group_id")
+        "key", "text_key", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+        F.col("key").alias("group_id"),
     )
-    return linked.select("key", "class_id", "n_links", "group_id").unionByName(alone).select(
-        F.col("key").alias(key), "class_id", "n_links", "group_id", F.col("key").eqNullSafe(F.col("group_id")).alias("kept")
+    return linked.select(alone.columns).unionByName(alone).select(
+        F.col("key").alias(key), "class_id", "n_links", "group_id",
+        F.col("key").eqNullSafe(F.col("group_id")).alias("kept"), "text_key",
     )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents, less all but one of each group of near-duplicates.
+
+    The smallest key of a group stays; of rows that share it, those of the smallest
+    hash of the text, and one of rows that are equal in both.  Texts without words are
+    in no group and all stay.  Only keys and hashes of what goes are joined to the
+    texts: while that table is small no text is shuffled.
+    """
+    found = materialize(near_duplicates(docs, key, text, **options), "marked")
+    marks = found.select(F.col(key).alias("_key"), F.col("text_key").alias("_text_key"), "group_id", "kept", "n_links")
+    grouped = marks.where("n_links > 0")
+    first = grouped.where("kept").groupBy("group_id").agg(F.min("_text_key").alias("first"))
+    same_group = grouped["group_id"].eqNullSafe(first["group_id"])  # null when no row of a group has a key
+    held = grouped.join(first, same_group).withColumn("stays", F.col("kept") & (F.col("_text_key") == F.col("first")))
+    gone = materialize(held.where("NOT stays").select("_key", "_text_key").distinct(), "gone")
+    again = materialize(
+        held.where("stays").groupBy("_key", "_text_key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again"
+    )
+    texts = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+
+    def same(other: DataFrame):
+        return texts[key].eqNullSafe(other["_key"]) & (texts["_text_key"] == other["_text_key"])
+
+    once = texts.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():
+        repeated = texts.join(again, same(again), "left_semi").dropDuplicates([key, "_text_key"])
+        once = once.join(again, same(again), "left_anti").unionByName(repeated)
+    return once.select(*docs.columns)

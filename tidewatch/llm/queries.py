@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, embedding_dedup, ngram_join, packing, pii, secrets, toxicity, warc
+import corpus_pipeline
+from tidewatch.llm import decontaminate, embedding_dedup, ngram_join, packing, pii, secrets, warc
+from tidewatch.llm.settings import table, toxicity_chain, vocabulary
 from tidewatch.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,18 +27,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-@functools.cache
-def vocabulary() -> str:
-    """The tokenizer file that the sequences are counted in."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query("op6_packing")
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary())
@@ -165,14 +153,6 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
-CATEGORIES = ["quality", "toxic"]
-
-
-def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
-    rows = toxicity.training_rows(docs, labels, CATEGORIES, "doc_id", "text")
-    return toxicity.train(rows, CATEGORIES)
-
-
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -182,3 +162,8 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_pii")
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(pii.find(table(spark, folder, "documents")))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
