@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from tidewatch.llm.components import components
 from tidewatch.session import materialize
 
-TILE = 1024  # classes of a cell that meet in one task
+TILE = 2048  # classes of a cell that meet in one task
 MOST_BITS = 16
 
 
@@ -192,7 +192,7 @@ def links(classes: DataFrame, threshold: float, blocks: int, tile: int, seed: in
     shapes = classes.groupBy("label", F.size("embedding").alias("dims")).count()
     out = classes.sparkSession.createDataFrame([], "a long, b long, n long")
     for dims, most in shapes.groupBy("dims").agg(F.max("count")).collect():  # one row per vector length
-        bits = min(MOST_BITS, max(1, math.ceil(math.log2(max(2, 2 * most / tile)))))
+        bits = min(MOST_BITS, max(1, math.ceil(math.log2(most / (2 * tile)))))  # about two tiles to a cell
         plan = Blocks(dims, threshold, blocks, bits, seed)
         same = classes.where(F.size("embedding") == dims).select("cls", "label", "embedding", "copies")
         placed = place(same, plan, dims, centre_of(same, dims))
