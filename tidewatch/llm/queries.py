@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatch.llm import decontaminate, embedding_dedup, ngram_join, packing, pii, secrets, warc
+from tidewatch.llm import decontaminate, embedding_dedup, html_text, ngram_join, packing, pii, secrets, warc
 from tidewatch.llm.settings import table, toxicity_chain, vocabulary
 from tidewatch.session import work_folder
 
@@ -164,6 +165,12 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(pii.find(table(spark, folder, "documents")))
 
 
+@query("op4_html_text")
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.extract(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
