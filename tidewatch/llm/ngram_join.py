@@ -208,7 +208,9 @@ def _clusters(classes: DataFrame, least: float, tile: int) -> DataFrame:
     counts = slim.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
     counts = materialize(counts.selectExpr("node", f"CAST(ceil(n / {tile}) AS INT) AS t", "n"), "nodes")
     members = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = slim.join(counts.drop("n", "t"), "node").join(classes.select("cls", "signature"), "cls")
+    # Here and below both sides grow with the corpus: merge joins at every size, never a broadcast.
+    shared = slim.join(counts.drop("n", "t").hint("merge"), "node")
+    shared = shared.join(classes.select("cls", "signature").hint("merge"), "cls")
     shared = shared.withColumn("copies", F.lit(1).cast("long"))
 
     def load(table: pa.Table) -> np.ndarray:
@@ -236,7 +238,7 @@ def _links(classes: DataFrame, texts: DataFrame, threshold: float, size: int, le
     total = members.agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
     placed = tiles(members.drop("shingles"), "cluster", sizes, -(-total // PACK_SHINGLES) or 1)
     same = placed["key"].eqNullSafe(texts["key"]) & (placed["text_key"] == texts["text_key"])
-    full = texts.join(placed, same).select("cluster", "cls", "copies", "own", *TASK, "text")
+    full = texts.join(placed.hint("merge"), same).select("cluster", "cls", "copies", "own", *TASK, "text")
 
     def load(table: pa.Table) -> list[np.ndarray]:
         return [shingles(t.as_py(), size) for t in table.column("text")]
@@ -282,7 +284,9 @@ def near_duplicates(
     )
     least = joined.groupBy("root").agg(F.min("class_id").alias("group_id"))
     marked = materialize(joined.join(least, "root").drop("root"), "marked")
-    linked = found.where("set_key IS NOT NULL").select("key", "text_key", "set_key").join(marked, "set_key")
+    linked = found.where("set_key IS NOT NULL").select("key", "text_key", "set_key").join(
+        marked.hint("merge"), "set_key"
+    )
     alone = found.where("set_key IS NULL").select(
         "key", "text_key", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
         F.col("key").alias("group_id"),
