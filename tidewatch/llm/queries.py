@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatch.llm import decontaminate, embedding_dedup, html_text, ngram_join, packing, pii, secrets, warc
+from tidewatch.llm import decontaminate, embedding_dedup, html_text, licenses, ngram_join, packing, pii, secrets, warc
 from tidewatch.llm.settings import table, toxicity_chain, vocabulary
 from tidewatch.session import work_folder
 
@@ -171,6 +171,12 @@ def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op9_licenses")
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.find(table(spark, folder, "documents"), path)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
