@@ -179,3 +179,18 @@ def test_kafka_options():
     assert options["startingOffsets"] == "latest" and options["maxOffsetsPerTrigger"] == "1000"
     assert options["maxTriggerDelay"] == "30 seconds"
     assert MSG.kafka_options("host:9092", "events", from_start=True)["startingOffsets"] == "earliest"
+
+
+def test_numbers_in_other_forms_and_bad_times(spark):
+    from tidewatch.streaming import jobs
+
+    values = [
+        '{"timestamp": "2024-01-01T00:00:00", "data": {"CustomerId": 7, "Age": 42.0, "EstimatedSalary": "12.5"}}',
+        '{"timestamp": "2024-01-01T00:00:00", "data": {"CustomerId": "8", "Age": "42", "EstimatedSalary": null}}',
+        '{"timestamp": "oops", "data": {"CustomerId": 9}}',
+        "not json",
+    ]
+    parsed = jobs.parse(spark.createDataFrame([(v,) for v in values], "value string"))
+    found = {r.CustomerId: r for r in jobs.events(parsed).collect()}
+    assert sorted(found) == [7, 8] and found[7].Age == found[8].Age == 42 and found[7].EstimatedSalary == 12.5
+    assert [r.value for r in jobs.dead_letters(parsed).collect()] == values[2:]

@@ -83,9 +83,12 @@ def enveloped(data: Column, timestamp: Column) -> Column:
 
 
 def event_struct() -> T.StructType:
-    """What a message may hold: the fields at the top, or under ``data``."""
-    kinds = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
-    fields = [T.StructField(n, kinds[k]) for n, (k, _) in EVENT_DEFAULTS.items()]
+    """What a message may hold: the fields at the top, or under ``data``.
+
+    Scalars are read as text, so that a number in another form (42.0, "42") does not
+    make the message unreadable.
+    """
+    fields = [T.StructField(n, T.StringType()) for n in EVENT_DEFAULTS]
     fields += [T.StructField("event_id", T.StringType()), T.StructField("event_timestamp", T.StringType())]
     return T.StructType([*fields, T.StructField("timestamp", T.StringType()), T.StructField("data", T.StructType(fields))])
 
@@ -94,11 +97,28 @@ def parse_event(value: Column) -> Column:
     return F.from_json(value, event_struct(), {"mode": "PERMISSIVE"})
 
 
+def _typed(text: Column, kind: str) -> Column:
+    """A scalar of a message; null if it is none of its kind.  Whole numbers may be
+    written with a fraction, which is cut off."""
+    if kind == "string":
+        return text
+    direct = text.try_cast(kind)
+    return direct if kind == "double" else F.coalesce(direct, text.try_cast("double").try_cast(kind))
+
+
+def event_stamp(message: str = "m") -> Column:
+    """The time of a parsed message as text: the envelope's, else the event's."""
+    nested = F.col(f"{message}.data").isNotNull()
+    own = F.when(nested, F.col(f"{message}.data.event_timestamp")).otherwise(F.col(f"{message}.event_timestamp"))
+    return F.coalesce(F.col(f"{message}.timestamp"), own)
+
+
 def event_defaults(df: DataFrame, message: str = "m") -> DataFrame:
     """Unwrap a parsed message and default its fields.
 
     The fields come from ``data`` when the message has one, else from the
-    message itself.  JSON null and an absent field both take the default.
+    message itself.  JSON null, an absent field and a value of another kind all take
+    the default.
     """
     nested = F.col(f"{message}.data").isNotNull()
 
@@ -106,10 +126,9 @@ def event_defaults(df: DataFrame, message: str = "m") -> DataFrame:
         return F.when(nested, F.col(f"{message}.data.{name}")).otherwise(F.col(f"{message}.{name}"))
 
     values = {
-        name: F.coalesce(field(name), F.lit(default).cast(kind)) for name, (kind, default) in EVENT_DEFAULTS.items()
+        name: F.coalesce(_typed(field(name), kind), F.lit(default).cast(kind)) for name, (kind, default) in EVENT_DEFAULTS.items()
     }
-    stamp = F.coalesce(F.col(f"{message}.timestamp"), field("event_timestamp"))
-    at = utc_instant(stamp)
+    at = utc_instant(event_stamp(message))
     seconds = F.unix_seconds(at).cast("string")
     fallback = F.concat(F.lit("evt_"), values["CustomerId"].cast("string"), F.lit("_"), F.coalesce(seconds, F.lit("0")))
     identity = F.coalesce(F.col(f"{message}.event_id"), F.col(f"{message}.data.event_id"), fallback)

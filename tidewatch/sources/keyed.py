@@ -112,6 +112,11 @@ def _days(df: DataFrame, column: str) -> list:
     return [r[0] for r in df.select(F.to_date(column)).distinct().collect()]
 
 
+def _on(day: Column, days: list) -> Column:
+    """Whether a day is one of ``days``; rows without a time share the day null."""
+    return F.coalesce(day.isin([d for d in days if d is not None]), F.lit(None in days))
+
+
 def _replace_days(df: DataFrame, path: str, column: str) -> None:
     (
         by_day(df, column)
@@ -146,7 +151,7 @@ def _only_days(spark: SparkSession, path: str, like: DataFrame, days: list) -> D
     if not path_exists(spark, path):
         return spark.createDataFrame([], like.schema)
     table = spark.read.schema(with_schema(like)).parquet(spark_path(path))
-    return table.where(F.col(DAY).isin(days)).select(*like.columns)
+    return table.where(_on(F.col(DAY), days)).select(*like.columns)
 
 
 def upsert_table(
@@ -181,9 +186,9 @@ def upsert_table(
         changed = staged.join(before, list(keys)).where(~F.struct(*rest).eqNullSafe(F.col("_before")))
         rewritten = _days(changed, column)
         fresh = staged.join(stored.select(*keys), list(keys), "left_anti").select(*changes.columns)
-        append_table(fresh.where(~day.isin(rewritten)) if rewritten else fresh, path, column)
+        append_table(fresh.where(~_on(day, rewritten)) if rewritten else fresh, path, column)
     if rewritten:
-        merged = upsert(stored.where(day.isin(rewritten)), staged.where(day.isin(rewritten)), keys, order)
+        merged = upsert(stored.where(_on(day, rewritten)), staged.where(_on(day, rewritten)), keys, order)
         _replace_days(materialize(merged, "merged"), path, column)
 
 
