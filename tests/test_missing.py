@@ -116,3 +116,18 @@ def test_duplicates_count_nulls_as_equal(spark):
 def test_null_or_empty_knows_types(spark):
     df = spark.createDataFrame([(1, "", float("nan")), (2, "x", 1.0), (None, None, None)], "i int, s string, d double")
     assert [df.where(null_or_empty(df, c)).count() for c in ("i", "s", "d")] == [1, 2, 2]
+
+
+@pytest.mark.parametrize("unit", [1e-11, 1.0, 1e20])
+def test_statistics_keep_their_precision(spark, unit):
+    from tidewatch.operators import outliers as O
+    from tidewatch.operators import scaling as S
+
+    values = [1.0, 2.0, 3.0, 6.0]
+    df = spark.createDataFrame([(v * unit, v * unit) for v in values], "x double, y double")
+    holes = df.select("x").unionByName(spark.createDataFrame([(None,), (float("nan"),)], "x double"))
+    filled = [r.x / unit for r in M.fill_mean(holes, "x").collect()]
+    assert sorted(round(v, 9) for v in filled) == [1.0, 2.0, 3.0, 3.0, 3.0, 6.0]
+    assert O.outlier_remove(df, ["x", "y"]).count() == 4
+    scaled = [r.x for r in S.scale_standard(df, ["x"]).collect()]
+    assert abs(sum(scaled)) < 1e-9 and abs(sum(v * v for v in scaled) - 3) < 1e-9

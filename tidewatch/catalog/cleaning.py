@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import query
 from tidewatch.catalog.sqltext import CUSTOMERS, count_if, hash32, on_customers, rnd, share
+from tidewatch.functions.expr import rounded
 from tidewatch.operators import missing as M
 from tidewatch.operators import outliers as O
 from tidewatch.operators.projections import null_or_empty
@@ -55,7 +56,7 @@ _MEAN_AGE = rnd('avg("Age")', 9)
     on_customers(f"""SELECT {_replaced(Age=f'coalesce("Age", (SELECT {_MEAN_AGE} FROM customers))')} FROM customers"""),
 )
 def fill_mean(spark, folder):
-    return M.fill_mean(customers(spark, folder), "Age")
+    return M.fill_mean(customers(spark, folder), "Age").withColumn("Age", rounded(F.col("Age"), 9))
 
 
 @query(
@@ -101,7 +102,8 @@ def _mean_of(c: str) -> str:
     on_customers("SELECT " + _replaced(**{c: f'coalesce("{c}", {_mean_of(c)})' for c in _IMPUTED}) + " FROM customers"),
 )
 def impute_numeric_all(spark, folder):
-    return M.impute_numeric(customers(spark, folder), _IMPUTED)
+    filled = M.impute_numeric(customers(spark, folder), _IMPUTED)
+    return filled.withColumns({c: rounded(F.col(c), 9) for c in _IMPUTED})
 
 
 @query(
@@ -196,7 +198,7 @@ _NAMED = 'named AS (SELECT * FROM customers WHERE "Firstname" IS NOT NULL)'
     ),
 )
 def missing_policy_spark(spark, folder):
-    return M.missing_policy_spark(customers(spark, folder))
+    return M.missing_policy_spark(customers(spark, folder)).withColumn("Age", rounded(F.col("Age"), 9))
 
 
 @query(
@@ -214,8 +216,8 @@ def fill_sentinel(spark, folder):
 def _bounds(c: str) -> str:
     q1, q3 = f'quantile_cont("{c}", 0.25)', f'quantile_cont("{c}", 0.75)'
     return f"""SELECT '{c}' AS feature, {q1} * 1e0 AS first_quartile, {q3} * 1e0 AS third_quartile,
-      {rnd(f'({q1} - 1.5e0 * ({q3} - {q1}))', 6)} AS lower_bound,
-      {rnd(f'({q3} + 1.5e0 * ({q3} - {q1}))', 6)} AS upper_bound FROM customers"""
+      ({q1} - 1.5e0 * ({q3} - {q1})) AS lower_bound,
+      ({q3} + 1.5e0 * ({q3} - {q1})) AS upper_bound FROM customers"""
 
 
 _BOUNDS = "bounds AS (" + " UNION ALL ".join(map(_bounds, _OUTLIER)) + ")"
@@ -229,9 +231,13 @@ def _out(c: str) -> str:
     return f'("{c}" < {_edge(c, "lower")} OR "{c}" > {_edge(c, "upper")})'
 
 
-@query("iqr_bounds", on_customers("SELECT * FROM bounds", _BOUNDS))
+_SIX = ", ".join(f"{rnd(c, 6)} AS {c}" for c in ("lower_bound", "upper_bound"))
+
+
+@query("iqr_bounds", on_customers(f"SELECT * EXCLUDE (lower_bound, upper_bound), {_SIX} FROM bounds", _BOUNDS))
 def iqr_bounds(spark, folder):
-    return O.iqr_bounds(customers(spark, folder), _OUTLIER)
+    bounds = O.iqr_bounds(customers(spark, folder), _OUTLIER)
+    return bounds.withColumns({c: rounded(F.col(c), 6) for c in ("lower_bound", "upper_bound")})
 
 
 # A narrower fence than the default, so that the fixtures have outliers at all.
@@ -276,7 +282,7 @@ def outlier_remove_default(spark, folder):
 
 def _clamped(c: str) -> str:
     low, high = _edge(c, "lower"), _edge(c, "upper")
-    return f'CASE WHEN "{c}" < {low} THEN {low} WHEN "{c}" > {high} THEN {high} ELSE "{c}" END'
+    return rnd(f'CASE WHEN "{c}" < {low} THEN {low} WHEN "{c}" > {high} THEN {high} ELSE "{c}" END', 6)
 
 
 @query(
@@ -285,13 +291,14 @@ def _clamped(c: str) -> str:
 )
 def outlier_cap(spark, folder):
     df = customers(spark, folder)
-    return O.outlier_cap(df, _OUTLIER, O.iqr_bounds(df, _OUTLIER, _NARROW))
+    capped = O.outlier_cap(df, _OUTLIER, O.iqr_bounds(df, _OUTLIER, _NARROW))
+    return capped.withColumns({c: rounded(F.col(c), 6) for c in _OUTLIER})
 
 
 def _far(c: str) -> str:
     return (
-        f'abs("{c}" - (SELECT {rnd(f"avg({chr(34)}{c}{chr(34)})", 9)} FROM customers))'
-        f' > 1.5e0 * (SELECT {rnd(f"stddev_samp({chr(34)}{c}{chr(34)})", 9)} FROM customers)'
+        f'abs("{c}" - (SELECT avg("{c}") FROM customers))'
+        f' > 1.5e0 * (SELECT stddev_samp("{c}") FROM customers)'
     )
 
 

@@ -295,8 +295,8 @@ def scale_minmax(spark, folder):
 
 
 def _standard(c: str, sd: str) -> str:
-    mean = f"""(SELECT {rnd(f'avg("{c}")', 9)} FROM customers)"""
-    return _nine(f"""(("{c}" - {mean}) / (SELECT {rnd(f'{sd}("{c}")', 9)} FROM customers))""")
+    mean = f'(SELECT avg("{c}") FROM customers)'
+    return _nine(f"""(("{c}" - {mean}) / (SELECT {sd}("{c}") FROM customers))""")
 
 
 @query(
@@ -462,8 +462,8 @@ _INLIER_COLUMNS = ["CreditScore", "Age", "NumOfProducts"]
 
 def _fence(c: str) -> str:
     q1, q3 = f'quantile_cont("{c}", 0.25)', f'quantile_cont("{c}", 0.75)'
-    return f"""SELECT '{c}' AS f, {rnd(f'({q1} - 1.5e0 * ({q3} - {q1}))', 6)} AS lo,
-      {rnd(f'({q3} + 1.5e0 * ({q3} - {q1}))', 6)} AS hi FROM filled"""
+    return f"""SELECT '{c}' AS f, ({q1} - 1.5e0 * ({q3} - {q1})) AS lo,
+      ({q3} + 1.5e0 * ({q3} - {q1})) AS hi FROM filled"""
 
 
 def _far(c: str) -> str:
@@ -473,7 +473,7 @@ def _far(c: str) -> str:
 _INDEXED_PLAN = [
     'named AS (SELECT * FROM customers WHERE "Firstname" IS NOT NULL)',
     "filled AS (SELECT "
-    + _replaced(Age=f"""coalesce("Age", (SELECT {rnd('avg("Age")', 9)} FROM named))""", Gender="""coalesce("Gender", 'Unknown')""")
+    + _replaced(Age=f"""coalesce("Age", (SELECT avg("Age") FROM named))""", Gender="""coalesce("Gender", 'Unknown')""")
     + " FROM named)",
     "fences AS (" + " UNION ALL ".join(map(_fence, _INLIER_COLUMNS)) + ")",
     f"""inliers AS (SELECT *, {_RANDOM} AS split, CASE {_bin_of(_NAMED_BIN)} WHEN 'Poor' THEN 0 WHEN 'Fair' THEN 1

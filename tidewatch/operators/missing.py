@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.functions.expr import hash32, rounded
+from tidewatch.functions.expr import hash32
 from tidewatch.functions.stats import attach, quantiles, stat, widened
 from tidewatch.operators.profile import numeric_columns, text_columns, text_counts
 from tidewatch.schemas import IDENTIFIERS
@@ -19,8 +19,14 @@ def drop_missing(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.dropna(subset=list(cols) if cols else None)
 
 
-def mean_stats(df: DataFrame, cols: Sequence[str], places: int = 9) -> DataFrame:
-    return df.agg(*[rounded(F.avg(c), places).alias(c) for c in cols])
+def present(df: DataFrame, column: str) -> Column:
+    """The value of a column, null where it is not a number."""
+    c = F.col(column)
+    return F.when(~F.isnan(c), c) if df.schema[column].dataType.typeName() in ("double", "float") else c
+
+
+def mean_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.agg(*[F.avg(present(df, c)).alias(c) for c in cols])
 
 
 def median_stats(df: DataFrame, cols: Sequence[str], method: str = "exact") -> DataFrame:
@@ -48,9 +54,9 @@ def modes_stats(df: DataFrame, cols: Sequence[str], default: str | None = None)
 
 
 def fill_from(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Fill the nulls of ``cols`` from the one-row ``stats`` (fitted on any frame)."""
+    """Fill nulls and NaN of ``cols`` from the one-row ``stats`` (fitted on any frame)."""
     filled = attach(df, stats, STATS)
-    return filled.withColumns({c: F.coalesce(F.col(c), stat(c, STATS)) for c in cols}).drop(STATS)
+    return filled.withColumns({c: F.coalesce(present(df, c), stat(c, STATS)) for c in cols}).drop(STATS)
 
 
 def fill_mean(df: DataFrame, column: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.functions.expr import count_if, rounded, share
+from tidewatch.functions.expr import count_if, share
 from tidewatch.functions.stats import attach, quantiles, stat, widened
 from tidewatch.operators.profile import per_column
 
@@ -20,8 +20,8 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str =
         "feature",
         F.col("q0").alias("first_quartile"),
         F.col("q1").alias("third_quartile"),
-        rounded(F.col("q0") - k * spread, 6).alias("lower_bound"),
-        rounded(F.col("q1") + k * spread, 6).alias("upper_bound"),
+        (F.col("q0") - k * spread).alias("lower_bound"),
+        (F.col("q1") + k * spread).alias("upper_bound"),
     )
 
 
@@ -83,8 +83,8 @@ def outlier_cap(df: DataFrame, cols: Sequence[str], bounds: DataFrame | None = N
 def zscore_flag(df: DataFrame, cols: Sequence[str], threshold: float = 3.0) -> DataFrame:
     """Add ``<col>_outlier``: more than ``threshold`` standard deviations off the mean."""
     stats = df.agg(
-        *[rounded(F.avg(c), 9).alias(f"{c}_mean") for c in cols],
-        *[rounded(F.stddev_samp(c), 9).alias(f"{c}_sd") for c in cols],
+        *[F.avg(c).alias(f"{c}_mean") for c in cols],
+        *[F.stddev_samp(c).alias(f"{c}_sd") for c in cols],
     )
     attached = attach(df, stats, STATS)
     flags = {

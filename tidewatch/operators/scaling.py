@@ -59,8 +59,8 @@ def scale_apply(
 def fit_standard(df: DataFrame, cols: Sequence[str], ddof: int = 1) -> DataFrame:
     deviation = {0: F.stddev_pop, 1: F.stddev_samp}[ddof]
     return df.agg(
-        *[rounded(F.avg(c), 9).alias(f"{c}_mean") for c in cols],
-        *[rounded(deviation(c), 9).alias(f"{c}_sd") for c in cols],
+        *[F.avg(c).alias(f"{c}_mean") for c in cols],
+        *[deviation(c).alias(f"{c}_sd") for c in cols],
     )
 
 
