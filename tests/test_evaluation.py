@@ -123,3 +123,16 @@ def test_own_model_in_arrow_batches(spark, separable):
 
     scored = L.score_with(separable.select("id", "signal"), predict, "id long, probability double")
     assert scored.where("probability = 1").count() == 300
+
+
+def test_rows_with_a_missing_feature_come_out_unscored(spark):
+    from tidewatch.operators import learning as L
+
+    rows = [(i, float(i % 2), float(i), i % 2) for i in range(40)]
+    train = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    for learner in (L.logistic(50), L.random_forest(5, 3)):
+        model = L.train(train, learner, ["a", "b"], "y")
+        asked = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0), (3, 1.0, float("nan"))], "id long, a double, b double")
+        found = {r.id: r for r in L.batch_score(model, asked, ["id"], "b", dt.datetime(2024, 1, 1)).collect()}
+        assert sorted(found) == [1, 2, 3] and found[1].prediction == 1
+        assert all(found[i][c] is None for i in (2, 3) for c in ("prediction", "probability", "status", "confidence"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -60,13 +62,21 @@ def train(df: DataFrame, classifier, cols: Sequence[str], label: str) -> Pipelin
 def batch_score(
     model: PipelineModel, df: DataFrame, keep: Sequence[str], batch_id: str, scored_at: dt.datetime
 ) -> DataFrame:
-    """Class, churn probability, status and confidence of every row, in one pass."""
-    probability = vector_to_array("probability")[1]
-    return model.transform(df).select(
+    """Class, churn probability, status and confidence of every row, in one pass.
+
+    A row with a null or NaN feature comes out unscored, all four null.
+    """
+    fitted = model.stages[0]
+    every = VectorAssembler(inputCols=fitted.getInputCols(), outputCol=fitted.getOutputCol(), handleInvalid="keep")
+    values = [F.col(c).cast("double") for c in fitted.getInputCols()]
+    complete = reduce(and_, [v.isNotNull() & ~F.isnan(v) for v in values])
+    known = lambda value: F.when(complete, value)
+    probability = known(vector_to_array("probability")[1])
+    return PipelineModel([every, *model.stages[1:]]).transform(df).select(
         *keep,
-        F.col("prediction").cast("int").alias("prediction"),
+        known(F.col("prediction").cast("int")).alias("prediction"),
         probability.alias("probability"),
-        churn_label(F.col("prediction"), "Churn", "Retain").alias("status"),
+        known(churn_label(F.col("prediction"), "Churn", "Retain")).alias("status"),
         rounded(100 * probability, 2).alias("confidence"),
         F.lit(batch_id).alias("batch_id"),
         naive(scored_at).alias("scored_at"),
