@@ -90,7 +90,29 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.restored(warc.read(spark, place))
 
 
-@query("op3_embedding_dedup")
+# Groups of linked keys: the smallest key that each key x reaches over links (x, y).
+_REACH = "r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)"
+
+
+@query(
+    "op3_embedding_dedup",
+    f"""
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len([z FOR z IN embedding IF z IS NULL OR NOT isfinite(z)]) = 0 AND len([z FOR z IN embedding IF z <> 0]) > 0
+    ),
+    l AS (
+        SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+          ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+    ),
+    {_REACH},
+    n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x), m AS (SELECT x AS vec_id, min(y) AS m FROM r GROUP BY x)
+    SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+           vec_id <= coalesce(m, vec_id) AS kept
+    FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN m USING (vec_id)
+    """,
+)
 def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -149,9 +171,28 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(secrets.find(table(spark, folder, "documents")))
 
 
-@query("op8_ngram_join")
+@query(
+    "op8_ngram_join",
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)
+    ),
+    c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    j AS (SELECT x, y, k * 1e0 / (a.n + b.n - k) AS s FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y),
+    l AS (SELECT x, y, s FROM j WHERE s >= 0.8),
+    {_REACH},
+    n AS (SELECT x AS doc_id, count(*) AS n, min(y) FILTER (s = 1) AS same FROM l GROUP BY x),
+    m AS (SELECT x AS doc_id, min(y) AS m FROM r GROUP BY x)
+    SELECT doc_id, least(doc_id, coalesce(same, doc_id)) AS class_id, coalesce(n, 0) AS n_links,
+           least(doc_id, coalesce(m, doc_id)) AS group_id, doc_id <= coalesce(m, doc_id) AS kept
+    FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+    """,
+)
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+    return ngram_join.near_duplicates(table(spark, folder, "documents")).drop("text_key")
 
 
 @query("op7_toxicity")
