@@ -106,6 +106,17 @@ def _typed(text: Column, kind: str) -> Column:
     return direct if kind == "double" else F.coalesce(direct, text.try_cast("double").try_cast(kind))
 
 
+def event_unreadable(message: str = "m") -> Column:
+    """Whether a parsed message holds a value that its field cannot take, or a time that is none."""
+    nested = F.col(f"{message}.data").isNotNull()
+    stamp = event_stamp(message)
+    bad = stamp.isNotNull() & utc_instant(stamp).isNull()
+    for name, (kind, _) in EVENT_DEFAULTS.items():
+        text = F.when(nested, F.col(f"{message}.data.{name}")).otherwise(F.col(f"{message}.{name}"))
+        bad = bad | (text.isNotNull() & _typed(text, kind).isNull())
+    return bad
+
+
 def event_stamp(message: str = "m") -> Column:
     """The time of a parsed message as text: the envelope's, else the event's."""
     nested = F.col(f"{message}.data").isNotNull()

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewatch.functions.expr import HIGH_RISK, risk_score, utc_clock, utc_instant
+from tidewatch.functions.expr import HIGH_RISK, risk_score, utc_clock
 from tidewatch.operators import reports as R
-from tidewatch.operators.projections import event_defaults, event_stamp, event_struct
+from tidewatch.operators.projections import event_defaults, event_struct, event_unreadable
 from tidewatch.schemas import PREDICTIONS
 from tidewatch.session import materialize
 from tidewatch.sources import keyed
@@ -24,12 +24,11 @@ CORRUPT = "_corrupt"
 # --- parsing -----------------------------------------------------------------
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Messages with their parsed value ``m`` and ``malformed``: not JSON, or of a time
-    that cannot be read."""
+    """Messages with their parsed value ``m`` and ``malformed``: not JSON, or with a value
+    or a time that cannot be read."""
     schema = event_struct().add(CORRUPT, "string")
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    stamp = event_stamp("m")
-    bad = F.col("m").isNull() | F.col(f"m.{CORRUPT}").isNotNull() | (stamp.isNotNull() & utc_instant(stamp).isNull())
+    bad = F.col("m").isNull() | F.col(f"m.{CORRUPT}").isNotNull() | event_unreadable("m")
     return messages.withColumn("m", parsed).withColumn("malformed", F.coalesce(bad, F.lit(True)))
 
 
