@@ -35,7 +35,7 @@ def test_query_has_every_document(spark, folder):
 
 
 def sample(spark, n=60):
-    rows = [(i, f"{'vile' if i % 3 == 0 else 'kind'} w{i % 7} {'loud' if i % 2 else 'calm'}", i % 2, int(i % 3 == 0)) for i in range(n)]
+    rows = [(i, f"{'vile' if i % 3 == 0 else ''} w{i % 7} {'loud' if i % 2 else 'calm'}", i % 2, int(i % 3 == 0)) for i in range(n)]
     return spark.createDataFrame(rows, "doc_id long, text string, loud int, vile int")
 
 
