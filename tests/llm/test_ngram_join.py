@@ -111,3 +111,11 @@ def test_keep_one(spark):
     assert len(threes) == 1 and threes[0] in rows
     assert found == sorted([threes[0], rows[3], rows[6], rows[7], rows[8], rows[9]], key=repr)
     assert N.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_of_each_group_though_keys_repeat(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(5, a), (7, a + " more"), (5, b), (9, b + " more"), (None, c), (None, c + " more"), (None, d), (None, d + " more")]
+    found = [tuple(r) for r in N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted((key, text[0]) for key, text in found if key) == [(5, "a"), (5, "b")]
+    assert sorted(text[0] for key, text in found if key is None) == ["c", "d"] and len(found) == 4

@@ -249,20 +249,11 @@ def _links(classes: DataFrame, texts: DataFrame, threshold: float, size: int, le
     return full.groupBy(*TASK).applyInArrow(run, _LINKS)
 
 
-def near_duplicates(
+def _marked(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8,
     recall: float = 0.99, trees: int = TREES, deepest: int = DEEPEST, slack: float = 0.15, tile: int = TILE, seed: int = 17,
 ) -> DataFrame:
-    """One row per document: key, class_id, n_links, group_id, kept, text_key.
-
-    ``class_id`` is the smallest key with the same set of shingles, ``n_links`` the
-    number of other documents at a Jaccard similarity of ``threshold`` or more (those
-    of the class included), ``group_id`` the smallest key reachable over links and
-    ``kept`` marks the rows that carry it.  A null or empty text, or one without words,
-    has no shingles and links with nothing.  A null key is smaller than none; repeated
-    rows are documents of their own and links of each other.  An empty table gives no
-    rows.  ``slack`` is how far below the threshold an estimate may lie.
-    """
+    """Columns of ``near_duplicates`` and root, the number of the group: keys repeat, it does not."""
     forest = Forest(trees, deepest, prefix_length(trees, deepest, threshold, recall), seed)
     texts = docs.select(
         F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
@@ -283,34 +274,51 @@ def near_duplicates(
         (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
     )
     least = joined.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    marked = materialize(joined.join(least, "root").drop("root"), "marked")
+    marked = materialize(joined.join(least, "root"), "marked")
     linked = found.where("set_key IS NOT NULL").select("key", "text_key", "set_key").join(
         marked.hint("merge"), "set_key"
     )
     alone = found.where("set_key IS NULL").select(
         "key", "text_key", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
-        F.col("key").alias("group_id"),
+        F.col("key").alias("group_id"), F.lit(None).cast("long").alias("root"),
     )
     return linked.select(alone.columns).unionByName(alone).select(
         F.col("key").alias(key), "class_id", "n_links", "group_id",
-        F.col("key").eqNullSafe(F.col("group_id")).alias("kept"), "text_key",
+        F.col("key").eqNullSafe(F.col("group_id")).alias("kept"), "text_key", "root",
     )
 
 
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8,
+    recall: float = 0.99, trees: int = TREES, deepest: int = DEEPEST, slack: float = 0.15, tile: int = TILE, seed: int = 17,
+) -> DataFrame:
+    """One row per document: key, class_id, n_links, group_id, kept, text_key.
+
+    ``class_id`` is the smallest key with the same set of shingles, ``n_links`` the
+    number of other documents at a Jaccard similarity of ``threshold`` or more (those
+    of the class included), ``group_id`` the smallest key reachable over links and
+    ``kept`` marks the rows that carry it.  A null or empty text, or one without words,
+    has no shingles and links with nothing.  A null key is smaller than none; repeated
+    rows are documents of their own and links of each other.  An empty table gives no
+    rows.  ``slack`` is how far below the threshold an estimate may lie.
+    """
+    return _marked(docs, key, text, size, threshold, recall, trees, deepest, slack, tile, seed).drop("root")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, less all but one of each group of near-duplicates.
 
-    The smallest key of a group stays; of rows that share it, those of the smallest
-    hash of the text, and one of rows that are equal in both.  Texts without words are
+    The smallest key of a group stays, also if other groups have that key or none has
+    one; of rows of the group that share it, those of the smallest hash of the text,
+    and one of rows that are equal in both.  Texts without words are
     in no group and all stay.  Only keys and hashes of what goes are joined to the
     texts: while that table is small no text is shuffled.
     """
-    found = materialize(near_duplicates(docs, key, text, **options), "marked")
-    marks = found.select(F.col(key).alias("_key"), F.col("text_key").alias("_text_key"), "group_id", "kept", "n_links")
+    found = materialize(_marked(docs, key, text, **options), "marked")
+    marks = found.select(F.col(key).alias("_key"), F.col("text_key").alias("_text_key"), "root", "kept", "n_links")
     grouped = marks.where("n_links > 0")
-    first = grouped.where("kept").groupBy("group_id").agg(F.min("_text_key").alias("first"))
-    same_group = grouped["group_id"].eqNullSafe(first["group_id"])  # null when no row of a group has a key
-    held = grouped.join(first, same_group).withColumn("stays", F.col("kept") & (F.col("_text_key") == F.col("first")))
+    first = grouped.where("kept").groupBy("root").agg(F.min("_text_key").alias("first"))
+    held = grouped.join(first, "root").withColumn("stays", F.col("kept") & (F.col("_text_key") == F.col("first")))
     gone = materialize(held.where("NOT stays").select("_key", "_text_key").distinct(), "gone")
     again = materialize(
         held.where("stays").groupBy("_key", "_text_key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again"
