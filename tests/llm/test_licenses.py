@@ -57,3 +57,21 @@ def test_inheritance_and_edge_rows(spark):
     for i in (0, 2):
         assert abs(found[i].cosine - plain_best(ROWS[i][1], ROWS)) < 1e-9
     assert L.find(frame.limit(0), F.col("path")).count() == 0
+
+
+def test_whole_licences_are_licence_files(spark):
+    whole = L.whole_licences()
+    holder = "Copyright (c) 2021 Jo Doe <jo@example.org>\n\n"
+    full = [("MIT", "The MIT License (MIT)\n\n" + holder + " ".join(whole["MIT"].split())), ("BSD-3-Clause", whole["BSD-3-Clause"]
+             .replace("The Regents of the University of California", "Jo Doe").replace("REGENTS", "AUTHORS")),
+            ("Apache-2.0", whole["Apache-2.0"].split("APPENDIX")[0]), ("GPL-3.0", holder + whole["GPL-3.0"].split("How to Apply These")[0])]
+    rows = [(f"p{i}/1", text) for i, (_, text) in enumerate(full)] + [(f"p{i}/deep/er/2", "plain words") for i in range(4)]
+    prose = "the ship sailed on and the crew of it sang to the wind in any weather " * 40
+    rows += [("q/1", prose + "\nReleased under the MIT License."), ("q/2", "plain words"), ("r/1", "Released under the MIT License."),
+             ("r/2", "plain words")] + [(f"s/{i}", prose) for i in range(20)]
+    frame = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    found = {r.doc_id: (r.license, r.origin) for r in L.find(frame, F.col("path")).collect()}
+    for i, (name, _) in enumerate(full):
+        assert found[i] == (name, "own") and found[i + 4] == (name, "inherited")
+    # A line in a document is no licence file, nor is a short text without a name that says so.
+    assert [found[i] for i in range(8, 12)] == [("MIT", "own"), (None, "none")] * 2

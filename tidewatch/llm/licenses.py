@@ -1,8 +1,9 @@
 """License scans: sparse TF-IDF cosine to templates, and inheritance along directories.
 
 Sentences that speak of rights are compared with the templates by cosine; word weights
-come from counts over all documents.  A document that is little else than such text is
-the licence file of its directory, and documents without a licence of their own take
+come from counts over all documents.  A document whose whole text is close to that of a
+licence is the licence file of its directory; a name like LICENSE lowers what that
+takes, and lets a short notice be one.  Documents without a licence of their own take
 that of the nearest directory above them, found by joins on directory paths.
 """
 
@@ -12,6 +13,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +49,7 @@ TEMPLATES = {
 _CUE = re.compile(r"licen[sc]e|copyright|rights reserved|public domain|permission is hereby|redistribution and use", re.I)
 _SENTENCE_END = re.compile(r"\n|[.!?](?=\s)")
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_FILE_NAME = re.compile(r"(?:[^/]*[._-])?(?:un)?(?:licen[sc]e|copying|copyright|notice)[^/]*\Z", re.I)  # of a licence file
 LONGEST = 400  # characters on either side of a cue that can belong to its sentence
 
 
@@ -56,6 +60,13 @@ def words(text: str) -> list[str]:
 VOCABULARY = frozenset(w for text in TEMPLATES.values() for w in words(text))
 
 
+@cache
+def whole_licences() -> dict[str, str]:
+    """Whole texts of licences by name; read on the driver only."""
+    found = [f for f in files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")]
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(found, key=lambda f: f.name)}
+
+
 def sentences(text: str) -> list[str]:
     """Sentences with a cue word, in order, each once."""
     out, done = [], 0
@@ -72,39 +83,49 @@ def sentences(text: str) -> list[str]:
 
 
 class Weights:
-    """TF-IDF vectors of length one, over the words of the templates.
+    """TF-IDF vectors of length one, over the words of the templates or of whole licences.
 
-    A word of a sentence that no template has counts in its length alone.
+    A word of a text that no template has counts in its length alone.
     """
 
     def __init__(self, documents: int, counts: dict[str, int]):
-        self.idf = {w: 1 + math.log((1 + documents) / (1 + counts.get(w, 0))) for w in VOCABULARY}
+        idf = lambda names: {w: 1 + math.log((1 + documents) / (1 + counts.get(w, 0))) for w in names}
+        self.idf, self.whole_idf = idf(VOCABULARY), idf({w for text in whole_licences().values() for w in words(text)})
         self.other = 1 + math.log(1 + documents) / 2
         self.templates = {name.removesuffix(" short"): [] for name in TEMPLATES}
         for name, text in TEMPLATES.items():
-            self.templates[name.removesuffix(" short")].append(self.vector(text))
+            self.templates[name.removesuffix(" short")].append(self.vector(text, self.idf))
+        self.licences = {name: [self.vector(text, self.whole_idf)] for name, text in whole_licences().items()}
 
-    def vector(self, text: str) -> dict[str, float]:
-        weights = {w: n * self.idf.get(w, self.other) for w, n in Counter(words(text)).items()}
+    def vector(self, text: str, idf: dict[str, float]) -> dict[str, float]:
+        weights = {w: n * idf.get(w, self.other) for w, n in Counter(words(text)).items()}
         length = math.sqrt(sum(x * x for x in weights.values()))
         return {w: x / length for w, x in weights.items()} if length else {}
 
+    @staticmethod
+    def _highest(vector: dict[str, float], templates: dict[str, list[dict[str, float]]]) -> tuple[float, str]:
+        cosine = lambda other: sum(x * vector.get(w, 0.0) for w, x in other.items())
+        return max(((max(map(cosine, v)), name) for name, v in sorted(templates.items())), key=lambda f: f[0])
+
     def best(self, text: str) -> tuple[float, str]:
         """The highest cosine and its licence, the first name in a tie."""
-        vector = self.vector(text)
-        cosine = lambda other: sum(x * vector.get(w, 0.0) for w, x in other.items())
-        return max(((max(map(cosine, v)), name) for name, v in sorted(self.templates.items())), key=lambda f: f[0])
+        return self._highest(self.vector(text, self.idf), self.templates)
+
+    def whole(self, text: str) -> tuple[float, str]:
+        """The same for a whole text and the texts of licences."""
+        return self._highest(self.vector(text, self.whole_idf), self.licences)
 
 
 def word_counts(docs: DataFrame, text: str) -> tuple[int, dict[str, int]]:
-    """Number of documents, and of those with each word of the templates; over all documents."""
+    """Number of documents, and of those with each word of the templates and licences; over all documents."""
+    known = VOCABULARY.union(w for licence in whole_licences().values() for w in words(licence))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
             counts[""] += batch.num_rows
             for value in batch.column(0):
-                counts.update(VOCABULARY.intersection(words(value.as_py() or "")))
+                counts.update(known.intersection(words(value.as_py() or "")))
         yield pa.RecordBatch.from_pydict({"word": list(counts), "n": pa.array(counts.values(), pa.int64())})
 
     parts = docs.select(F.col(text).cast("string")).mapInArrow(run, "word string, n long")
@@ -112,20 +133,34 @@ def word_counts(docs: DataFrame, text: str) -> tuple[int, dict[str, int]]:
     return found.pop("", 0), found
 
 
-def scan(docs: DataFrame, weights: Weights, text: str, threshold: float, share: float) -> DataFrame:
+def judged(
+    body: str, name: str, weights: Weights, threshold: float, share: float, whole: float, named: float,
+) -> tuple[str | None, float, bool]:
+    """Licence or none, cosine, and whether it is a licence file; ``name`` is the file's name, empty if unknown."""
+    found, says = sentences(body), bool(_FILE_NAME.match(name))
+    if found or says:
+        score, licence = weights.whole(body)
+        if score >= (named if says else whole):
+            return licence, score, True
+    score, licence = max((weights.best(s) for s in found), key=lambda f: f[0], default=(0.0, None))
+    if score < threshold:
+        return None, score, False
+    return licence, score, says and sum(map(len, found)) >= share * len(body.strip())
+
+
+def scan(docs: DataFrame, weights: Weights, *limits: float) -> DataFrame:
     """kept, path, own (licence or null), cosine, file (whether it is a licence file)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, cosines, files = [], [], []
-            for value in batch.column("text"):
-                body = value.as_py() or ""
-                found = sentences(body)
-                score, name = max((weights.best(s) for s in found), key=lambda f: f[0], default=(0.0, None))
-                hit = score >= threshold
-                own.append(name if hit else None)
+            for value, path in zip(batch.column("text"), batch.column("path"), strict=True):
+                licence, score, file = judged(
+                    value.as_py() or "", (path.as_py() or "").rpartition("/")[2], weights, *limits
+                )
+                own.append(licence)
                 cosines.append(round(score, 12))  # equal cosines tie whatever the order of their sums
-                files.append(hit and sum(map(len, found)) >= share * len(body.strip()))
+                files.append(file)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("kept"), batch.column("path"), pa.array(own, pa.string()), pa.array(cosines, pa.float64()),
                  pa.array(files, pa.bool_())], ["kept", "path", "own", "cosine", "file"],
@@ -137,18 +172,21 @@ def scan(docs: DataFrame, weights: Weights, text: str, threshold: float, share:
 
 def find(
     docs: DataFrame, path, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.6, share: float = 0.5,
+    whole: float = 0.85, named: float = 0.7,
 ) -> DataFrame:
     """One row per document: the columns ``keep``, license, cosine, origin (own, inherited or none).
 
     ``path`` is a column expression for a document's path, directories separated by
-    slashes.  A null or empty text has no licence of its own; a null path is in no
+    slashes.  A licence file is a document whose whole text has a cosine of ``whole`` to
+    a licence's, ``named`` if its name says so; with such a name also one whose sentences
+    with a licence make up ``share`` of it.  A null or empty text has no licence of its own; a null path is in no
     directory and inherits nothing; of several licence files in a directory the one of
     the highest cosine counts, then the first name.  Repeated rows are scanned each for
     itself; an empty table gives no rows.
     """
     weights = Weights(*word_counts(docs, text))
     rows = docs.select(F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("text"), path.alias("path"))
-    scanned = materialize(scan(rows, weights, text, threshold, share), "licenses").withColumn(
+    scanned = materialize(scan(rows, weights, threshold, share, whole, named), "licenses").withColumn(
         "dir", F.expr("regexp_extract(path, '^(.*)/[^/]*$', 1)")
     )
     files = scanned.where("file AND path IS NOT NULL").groupBy(F.col("dir").alias("above")).agg(
