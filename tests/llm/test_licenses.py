@@ -75,3 +75,19 @@ def test_whole_licences_are_licence_files(spark):
         assert found[i] == (name, "own") and found[i + 4] == (name, "inherited")
     # A line in a document is no licence file, nor is a short text without a name that says so.
     assert [found[i] for i in range(8, 12)] == [("MIT", "own"), (None, "none")] * 2
+
+
+def test_query_searches_several_levels(spark, tmp_path):
+    whole, plain = L.whole_licences(), "plain words of a document"
+    rows = [(0, whole["Apache-2.0"], "s", "en"), (100, whole["MIT"], "s", "en"), (101, plain, "s", "en"), (5, plain, "s", "en"),
+            (10101, plain, "s", "en"), (10100, plain, "s", "en"), (203, "Licensed under CC BY-NC 4.0.", "s", "en"),
+            (204, plain, "s", "en"), (102, plain, "t", "en"), (103, plain, None, None), (None, plain, "s", "en")]
+    rows += [(i, "the ship sailed on and the crew sang to the wind", "u", "en") for i in range(20, 50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: (r.license, r.origin) for r in QUERIES["op9_licenses"](spark, str(tmp_path)).collect()}
+    mit, apache = ("MIT", "inherited"), ("Apache-2.0", "inherited")
+    assert [found[i] for i in (101, 5, 204)] == [mit] * 3  # one level up, past a notice beside it
+    assert [found[i] for i in (10101, 10100, None)] == [apache] * 3  # two levels up, one, and none
+    assert [found[i] for i in (0, 100, 203)] == [("Apache-2.0", "own"), ("MIT", "own"), ("CC-BY-NC-4.0", "own")]
+    assert found[102] == found[103] == (None, "none")

@@ -214,7 +214,12 @@ def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_licenses")
 def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    # The table has no paths: folders are made up of source, language and ranges of 10,000 and of 100 ids.
+    # The first document of a range lies beside the range's folder, so folders of every level hold documents.
+    path = F.concat_ws(
+        "/", "source", "lang", F.expr("IF(doc_id % 10000 = 0, null, doc_id div 10000)"),
+        F.expr("IF(doc_id % 100 = 0, null, doc_id div 100)"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")),
+    )
     return licenses.find(table(spark, folder, "documents"), path)
 
 
