@@ -77,3 +77,24 @@ def test_query_and_edge_rows(spark, folder):
     frame = spark.createDataFrame(rows, "page_id long, html string, text string")
     assert sorted(r.text for r in H.extract(frame).collect()) == ["", "", "x", "x"]
     assert H.extract(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page,expected", [
+    ("<p><svg class=i /> seen</p>", "seen"), ("<body><svg/>rest<p>of it</body>", "rest\n\nof it"),
+    ("a <svg><title>t</title><desc>d</desc><defs><text>n</text></defs><path d=x /><text>seen</text><text>too</text></svg>", "a\nseen\ntoo"),
+    ("<svg><title/><style/><text>x</text></svg>y", "x\ny"), ("<svg><foreignObject><div/>in</div></foreignObject><g/></svg>b", "in\nb"),
+    ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2 again</annotation></math> <math/>so", "x=2 so"),
+    ("<object data=x><param name=a>fallback</object> b", "fallback b"), ("<svg><g>open<p>out<div/>of it", "open\n\nout\n\nof it"),
+    ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes<i>and</i></b><p>no</p></div>d", "yesand\n\nd"),
+    ("<div style='visibility:hidden'>no<p style='display:none;visibility:visible'>no</p></div>d", "d"),
+    ("<svg><text visibility=hidden>no<tspan visibility=visible>yes</tspan></text><text display=none>no</text></svg>", "yes"),
+    ("<desc>shown</desc> <defs>too</defs>", "shown too"), ("<div/>in<p/>x", "in\n\nx"),
+])
+def test_pictures_formulas_and_inherited_visibility(page, expected):
+    assert H.text_of(page) == expected
+
+
+def test_many_foreign_elements_stay_cheap():
+    began = time.process_time()
+    H.text_of("<svg>" + "<g>" * 30_000 + "<path/>" * 30_000 + "<svg><foreignObject>" * 10_000 + "<p>" * 10_000)
+    assert time.process_time() - began < 20

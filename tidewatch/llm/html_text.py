@@ -23,7 +23,19 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 HIDDEN = frozenset(
-    "head script style template title iframe noembed noframes datalist audio video canvas object svg math rp".split()
+    "head script style template title iframe noembed noframes datalist audio video canvas rp".split()
+)
+# Parts of pictures and formulas that only describe, or are shown where they are referred to.
+FOREIGN_HIDDEN = frozenset(
+    "title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter annotation"
+    " annotation-xml".split()
+)
+FOREIGN = frozenset(["svg", "math"])
+# Elements of those that hold HTML, and HTML elements that end a picture or formula they stand in.
+HOLDS_HTML = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr"
+    " ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol menu dir dl figure hr".split())
 BLOCKS = SPACED | frozenset(
@@ -33,6 +45,7 @@ BLOCKS = SPACED | frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol menu dir".split())
 IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+LINES = BLOCKS | {"text", "foreignobject"}  # on lines of their own; the latter in pictures
 CLOSES_P = (BLOCKS | SPACED) - frozenset("body caption html legend optgroup option select tr".split())
 # element: (what it ends, where the search for that stops)
 IMPLIED_ENDS = {
@@ -52,8 +65,9 @@ WIDEST_CELL = 60  # characters after which the text of a cell goes on in its nex
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
-_KEPT = frozenset("hidden style open start value colspan rowspan type".split())
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)\s*(?:!important\s*)?(?=;|$)", re.I)
+_KEPT = frozenset("hidden style open start value colspan rowspan type display visibility".split())
 
 
 class Node:
@@ -70,6 +84,7 @@ class Builder:
         self.root = Node("#root", {})
         self.stack = [self.root]
         self.open = Counter()
+        self.foreign: list[str] = []  # open pictures and formulas, and what in them holds HTML
 
     def build(self, page: str) -> Node:
         at = 0
@@ -108,6 +123,10 @@ class Builder:
             return found.end()
         raw = found[3]
         self.start(name, self.attributes(raw) if raw and not raw.isspace() else {})
+        if raw.endswith("/") and self.in_foreign():
+            if self.stack[-1].name == name:  # only there does the sign end an element
+                self.pop()
+            return found.end()
         if name not in RAW:
             return found.end()
         close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, found.end())
@@ -136,7 +155,19 @@ class Builder:
             return
         top.children.append(text if raw else html.unescape(text))
 
+    def in_foreign(self) -> bool:
+        """Whether a picture or formula is nearer than HTML in it; its own tag counts."""
+        last = self.foreign[-1] if self.foreign else ""
+        return last in FOREIGN or (bool(last) and self.stack[-1].name == last)
+
     def push(self, name: str, attributes: dict[str, str]) -> None:
+        if self.foreign:
+            if name in FOREIGN_HIDDEN or attributes.get("display") == "none":
+                attributes = attributes | {"hidden": ""}
+            if "visibility" in attributes:
+                attributes = attributes | {"style": f"visibility:{attributes['visibility']};{attributes.get('style', '')}"}
+        if name in FOREIGN or (self.foreign and name in HOLDS_HTML):
+            self.foreign.append(name)
         node = Node(name, attributes)
         self.stack[-1].children.append(node)
         if name not in VOID:
@@ -144,7 +175,10 @@ class Builder:
             self.open[name] += 1
 
     def pop(self) -> None:
-        self.open[self.stack.pop().name] -= 1
+        name = self.stack.pop().name
+        self.open[name] -= 1
+        if self.foreign and self.foreign[-1] == name:
+            self.foreign.pop()
 
     def close(self, names: frozenset[str], barrier: frozenset[str]) -> None:
         """Ends the innermost open element of ``names``, and all in it, unless ``barrier`` is nearer."""
@@ -163,6 +197,8 @@ class Builder:
             return
         if self.open["head"] and name not in IN_HEAD and name != "head":
             self.end("head")
+        while name in BREAKS_OUT and self.foreign and self.foreign[-1] in FOREIGN:
+            self.pop()
         if name in CLOSES_P:
             self.close(frozenset(["p"]), CELL_SCOPE)
         if name in HEADINGS and self.stack[-1].name in HEADINGS:
@@ -197,6 +233,12 @@ def hidden(node: Node, parent: Node | None) -> bool:
     return parent is not None and parent.name == "details" and "open" not in parent.attributes and node.name != "summary"
 
 
+def visible(node: Node, inherited: bool) -> bool:
+    """Whether text in an element is seen: its own visibility, or else that around it."""
+    found = _VISIBILITY.findall(node.attributes["style"]) if "style" in node.attributes else ()
+    return found[-1].lower() in ("visible", "initial") if found else inherited
+
+
 class Page:
     """Lines of text with blank lines between blocks that are set apart."""
 
@@ -307,12 +349,12 @@ def render(root: Node) -> str:
     """What is seen of a tree."""
     pages, tables, counters = [Page()], [], []
     pre = 0
-    work: list[tuple[Node | str, Node | None, bool]] = [(root, None, False)]
+    work: list[tuple[Node | str, Node | None, bool, bool]] = [(root, None, False, True)]
     while work:
-        node, parent, leaving = work.pop()
+        node, parent, leaving, seen = work.pop()
         page = pages[-1]
         if isinstance(node, str):
-            if parent is not None and parent.name == "details" and "open" not in parent.attributes:
+            if not seen or (parent is not None and parent.name == "details" and "open" not in parent.attributes):
                 continue
             page.verbatim(node) if pre else page.write(node)
             continue
@@ -346,7 +388,7 @@ def render(root: Node) -> str:
                 pre -= 1
             if name in SPACED and not (name in LISTS and counters):
                 page.blank()
-            elif name in BLOCKS:
+            elif name in LINES:
                 page.line()
             continue
         if parent is not None and hidden(node, parent):
@@ -358,7 +400,7 @@ def render(root: Node) -> str:
             page.line()  # a list in a list is not set apart
         elif name in SPACED:
             page.blank()
-        elif name in BLOCKS:
+        elif name in LINES:
             page.line()
         if name == "table":
             tables.append(Table() if len(tables) < DEEPEST_TABLE else None)
@@ -389,8 +431,9 @@ def render(root: Node) -> str:
             if name == "hr":
                 page.blank()
             continue
-        work.append((node, parent, True))
-        work.extend((child, node, False) for child in reversed(node.children))
+        work.append((node, parent, True, seen))
+        seen = visible(node, seen)
+        work.extend((child, node, False, seen) for child in reversed(node.children))
     pages[0].line()
     return "\n".join(pages[0].lines)
 
