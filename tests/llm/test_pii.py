@@ -100,3 +100,20 @@ def test_edge_rows(spark):
     assert found.count() == 5 and pii.find(docs.limit(0)).count() == 0
     assert [r.spans for r in found.where("doc_id = 4").collect()] == ["email:0:5,ip:6:13"] * 2
     assert [r.spans for r in found.where("doc_id < 3").collect()] == ["", ""]
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("juan arroba correo punto es", [("email", "juan arroba correo punto es")]),
+    ("eva at posta dot it, ana at mail dot com dot br", [("email", "eva at posta dot it"), ("email", "ana at mail dot com dot br")]),
+    ("jo at firm dot museum", [("email", "jo at firm dot museum")]), ("jo at firm dot nowhereland", []),
+    ("jo [at] example.com dot it is", [("email", "jo [at] example.com")]),
+    ("host 192 dot 168 dot one dot 7 up", [("ip", "192 dot 168 dot one dot 7")]), ("192.168.one.7", [("ip", "192.168.one.7")]),
+    ("10 [dot] zero [dot] 0 [dot] 1 six", [("ip", "10 [dot] zero [dot] 0 [dot] 1 six")]),
+    ("192 dot 1 six eight dot 0 dot one", [("ip", "192 dot 1 six eight dot 0 dot one")]),
+    ("call +1 555 five 1 two 3 four 5 now", [("phone", "+1 555 five 1 two 3 four 5")]),
+    ("card 4111 one 111 1111 one one 11", [("card", "4111 one 111 1111 one one 11")]),
+    ("x jo\u200b@example.c\u200bom y", [("email", "jo\u200b@example.c\u200bom")]), ("a@b.c\u200bo\u200bm", []),
+    ("one of 20, two of 30, page 7 one time", []),
+])
+def test_mixed_digits_and_all_top_level_domains(text, expected):
+    assert [(pii.KINDS[k], text[s:e]) for k, s, e in pii.spans(text)[1]] == expected

@@ -12,6 +12,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -118,7 +119,11 @@ _DIGIT_NAMES = [
 _DIGIT_OF = {name: str(i) for i, names in enumerate(_DIGIT_NAMES) for name in names}
 # How "at", "dot" and "plus" are written out.
 _AT, _DOT, _PLUS = ("at", "arobase", "arroba", "klammeraffe"), ("dot", "point", "punto", "punkt"), ("plus", "más")
-# Endings that make "a at b dot c" an address though nothing is bracketed.
+# Every top-level domain: endings that make "a at b dot c" an address though nothing is bracketed.
+_TOP_LEVEL = frozenset(
+    line.lower() for line in files(__package__).joinpath("tlds.txt").read_text("ascii").split("\n")[1:] if line
+)
+# Endings that count after a dot that is no written-out one, too.
 _ENDINGS = frozenset("com org net edu gov mil info biz io co uk de fr eu ca au ch nl example test".split())
 
 
@@ -129,10 +134,15 @@ def _either(names: tuple[str, ...] | list[str]) -> str:
 
 
 _NAME = _either([*_DIGIT_OF])
+_UNIT = rf"(?:{_NAME}|[0-9]++)"
+_BRACKETED_DOT = rf"[ \t]{{0,3}}[\[({{<][ \t]{{0,2}}(?:{_either(_DOT)}|\.)[ \t]{{0,2}}[\])}}>][ \t]{{0,3}}"
 _SPELLED = re.compile(
-    rf"(?<!\w)(?:(?:{_either(_PLUS)})[ -]{{1,2}})?(?:{_NAME})(?:[ -]{{1,3}}(?:(?:{_either(_DOT)})[ -]{{1,3}})?(?:{_NAME}))+(?!\w)"
+    rf"(?<!\w)(?:(?:{_either(_PLUS)})[ -]{{1,2}})?{_UNIT}"
+    rf"(?:(?:[ -]{{1,3}}(?:(?:{_either(_DOT)})[ -]{{1,3}})?|\.|\)[ -]?|{_BRACKETED_DOT}){_UNIT})+(?!\w)"
+)
+_SPELLED_PART = re.compile(
+    rf"(?P<digit>{_NAME})|(?P<number>[0-9]+)|(?P<dot>{_BRACKETED_DOT}|{_either(_DOT)}|\.)|(?P<plus>{_either(_PLUS)})"
 )
-_SPELLED_PART = re.compile(rf"(?P<digit>{_NAME})|(?P<dot>{_either(_DOT)})|(?P<plus>{_either(_PLUS)})")
 _SIGN = re.compile(
     rf"[ \t]{{0,3}}[\[({{<][ \t]{{0,2}}(?:(?P<at>{_either(_AT)}|@)|(?P<dot>{_either(_DOT)}|\.))[ \t]{{0,2}}[\])}}>][ \t]{{0,3}}"
     rf"|(?<=\w)(?:(?P<bare_at>[ \t]{{1,3}}(?:{_either(_AT)})[ \t]{{1,3}})|(?P<bare_dot>[ \t]{{1,3}}(?:{_either(_DOT)})[ \t]{{1,3}})"
@@ -161,10 +171,6 @@ class Rewritten:
     def _back(self, place: int, first: bool) -> int:
         """Source place of a character of the new text; of its beginning, or of its end."""
         i = bisect_right(self.new_starts, place) - 1
-        while i >= 0 and self.new_starts[i] == self.new_ends[i]:  # what was deleted before the place
-            if self.new_starts[i] < place or first or i == 0:
-                break
-            i -= 1
         if i < 0:
             return place if first else place + 1
         start, end = self.edits[i][:2]
@@ -192,16 +198,28 @@ def invisible(text: str) -> Rewritten:
 
 
 def spelled(text: str) -> Rewritten:
-    """Runs of digit names, with plus and dots between, become digits."""
+    """Runs of digit names, with digits, plus and dots between, become digits.
+
+    Nothing stays between single digits and at dots; beside a longer number one character does.
+    """
     edits = []
     for run in _SPELLED.finditer(text):
+        parts = list(_SPELLED_PART.finditer(text, *run.span()))
+        if not any(part["digit"] for part in parts):
+            continue
         before = None
-        for part in _SPELLED_PART.finditer(text, *run.span()):
-            new = _DIGIT_OF.get(part[0].lower()) or ("." if part["dot"] else "+")
-            if before is not None:
-                edits.append((before, part.start(), "", ""))
-            edits.append((*part.span(), new, "digit"))
-            before = part.end()
+        for part in parts:
+            if before is not None and (gap := part.start() - before.end()):
+                long = any(p["number"] and len(p[0]) > 1 for p in (before, part))
+                numbers = before["number"] and part["number"]
+                if not (long or numbers) or before["dot"] or part["dot"] or before["plus"]:
+                    edits.append((before.end(), part.start(), "", ""))
+                elif gap > 1 and not numbers:
+                    edits.append((before.end(), part.start(), " ", ""))
+            new = part["number"] or _DIGIT_OF.get(part[0].lower()) or ("." if part["dot"] else "+")
+            if new != part[0]:
+                edits.append((*part.span(), new, "digit"))
+            before = part
     for run in _LETTER_DIGIT.finditer(text):
         edits += [(i, i + 1, "0" if text[i] in "Oo" else "1", "digit") for i in range(*run.span())]
     edits.sort()
@@ -219,7 +237,7 @@ def _address(text: str, start: int, end: int, tags: list[tuple[int, str]]) -> in
     """Where a rewritten address ends, or 0 if it is none.
 
     "a at b.c" may be ordinary prose: a bare "at" counts only with a written-out dot
-    and a known ending.  The address ends before written-out dots that are prose.
+    and a top-level domain, of a few if other dots are not written out.  The address ends before written-out dots that are prose.
     """
     sign = text.index("@", start)
     while True:
@@ -228,7 +246,8 @@ def _address(text: str, start: int, end: int, tags: list[tuple[int, str]]) -> in
         plain = not any(place == last and tag == "bare_dot" for place, tag in tags)
         bare = any(place == sign and tag == "bare_at" for place, tag in tags)
         dotted = any(sign < place < end and tag in ("dot", "bare_dot") for place, tag in tags)
-        known = ending.lower() in _ENDINGS
+        written = sum(sign < place <= last and tag in ("dot", "bare_dot") for place, tag in tags)
+        known = ending.lower() in _ENDINGS or (ending.lower() in _TOP_LEVEL and written == text.count(".", sign, end))
         if (known if bare else plain or known) and (dotted or not bare) and ending.isalpha() and len(ending) > 1:
             return end
         if "." not in text[sign:last]:
