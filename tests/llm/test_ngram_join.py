@@ -1,5 +1,6 @@
 """The forest join against all pairs: recall, exactness, groups, skew and edge rows."""
 
+import inspect
 import random
 
 import numpy as np
@@ -119,3 +120,15 @@ def test_keep_one_of_each_group_though_keys_repeat(spark):
     found = [tuple(r) for r in N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted((key, text[0]) for key, text in found if key) == [(5, "a"), (5, "b")]
     assert sorted(text[0] for key, text in found if key is None) == ["c", "d"] and len(found) == 4
+
+
+def test_defaults_miss_next_to_no_pair_at_the_threshold():
+    given = {k: p.default for k, p in inspect.signature(N.near_duplicates).parameters.items()}
+    length = N.prefix_length(given["trees"], given["deepest"], given["threshold"], given["recall"])
+    forest = N.Forest(given["trees"], given["deepest"], length, given["seed"])
+    rng, missed = np.random.default_rng(3), 0
+    for _ in range(3000):  # 80 of 100 shingles in common
+        found = rng.integers(0, 2**63, 100, dtype=np.uint64) * np.uint64(2)
+        a, b = (forest.nodes(forest.signature(x)) for x in (found[:90], np.concatenate([found[:80], found[90:]])))
+        missed += not (a == b).any()
+    assert missed <= 3

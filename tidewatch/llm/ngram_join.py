@@ -1,9 +1,9 @@
-"""Near-duplicate documents: Jaccard join of word shingles by a MinHash LSH forest.
+"""Near-duplicate documents: Jaccard join of word shingles by MinHash bands of fixed depth.
 
-Every document has a few MinHash trees; in each tree the sequence of its hashes is a
-path in a trie.  Documents that share a long prefix of a path are candidates, and the
-prefix that must agree is shortened, hash by hash, until a pair at the threshold is
-found with the target recall.  Candidates of a trie node are first compared by their
+Every document has 40 MinHash trees, in each a path of hashes.  Documents that share the
+prefix of a path are candidates.  Its length is one for all, computed from the threshold
+and the target recall before any data is read: this is banding, not a forest whose
+prefixes adapt to the data.  Candidates of a node are first compared by their
 whole signatures, far below the threshold, and those that look alike are tied into
 clusters; only documents of clusters have their texts read again, each is sent to its
 cluster once, and all pairs of a cluster are verified exactly.
@@ -29,7 +29,7 @@ from tidewatch.llm.embedding_dedup import roots
 from tidewatch.llm.words import mixed, shingles
 from tidewatch.session import materialize
 
-TREES, DEEPEST = 20, 8
+TREES, DEEPEST = 40, 7
 TILE = 256  # classes of a cluster that meet in one task
 TILE_SHINGLES = 4_000_000  # and their shingles
 PACK_ROWS, PACK_SHINGLES = 20_000, 2_000_000  # of small groups that share a task
@@ -251,7 +251,7 @@ def _links(classes: DataFrame, texts: DataFrame, threshold: float, size: int, le
 
 def _marked(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8,
-    recall: float = 0.99, trees: int = TREES, deepest: int = DEEPEST, slack: float = 0.15, tile: int = TILE, seed: int = 17,
+    recall: float = 0.9999, trees: int = TREES, deepest: int = DEEPEST, slack: float = 0.15, tile: int = TILE, seed: int = 17,
 ) -> DataFrame:
     """Columns of ``near_duplicates`` and root, the number of the group: keys repeat, it does not."""
     forest = Forest(trees, deepest, prefix_length(trees, deepest, threshold, recall), seed)
@@ -290,7 +290,7 @@ def _marked(
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8,
-    recall: float = 0.99, trees: int = TREES, deepest: int = DEEPEST, slack: float = 0.15, tile: int = TILE, seed: int = 17,
+    recall: float = 0.9999, trees: int = TREES, deepest: int = DEEPEST, slack: float = 0.15, tile: int = TILE, seed: int = 17,
 ) -> DataFrame:
     """One row per document: key, class_id, n_links, group_id, kept, text_key.
 
