@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -47,13 +49,25 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_folder()
     return f"{base.rstrip('/')}/tidewatch/{purpose}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _own_folder() -> str:
+    """The temporary folder of this process, for local sessions without a shared one."""
+    return tempfile.mkdtemp(prefix="tidewatch-")
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete work folders that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, purpose: str, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` to the shared work folder and read it back.
 
