@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatch.llm import decontaminate, embedding_dedup, html_text, licenses, ngram_join, packing, pii, secrets, warc
+from tidewatch.llm import collocations, decontaminate, embedding_dedup, html_text, licenses, ngram_join, packing, pii, secrets, warc
 from tidewatch.llm.settings import table, toxicity_chain, vocabulary
 from tidewatch.session import work_folder
 
@@ -223,6 +223,44 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.find(table(spark, folder, "documents"), path)
 
 
+@query(
+    "op11_collocations",
+    r"""
+    WITH t AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+        FROM documents
+    ),
+    w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM t),
+    c AS (
+        SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
+        FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m)
+        GROUP BY ALL
+    ),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE m = 1 GROUP BY lang),
+    b AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM c WHERE m > 1 AND f >= 10),
+    k AS (SELECT *, unnest(range(1, m)) AS k FROM b),
+    s AS (
+        SELECT k.lang, k.m, k.phrase, k.a, k.k, x.f AS l, y.f AS r, 1000000::HUGEINT * k.a * k.a // (x.f::HUGEINT * y.f) AS score
+        FROM k JOIN c x ON x.lang = k.lang AND x.m = k.k AND x.phrase = array_to_string(k.w[:k.k], ' ')
+               JOIN c y ON y.lang = k.lang AND y.m = k.m - k.k AND y.phrase = array_to_string(k.w[k.k + 1:], ' ')
+    ),
+    low AS (FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (
+        SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longer
+        FROM (SELECT lang, w, a, unnest([1, 2]) AS i FROM b WHERE m = 3) GROUP BY ALL
+    ),
+    r AS (
+        SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+        FROM low LEFT JOIN inside USING (lang, phrase) WHERE m = 3 OR longer IS NULL OR 100 * longer < 50 * a
+    )
+    SELECT r.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM r JOIN n USING (lang) WHERE rank <= 2000
+    """,
+)
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
