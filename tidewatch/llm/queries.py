@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatch.llm import collocations, decontaminate, embedding_dedup, html_text, licenses, ngram_join, packing, pii, secrets, warc
+from tidewatch.llm import collocations, decontaminate, embedding_dedup, html_text, lexical, licenses, ngram_join, packing, pii, secrets, warc
 from tidewatch.llm.settings import table, toxicity_chain, vocabulary
 from tidewatch.session import work_folder
 
@@ -261,6 +261,34 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.mine(table(spark, folder, "documents"))
 
 
+@query(
+    "op13_lexical_search",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS u, doc_id, {_WORDS} AS w FROM documents),
+    b AS (SELECT row_number() OVER () AS q, item_id, {_WORDS} AS w FROM benchmark),
+    s AS (SELECT count(*) AS n_all, sum(len(w))::BIGINT AS len_all FROM d WHERE len(w) > 0),
+    q AS (SELECT q, t, count(*) AS times FROM (SELECT q, unnest(w) AS t FROM b) GROUP BY q, t),
+    p AS (
+        SELECT u, t, count(*) AS tf FROM (SELECT u, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY u, t
+    ),
+    x AS (
+        SELECT t, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+        FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s
+    ),
+    r AS (
+        SELECT q, doc_id, u,
+               sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(w) * n_all) // len_all))))::BIGINT AS score
+        FROM p JOIN q USING (t) JOIN x USING (t) JOIN d USING (u), s GROUP BY q, doc_id, u
+    )
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0)
+    JOIN b USING (q) WHERE rank <= 10
+    """,
+)
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
