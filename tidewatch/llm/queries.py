@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatch.llm import collocations, decontaminate, embedding_dedup, html_text, lexical, licenses, ngram_join, packing, pii, secrets, warc
+from tidewatch.llm import collocations, decontaminate, embedding_dedup, html_text, lexical, licenses, ngram_join, packing, pii, secrets, url_filter, warc
 from tidewatch.llm.settings import table, toxicity_chain, vocabulary
 from tidewatch.session import work_folder
 
@@ -261,6 +261,20 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.mine(table(spark, folder, "documents"))
 
 
+# Verdict, host and path of each rule.
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+@query("op12_url_filter")
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    # The given tables label no URLs: those that the rules decide teach the trees about the others.
+    pages = table(spark, folder, "pages")
+    return url_filter.train(url_filter.rule_labels(pages, URL_RULES)).judge(pages, URL_RULES)
+
+
 @query(
     "op13_lexical_search",
     f"""
