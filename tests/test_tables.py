@@ -1,4 +1,6 @@
 import datetime as dt
+import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.util import column, spark_rows
 from tidewatch import schemas
 from tidewatch.sources import keyed as K
+from tidewatch.sources import keyfilter
 from tidewatch.sources import readers as RD
 from tidewatch.sources import views as VW
 from tidewatch.sources import writers as WR
@@ -112,6 +115,77 @@ def test_insert_table_is_idempotent(spark, tmp_path):
     assert column(K.read_table(spark, path, like), "k", "k") == ["a", "b", "c"]
 
 
+def timed(spark, rows):
+    return spark.createDataFrame(rows, "k string, at timestamp_ntz, v int")
+
+
+def test_a_key_is_known_on_any_day_and_without_one(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    late, early = dt.datetime(2024, 1, 1, 23, 59), dt.datetime(2024, 1, 2, 0, 1)
+    for batch in ([("a", late, 1), (None, late, 5)], [("a", early, 2), ("b", None, 3)], [("b", None, 4)], [("b", late, 6), ("a", None, 7)]):
+        K.insert_table(spark, path, timed(spark, batch), ["k"], ["at"], "at")
+    got = K.read_table(spark, path, timed(spark, [])).collect()
+    assert sorted((str(r["k"]), r["v"]) for r in got) == [("None", 5), ("a", 1), ("b", 3)]
+
+
+def test_upsert_table_replaces_rows_without_a_time(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    for value in (1, 1, 2):
+        K.upsert_table(spark, path, timed(spark, [("a", None, value)]), ["k"], ["at"], "at")
+    assert [tuple(r) for r in K.read_table(spark, path, timed(spark, [])).collect()] == [("a", None, 2)]
+    K.insert_table(spark, path, timed(spark, [("a", dt.datetime(2024, 1, 1), 9)]), ["k"], ["at"], "at")
+    assert K.read_table(spark, path, timed(spark, [])).count() == 1
+
+
+def test_days_that_cannot_hold_a_key_stay_unread(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = [(f"{d}-{i}", dt.datetime(2024, 1, d, i % 24), i) for d in range(1, 11) for i in range(300)]
+    K.append_table(timed(spark, rows), path, "at")  # before there are filters: the first insert builds them
+    K.insert_table(spark, path, timed(spark, [("new", dt.datetime(2024, 1, 11), 1)]), ["k"], ["at"], "at")
+    batch = timed(spark, [("3-7", dt.datetime(2024, 2, 1), 1), ("7-299", None, 1), ("new", dt.datetime(2024, 1, 1), 1)])
+    days = set(map(str, keyfilter.days_with(spark, path, batch, ["k"])))
+    assert {"2024-01-03", "2024-01-07", "2024-01-11"} <= days and len(days) <= 5
+    # The scan's partition filter names these days and no other; the rest of a row stays unread too.
+    plan = K.known_rows(spark, path, batch, ["k"], "at")._jdf.queryExecution().executedPlan().toString()
+    (filters,) = re.findall(r"PartitionFilters: \[(.*)\], PushedFilters", plan)
+    assert set(re.findall(r"2024-\d\d-\d\d", filters)) == days and "ReadSchema: struct<k:string>" in plan
+    K.insert_table(spark, path, batch, ["k"], ["at"], "at")
+    assert K.read_table(spark, path, timed(spark, [])).count() == 3001
+    none = timed(spark, [("absent", dt.datetime(2024, 1, 1), 1)])
+    assert len(keyfilter.days_with(spark, path, none, ["k"])) <= 2
+
+
+def test_filters_learn_from_every_write(spark, tmp_path):
+    path, day = f"{tmp_path}/t", dt.datetime(2024, 1, 3)
+    K.insert_table(spark, path, timed(spark, [("a", day, 1)]), ["k"], ["at"], "at")
+    K.append_table(timed(spark, [("b", day, 1)]), path, "at")
+    K.upsert_table(spark, path, timed(spark, [("c", day, 1)]), ["k"], ["at"], "at", compare=False)
+    K.upsert_table(spark, path, timed(spark, [("d", None, 1)]), ["k"], ["at"], "at")
+    K.insert_table(spark, path, timed(spark, [(k, None, 2) for k in "abcde"]), ["k"], ["at"], "at")
+    got = K.read_table(spark, path, timed(spark, [])).orderBy("k").collect()
+    assert [(r["k"], r["v"]) for r in got] == [("a", 1), ("b", 1), ("c", 1), ("d", 1), ("e", 2)]
+
+
+def test_keys_of_a_hot_day_and_of_two_columns(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = spark.range(20000).selectExpr("CAST(id % 100 AS STRING) AS k", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS at", "CAST(id AS INT) AS v")
+    for _ in range(2):
+        K.insert_table(spark, path, rows, ["k", "v"], ["at"], "at")
+    assert K.read_table(spark, path, rows).count() == 20000
+
+
+def test_no_work_copies_stay(spark, tmp_path, monkeypatch):
+    from tidewatch import session
+
+    monkeypatch.setattr(session, "work_folder", lambda spark, purpose: f"{tmp_path}/work/{purpose}")
+    path = f"{tmp_path}/t"
+    K.insert_table(spark, path, rows_of(spark, [("a", 1, 0, 1)]), ["k"], ["at"], "at")
+    K.upsert_table(spark, path, rows_of(spark, [("a", 1, 0, 2)]), ["k"], ["at"], "at")
+    K.archive_table(spark, path, f"{tmp_path}/old", dt.datetime(2024, 1, 5), ["k"], "at", rows_of(spark, []))
+    assert not list((tmp_path / "work").iterdir())
+    assert not (tmp_path / "t_kept").exists()
+
+
 def test_upsert_table_touches_only_its_days(spark, tmp_path):
     path = f"{tmp_path}/t"
     K.append_table(rows_of(spark, [("a", 1, 0, 1), ("b", 2, 0, 2), ("c", 2, 3, 3)]), path, "at")
@@ -163,6 +237,50 @@ def test_archive_completes_an_interrupted_run(spark, tmp_path):
     assert column(K.read_table(spark, old, like), "k", "k") == ["a", "b"]
 
 
+def test_archive_keeps_what_arrives_meanwhile(spark, tmp_path, monkeypatch):
+    live, old, like = f"{tmp_path}/live", f"{tmp_path}/old", rows_of(spark, [])
+    K.append_table(rows_of(spark, [("a", 1, 0, 1), ("b", 2, 5, 2), ("c", 2, 9, 3)]), live, "at")
+    real = K.insert_table
+
+    def late(*args):
+        real(*args)
+        K.append_table(rows_of(spark, [("x", 1, 3, 1), ("y", 2, 4, 2)]), live, "at")
+
+    monkeypatch.setattr(K, "insert_table", late)
+    K.archive_table(spark, live, old, dt.datetime(2024, 1, 2, 6), ["k"], "at", like)
+    monkeypatch.undo()
+    assert column(K.read_table(spark, live, like), "k", "k") == ["c", "x", "y"]
+    K.archive_table(spark, live, old, dt.datetime(2024, 1, 2, 6), ["k"], "at", like)
+    assert column(K.read_table(spark, live, like), "k", "k") == ["c"]
+    assert column(K.read_table(spark, old, like), "k", "k") == ["a", "b", "x", "y"]
+
+
+@pytest.mark.parametrize("steps", [0, 1, 2])
+def test_archive_killed_in_the_swap(spark, tmp_path, monkeypatch, steps):
+    live, old, like = f"{tmp_path}/live table", f"{tmp_path}/old", rows_of(spark, [])
+    K.append_table(rows_of(spark, [("a", 1, 0, 1), ("b", 2, 5, 2), ("c", 2, 9, 3)]), live, "at")
+    real, calls = K._finish_swap, []
+
+    def killed(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            if steps:  # some files are gone, some came back
+                plan = json.loads((tmp_path / "live table" / K.SWAP).read_text())
+                for name in plan["old"][:steps]:
+                    _, fs = K._file_system(spark, name)
+                    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(name), False)
+            raise RuntimeError("killed")
+        real(*args)
+
+    monkeypatch.setattr(K, "_finish_swap", killed)
+    with pytest.raises(RuntimeError):
+        K.archive_table(spark, live, old, dt.datetime(2024, 1, 2, 6), ["k"], "at", like)
+    monkeypatch.undo()
+    K.archive_table(spark, live, old, dt.datetime(2024, 1, 2, 6), ["k"], "at", like)
+    assert column(K.read_table(spark, live, like), "k", "k") == ["c"]
+    assert column(K.read_table(spark, old, like), "k", "k") == ["a", "b"]
+
+
 def test_tables_and_layout(spark, tmp_path):
     tables = VW.create_tables(spark, str(tmp_path))
     assert {n: len(t.schema.fields) for n, t in tables.items()} == {

@@ -276,7 +276,7 @@ def table_upsert_sink(spark, folder):
     keyed.append_table(target, path, "predicted_at")
     keyed.upsert_table(spark, path, batch, ["event_id"], ["predicted_at"], "predicted_at")
     # A repeated batch changes nothing, neither as upsert nor as insert.
-    keyed.insert_table(spark, path, batch, ["event_id"], ["predicted_at"], "predicted_at", same_day=True)
+    keyed.insert_table(spark, path, batch, ["event_id"], ["predicted_at"], "predicted_at")
     return spark.read.schema(keyed.with_schema(batch)).parquet(path)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +70,23 @@ def discard(spark: SparkSession, *paths: str) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``materialize`` for work that ends here: its copies are deleted at the end."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame, purpose: str) -> DataFrame:
+        path = work_folder(spark, purpose)
+        paths.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        discard(spark, *paths)
+
+
 def materialize(df: DataFrame, purpose: str, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` to the shared work folder and read it back.
 

@@ -2,17 +2,20 @@
 
 The functions without ``_table`` are plain DataFrame algebra.  The ``_table``
 functions apply them to a table partitioned by day and rewrite only the days
-that change.
+that change.  A row without a time lies in a folder of its own, the day null.
+Tables have one writer at a time; their work copies are deleted when it is done.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatch.functions.expr import naive
-from tidewatch.session import materialize
+from tidewatch.session import scratch
+from tidewatch.sources import keyfilter
 from tidewatch.sources.readers import path_exists, spark_path
 
 
@@ -92,6 +95,8 @@ def by_day(df: DataFrame, column: str) -> DataFrame:
 
 
 def append_table(df: DataFrame, path: str, column: str) -> None:
+    """Add rows as they are; filters that the table has learn their keys first."""
+    keyfilter.add(df.sparkSession, path, df, F.to_date(column))
     by_day(df, column).write.mode("append").partitionBy(DAY).parquet(spark_path(path))
 
 
@@ -114,7 +119,7 @@ def _days(df: DataFrame, column: str) -> list:
 
 def _on(day: Column, days: list) -> Column:
     """Whether a day is one of ``days``; rows without a time share the day null."""
-    return F.coalesce(day.isin([d for d in days if d is not None]), F.lit(None in days))
+    return F.when(day.isNull(), F.lit(None in days)).otherwise(day.isin([d for d in days if d is not None]))
 
 
 def _replace_days(df: DataFrame, path: str, column: str) -> None:
@@ -127,31 +132,37 @@ def _replace_days(df: DataFrame, path: str, column: str) -> None:
     )
 
 
+def _only_days(spark: SparkSession, path: str, like: DataFrame, days: list) -> DataFrame:
+    """The rows of some days, from their folders alone."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], like.schema)
+    table = spark.read.schema(with_schema(like)).parquet(spark_path(path))
+    dated = F.col(DAY).isin([d for d in days if d is not None])
+    chosen = dated | F.col(DAY).isNull() if None in days else dated  # a partition filter: other folders stay unread
+    return table.where(chosen).select(*like.columns)
+
+
+def known_rows(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """The keys of the days that may hold a key of ``batch``."""
+    like = batch.select(*dict.fromkeys([*keys, column]))
+    if not path_exists(spark, keyfilter.folder(path, keys)):
+        keyfilter.build(spark, path, read_table(spark, path, like), keys, F.to_date(column))
+    return _only_days(spark, path, like, keyfilter.days_with(spark, path, batch, keys)).select(*keys)
+
+
 def insert_table(
-    spark: SparkSession,
-    path: str,
-    batch: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    column: str,
-    same_day: bool = False,
+    spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], column: str
 ) -> None:
     """Append the rows with unknown keys; running it twice adds nothing.
 
-    Only the key columns of the table are read.  ``same_day`` states that a
-    repeated key always carries the same day; then only the batch's days are read.
+    A key is known whatever day it came with, or without one.  Bloom filters name the
+    days that may hold a key of the batch; of those only the key columns are read.
+    Rows without a key are always new.
     """
-    known = read_table(spark, path, batch)
-    if same_day:
-        known = _only_days(spark, path, batch, _days(batch, column))
-    append_table(new_rows(known, batch, keys, order), path, column)
-
-
-def _only_days(spark: SparkSession, path: str, like: DataFrame, days: list) -> DataFrame:
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], like.schema)
-    table = spark.read.schema(with_schema(like)).parquet(spark_path(path))
-    return table.where(_on(F.col(DAY), days)).select(*like.columns)
+    with scratch(spark) as keep:
+        rows = keep(batch, "batch")
+        fresh = keep(new_rows(known_rows(spark, path, rows, keys, column), rows, keys, order), "fresh")
+        append_table(fresh, path, column)
 
 
 def upsert_table(
@@ -171,45 +182,97 @@ def upsert_table(
     few rows of small days.  Rewritten days are written aside first and the swap
     reads that copy: an interrupted swap can be repeated.
     """
-    # First of all, and once: every use of a streaming batch computes it anew.
-    batch = materialize(changes, "changes", spark)
-    days = _days(batch, column)
-    if not days:
+    with scratch(spark) as keep:
+        # First of all, and once: every use of a streaming batch computes it anew.
+        batch = keep(changes, "changes")
+        days = _days(batch, column)
+        if not days:
+            return
+        last = one_per_key(batch.where(_has_key(keys)), keys, order, "last")
+        staged = last.unionByName(batch.where(~_has_key(keys)))
+        stored = _only_days(spark, path, changes, days)
+        day, rewritten = F.to_date(column), days
+        if compare:
+            rest = [c for c in changes.columns if c not in keys]
+            before = stored.select(*keys, F.struct(*rest).alias("_before"))
+            changed = staged.join(before, list(keys)).where(~F.struct(*rest).eqNullSafe(F.col("_before")))
+            rewritten = _days(changed, column)
+            fresh = staged.join(stored.select(*keys), list(keys), "left_anti").select(*changes.columns)
+            append_table(keep(fresh.where(~_on(day, rewritten)) if rewritten else fresh, "fresh"), path, column)
+        if rewritten:
+            merged = upsert(stored.where(_on(day, rewritten)), staged.where(_on(day, rewritten)), keys, order)
+            merged = keep(merged, "merged")
+            keyfilter.add(spark, path, merged, day)
+            _replace_days(merged, path, column)
+
+
+# --- archive -----------------------------------------------------------------
+
+SWAP = "_swap.json"  # names the files of an unfinished archive run
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(spark_path(path))
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _finish_swap(spark: SparkSession, live: str) -> None:
+    """Carry out what an archive run has written down: old files go, their kept rows come back.
+
+    Each step may be repeated.  The kept rows return as files of fixed names.
+    """
+    note, fs = _file_system(spark, f"{live}/{SWAP}")
+    if not fs.exists(note):
         return
-    last = one_per_key(batch.where(_has_key(keys)), keys, order, "last")
-    staged = last.unionByName(batch.where(~_has_key(keys)))
-    stored = _only_days(spark, path, changes, days)
-    day, rewritten = F.to_date(column), days
-    if compare:
-        rest = [c for c in changes.columns if c not in keys]
-        before = stored.select(*keys, F.struct(*rest).alias("_before"))
-        changed = staged.join(before, list(keys)).where(~F.struct(*rest).eqNullSafe(F.col("_before")))
-        rewritten = _days(changed, column)
-        fresh = staged.join(stored.select(*keys), list(keys), "left_anti").select(*changes.columns)
-        append_table(fresh.where(~_on(day, rewritten)) if rewritten else fresh, path, column)
-    if rewritten:
-        merged = upsert(stored.where(_on(day, rewritten)), staged.where(_on(day, rewritten)), keys, order)
-        _replace_days(materialize(merged, "merged"), path, column)
+    stream = fs.open(note)
+    plan = json.loads(bytes(stream.readAllBytes()).decode())
+    stream.close()
+    for name in plan["old"]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(name), False)
+    for name, target in plan["kept"]:
+        source, goal = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (name, target))
+        if fs.exists(source):
+            fs.mkdirs(goal.getParent())
+            fs.rename(source, goal)
+    fs.delete(note, False)
+    for name in plan["folders"]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if fs.exists(place) and not fs.listStatus(place):
+            fs.delete(place, False)
 
 
 def archive_table(spark: SparkSession, live: str, archive: str, cutoff, keys: Sequence[str], column: str, like: DataFrame) -> None:
     """Move the rows older than ``cutoff`` (a datetime) from one table to another.
 
     Rows reach the archive before they leave the live table, and the archive
-    ignores known keys: a rerun after a failure completes the move.
+    ignores known keys: a rerun after a failure completes the move.  Only files that
+    were read are removed, so rows that arrive meanwhile stay.
     """
+    _finish_swap(spark, live)
     limit = naive(cutoff)
-    table = spark.read.schema(with_schema(like)).parquet(spark_path(live))
-    # The day filter prunes folders; the exact one decides the cut-off day.
-    candidates = table.where(F.col(DAY) <= F.to_date(limit)).select(*like.columns)
-    old, _ = split_by_age(candidates, limit, column)
-    insert_table(spark, archive, old, keys, [column], column, same_day=True)
-    boundary = table.where(F.col(DAY) == F.to_date(limit)).select(*like.columns)
-    kept = materialize(split_by_age(boundary, limit, column)[1], "boundary")
-    past = [r[0] for r in table.where(F.col(DAY) <= F.to_date(limit)).select(DAY).distinct().collect()]
-    _replace_days(kept, live, column)
-    emptied = set(past) - {r[0] for r in kept.select(F.to_date(column)).distinct().collect()}
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    for day in sorted(emptied):
-        folder = fs_path(f"{spark_path(live)}/{DAY}={day.isoformat()}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    whole = spark.read.schema(with_schema(like)).parquet(spark_path(live))
+    # A snapshot: names of files, no data.
+    names = whole.where(F.col(DAY) <= F.to_date(limit)).select("_metadata.file_path").distinct().collect()
+    files = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(n)).toString() for (n,) in names]
+    if not files:
+        return
+    table = spark.read.schema(with_schema(like)).option("basePath", spark_path(live)).parquet(*files).select(*like.columns)
+    old, kept = split_by_age(table, limit, column)
+    insert_table(spark, archive, old, keys, [column], column)
+    staged, fs = _file_system(spark, f"{spark_path(live).rstrip('/')}_kept")
+    by_day(kept, column).write.mode("overwrite").partitionBy(DAY).parquet(staged.toString())
+    moves = []
+    for status in fs.listStatus(staged):
+        if status.isDirectory() and status.getPath().getName().startswith(f"{DAY}="):
+            for file in fs.listStatus(status.getPath()):
+                name = file.getPath()
+                moves.append((name.toString(), f"{spark_path(live)}/{status.getPath().getName()}/{name.getName()}"))
+    folders = sorted({f.rsplit("/", 1)[0] for f in files})
+    note, fs = _file_system(spark, f"{live}/{SWAP}")
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{note.toString()}.draft")
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps({"old": files, "kept": moves, "folders": folders}).encode()))
+    out.close()
+    fs.rename(draft, note)
+    _finish_swap(spark, live)
+    fs.delete(staged, True)

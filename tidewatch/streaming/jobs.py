@@ -117,7 +117,7 @@ def scoring_job(stream: DataFrame, table: str, outbox: str, checkpoint: str):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = materialize(stored(batch), "scored", spark)
-        keyed.insert_table(spark, table, rows, ["event_id"], ["predicted_at"], "predicted_at", same_day=True)
+        keyed.insert_table(spark, table, rows, ["event_id"], ["predicted_at"], "predicted_at")
         result = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
         rows.select(F.col("customer_id").alias("key"), result.alias("value")).write.mode("overwrite").json(
             f"{outbox}/batch={batch_id}"
