@@ -1,5 +1,6 @@
 """Packing against a token-by-token rebuild of every sequence."""
 
+import json
 import zlib
 from collections import defaultdict
 
@@ -70,13 +71,38 @@ def test_repeated_rows_are_documents_of_their_own(spark):
         packing.pack(docs, vocabulary(), capacity=100)
 
 
-@given(st.text(alphabet=st.characters(codec="utf-8"), max_size=60) | st.text("ab 's\t\n.1é ", max_size=60))
-@settings(max_examples=300, deadline=None)
-def test_cut_words_encode_as_the_whole_text(text):
+SOME_TEXT = (
+    st.text(alphabet=st.characters(codec="utf-8"), max_size=60) | st.text("ab 's\t\n.1é ", max_size=60)
+    | st.text("aéÿ×÷ª… \n\x0b\x1c\x85\xa0²Ⅷ߀'tdm<|>—", max_size=40)
+    | st.sampled_from(["<|endoftext|>", "x<|endoftext|>y z", "it'S they'll\n\n a", "a" * 200 + " b", "a  \n 漢 b  c "])
+)
+
+
+@given(SOME_TEXT)
+@settings(max_examples=800, deadline=None)
+def test_ids_are_those_of_the_tokenizer(text):
+    found = packing.encoder(vocabulary()).ids(text)
+    assert np.frombuffer(found, dtype="<u4").tolist() == TOKENS.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, " " * 300_000 + "x", "漢字 " * 20_000, "ab" * 100_000 + " ok ok", "=" * 200_000 + "\n" * 5000])
+def test_very_long_runs(text):
     found = packing.encoder(vocabulary()).ids(text)
     assert np.frombuffer(found, dtype="<u4").tolist() == TOKENS.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("change", [{"add_prefix_space": True}, {"use_regex": False}])
+def test_other_tokenizers_get_whole_texts(tmp_path, change):
+    state = json.loads(TOKENS.to_str())
+    state["pre_tokenizer"] |= change
+    path = str(tmp_path / "other.json")
+    (tmp_path / "other.json").write_text(json.dumps(state))
+    encoder = packing.WordEncoder(path)
+    assert encoder.fast is None and packing.encoder(vocabulary()).fast is not None
+    found = np.frombuffer(encoder.ids("one two"), dtype="<u4").tolist()
+    assert found == Tokenizer.from_file(path).encode("one two", add_special_tokens=False).ids
+
+
 @given(st.lists(st.integers(1, 200), max_size=80))
 @settings(max_examples=100, deadline=None)
 def test_costs_stay_even(lengths):
