@@ -13,6 +13,9 @@ from tidewatch.plans.fixtures import predictions
 from tidewatch.sources import keyed as K
 from tidewatch.streaming import jobs as J
 from tidewatch.streaming import messages as MSG
+from tidewatch.streaming import outbox as OUT
+from tidewatch.streaming import progress as PROGRESS
+from tidewatch.streaming import rolluplog as LOG
 
 
 def message(event_id, hour, customer=1, amount=20.0, minute=0, **extra):
@@ -85,7 +88,7 @@ def test_malformed_messages_go_to_the_dead_letters(spark, bad):
 
 
 def test_score_row(spark):
-    rows = J.score(batch_events(spark, [message("a", 1, amount=20.0), message("b", 1, amount=500.0)])).collect()
+    rows = C.by_rule(batch_events(spark, [message("a", 1, amount=20.0), message("b", 1, amount=500.0)])).collect()
     assert [(r["prediction"], r["probability"], r["risk_score"]) for r in rows] == [(0, 0.1, 0.9), (1, 1.0, 1.0)]
     assert list(rows[0].asDict()) == schemas.PREDICTIONS.fieldNames()
 
@@ -94,7 +97,7 @@ def test_scoring_survives_restarts_and_duplicates(topic, spark):
     root = topic.root
 
     def run(checkpoint="checkpoint"):
-        J.run_available(J.scoring_job(topic.events(), f"{root}/table", f"{root}/out", f"{root}/{checkpoint}"))
+        J.run_available(J.scoring_job(topic.events(), C.by_rule, f"{root}/table", f"{root}/out", f"{root}/{checkpoint}"))
         like = spark.createDataFrame([], schemas.PREDICTIONS)
         return sorted(r["event_id"] for r in K.read_table(spark, f"{root}/table", like).collect())
 
@@ -105,12 +108,13 @@ def test_scoring_survives_restarts_and_duplicates(topic, spark):
     assert run() == ["a", "b"]
     # A lost checkpoint replays everything; the table does not change.
     assert run("another") == ["a", "b"]
+    # Handed over once each, also by the replay.
     sent = spark.read.schema("key string, value string").json(f"{root}/out")
-    assert {json.loads(r["value"])["event_id"] for r in sent.collect()} == {"a", "b"}
+    assert sorted(json.loads(r["value"])["event_id"] for r in sent.collect()) == ["a", "b"]
 
 
 def hourly(spark, root):
-    table = K.read_table(spark, f"{root}/hours", spark.createDataFrame([], schemas.HOURLY))
+    table = J.rollup_table(spark, f"{root}/hours")
     return {r["hour_timestamp"].hour + 24 * (r["hour_timestamp"].day - 1): r["total_predictions"] for r in table.collect()}
 
 
@@ -118,7 +122,7 @@ def test_late_rows_revise_an_hour_until_the_watermark(topic, spark):
     root = topic.root
 
     def run():
-        J.run_available(J.rollup_job(J.score(topic.events()), f"{root}/hours", f"{root}/checkpoint"))
+        J.run_available(J.rollup_job(C.by_rule(topic.events()), f"{root}/hours", f"{root}/checkpoint"))
         return hourly(spark, root)
 
     topic.put(message("a", 1), message("b", 3))
@@ -151,17 +155,160 @@ def test_alerts_do_not_repeat(topic, spark):
     root = topic.root
     topic.put(message("a", 1, amount=190.0), message("b", 2, amount=120.0))
     for checkpoint in ("c1", "c2"):
-        J.run_available(J.alert_job(J.score(topic.events()), f"{root}/alerts", f"{root}/{checkpoint}"))
+        J.run_available(J.alert_job(C.by_rule(topic.events()), f"{root}/alerts", f"{root}/{checkpoint}"))
     table = K.read_table(spark, f"{root}/alerts", spark.createDataFrame([], schemas.ALERTS))
     assert [(r["customer_id"], r["risk_score"], r["alert_sent"]) for r in table.collect()] == [("1", 0.95, False)]
 
 
-def test_progress_and_batch_limits(topic, spark):
-    for i in range(5):
-        topic.put(message(f"m{i}", i))
-    writer = topic.messages(max_files=2).writeStream.format("noop").option("checkpointLocation", f"{topic.root}/c")
-    rows = J.progress_rows(spark, J.run_available(writer)).where("input_rows > 0").orderBy("batch_id").collect()
-    assert [r["input_rows"] for r in rows] == [2, 2, 1]
+def test_progress_of_more_batches_than_a_query_remembers(topic, spark):
+    for i in range(105):
+        topic.put(message(f"m{i}", 0))
+    listener = PROGRESS.ProgressLog(spark, f"{topic.root}/progress")
+    spark.streams.addListener(listener)
+    try:
+        writer = topic.messages(max_files=1).writeStream.format("noop").option("checkpointLocation", f"{topic.root}/c")
+        query = J.run_available(writer)
+        PROGRESS.flush(spark)
+    finally:
+        spark.streams.removeListener(listener)
+    rows = PROGRESS.progress_rows(spark, f"{topic.root}/progress", query).where("input_rows > 0").orderBy("batch_id").collect()
+    assert len(rows) == 105 and sum(r["input_rows"] for r in rows) == 105
+    assert rows[0]["start_offsets"] == [None] and json.loads(rows[1]["start_offsets"][0]) == json.loads(rows[0]["end_offsets"][0])
+    assert rows[-1]["lag"] == 0
+    assert PROGRESS.progress_rows(spark, f"{topic.root}/nothing").count() == 0
+
+
+def test_lag_of_a_topic(spark, tmp_path):
+    log = PROGRESS.ProgressLog(spark, str(tmp_path / "p"))
+    source = {"description": "KafkaV2[t]", "startOffset": {"t": {"0": 5}}, "endOffset": {"t": {"0": 9}}, "latestOffset": {"t": {"0": 30}},
+              "numInputRows": 4, "metrics": {"maxOffsetsBehindLatest": "21", "avgOffsetsBehindLatest": "21.0"}}
+    for _ in range(2):  # a repeated batch replaces its note
+        log.note("q", 3, json.dumps({"id": "q", "batchId": 3, "numInputRows": 4, "sources": [source]}, indent=1))
+    (row,) = PROGRESS.progress_rows(spark, str(tmp_path / "p")).collect()
+    assert (row["lag"], row["input_rows"]) == (21, 4) and json.loads(row["end_offsets"][0]) == {"t": {"0": 9}}
+
+
+# --- the two steps -------------------------------------------------------------
+
+def chain(topic, spark, alerts=True):
+    """Alerts and rollups of what has been handed over, as of now."""
+    root = topic.root
+    read = lambda: J.predictions(J.parse_predictions(OUT.topic(spark, f"{root}/out")))
+    J.run_available(J.rollup_job(read(), f"{root}/hours", f"{root}/rollup"))
+    J.run_available(J.alert_job(read(), f"{root}/alerts", f"{root}/alerting"))
+    table = K.read_table(spark, f"{root}/alerts", spark.createDataFrame([], schemas.ALERTS))
+    return hourly(spark, root), sorted((r["customer_id"], r["risk_score"]) for r in table.collect())
+
+
+def scoring(topic, checkpoint="scoring", scorer=C.by_rule, **options):
+    root = topic.root
+    return J.run_available(J.scoring_job(topic.events(), scorer, f"{root}/table", f"{root}/out", f"{root}/{checkpoint}", **options))
+
+
+def test_duplicates_change_nothing_downstream(topic, spark):
+    topic.put(message("a", 1, amount=190.0), message("b", 1, amount=70.0), message("a", 1, amount=190.0))
+    scoring(topic)
+    topic.put(message("a", 2, amount=190.0), message("c", 2, customer=2, amount=10.0))
+    scoring(topic)
+    expected = {1: 2, 2: 1}, [("1", 0.95), ("2", 0.95)]
+    assert chain(topic, spark) == expected
+    scoring(topic, "lost")  # everything again under another checkpoint
+    assert chain(topic, spark) == expected
+
+
+@pytest.mark.parametrize("where", ["staged", "moved", "marked", "stored"])
+def test_a_killed_batch_changes_nothing_downstream(topic, spark, monkeypatch, where):
+    """Killed while writing aside, while moving files, before the table, and after it."""
+    topic.put(message("a", 1, amount=190.0), message("b", 1, amount=70.0))
+    scoring(topic)
+    topic.put(message("b", 1, amount=70.0), message("c", 2, amount=195.0), message("d", 5, amount=1.0))
+
+    def killed(*_, **__):
+        raise RuntimeError("killed")
+
+    if where == "staged":
+        monkeypatch.setattr(OUT, "hand_over", killed)
+    elif where == "moved":
+        real = OUT.hand_over
+
+        def partly(spark, outbox, query, batch, messages):
+            staged, fs = OUT._file_system(spark, f"{outbox}/_staged/{query}-{batch}")
+            messages().write.mode("overwrite").json(staged.toString())
+            target = spark._jvm.org.apache.hadoop.fs.Path(OUT.folder(outbox, query, batch))
+            fs.mkdirs(target)
+            first = next(s.getPath() for s in fs.listStatus(staged) if s.getPath().getName().startswith("part-"))
+            fs.rename(first, spark._jvm.org.apache.hadoop.fs.Path(target, first.getName()))
+            raise RuntimeError("killed")
+
+        monkeypatch.setattr(OUT, "hand_over", partly)
+        assert real
+    elif where == "marked":
+        monkeypatch.setattr(K, "insert_table", killed)
+    with pytest.raises(Exception, match="killed"):
+        scoring(topic, **({"publish": killed} if where == "stored" else {}))
+    chain(topic, spark)  # the second step meanwhile
+    monkeypatch.undo()
+    scoring(topic)
+    assert chain(topic, spark) == ({1: 2, 2: 1, 5: 1}, [("1", 0.95), ("1", 0.975), ("1", 0.995)])
+    like = spark.createDataFrame([], schemas.PREDICTIONS)
+    assert sorted(r["event_id"] for r in K.read_table(spark, f"{topic.root}/table", like).collect()) == ["a", "b", "c", "d"]
+    sent = spark.read.schema("event_id string, batch string").json(f"{topic.root}/out/query=*/batch=*")
+    assert sorted(r["event_id"] for r in sent.collect()) == ["a", "b", "c", "d"]
+    assert all(r["batch"].rsplit("-", 1)[1] in "01" for r in sent.collect())
+
+
+def test_published_elsewhere(topic, spark):
+    got = []
+    topic.put(message("a", 1), message("b", 1))
+    scoring(topic, publish=lambda rows: got.extend(r["key"] for r in rows.collect()))
+    assert got == ["1", "1"]
+
+
+def test_unreadable_predictions(spark):
+    good = {"event_id": "e", "customer_id": "7", "prediction": 1, "probability": 0.8, "risk_score": 0.8, "predicted_at": "2024-01-01T00:00:00.123456", "age": 3}
+    bad = [{**good, "probability": "high"}, {**good, "event_id": None}, {**good, "predicted_at": "soon"}, {"x": 1}]
+    values = [json.dumps(good), *map(json.dumps, bad), "nothing", None]
+    parsed = J.parse_predictions(spark.createDataFrame([(v,) for v in values], "value string"))
+    (row,) = J.stored(J.predictions(parsed)).collect()
+    assert row["predicted_at"] == dt.datetime(2024, 1, 1, 0, 0, 0, 123456) and row["age"] == 3 and row["tenure"] is None
+    assert J.dead_letters(parsed).count() == 6
+
+
+def test_rollup_log_generations_and_compaction(topic, spark):
+    root = topic.root
+    topic.put(message("a", 1), message("b", 3))
+    run = lambda c: J.run_available(J.rollup_job(C.by_rule(topic.events()), f"{root}/hours", f"{root}/{c}"))
+    run("c1")
+    topic.put(message("c", 2, minute=30), message("d", 4))
+    run("c1")
+    before = hourly(spark, root)
+    assert before == {1: 1, 2: 1, 3: 1, 4: 1}
+    LOG.compact(spark, f"{root}/hours", J.state_columns(spark))
+    parts = [p for g in LOG._names(spark, f"{root}/hours") if g.startswith("generation") for p in LOG._names(spark, f"{root}/hours/{g}")]
+    assert len(parts) == 1 and hourly(spark, root) == before
+    LOG.compact(spark, f"{root}/hours", J.state_columns(spark))
+    assert hourly(spark, root) == before
+    topic.put(message("e", 4, minute=5))
+    run("c1")
+    assert hourly(spark, root) == before | {4: 2}
+    run("c2")  # the checkpoint is lost: all again in a new generation
+    assert hourly(spark, root) == before | {4: 2}
+    assert J.rollup_table(spark, f"{root}/none").count() == 0
+
+
+def test_a_message_is_parsed_once(spark):
+    parsed = J.parse(spark.createDataFrame([(message("a", 1), 1, 2, None)], "value string, partition int, offset long, timestamp string"))
+    plan = J.events(parsed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_events_without_a_time(spark):
+    flat = json.dumps({"CustomerId": 5})
+    rows = [(flat, 0, 1, "2024-01-01T03:00:00"), (flat, 0, 2, None), (flat, 1, 2, None), (flat, None, None, None), ('{"CustomerId": 5, "Age": 3}', None, None, None)]
+    got = J.events(J.parse(spark.createDataFrame(rows, "value string, partition int, offset long, timestamp string"))).collect()
+    ids = [r["event_id"] for r in got]
+    assert len(set(ids)) == 5 and "evt_5_0-2" in ids and "evt_5_1-2" in ids
+    assert [utc for utc in (r["event_time"] for r in got) if utc] and sum(r["event_time"] is None for r in got) == 4
 
 
 def test_stream_equals_batch(spark, folder):
@@ -176,7 +323,9 @@ def test_messages_keep_a_key_in_one_partition(spark, folder):
 
 def test_kafka_options():
     options = MSG.kafka_options("host:9092", "events")
-    assert options["startingOffsets"] == "latest" and options["maxOffsetsPerTrigger"] == "1000"
+    assert options["startingOffsets"] == "latest" and options["minOffsetsPerTrigger"] == "1000"
+    assert "maxOffsetsPerTrigger" not in options
+    assert MSG.kafka_options("host:9092", "events", max_messages=1000)["maxOffsetsPerTrigger"] == "1000"
     assert options["maxTriggerDelay"] == "30 seconds"
     assert MSG.kafka_options("host:9092", "events", from_start=True)["startingOffsets"] == "earliest"
 

@@ -7,22 +7,41 @@ from pyspark.sql import functions as F
 from tidewatch.catalog.registry import query
 from tidewatch.catalog.reports import ALERTS, DAILY, HOURLY
 from tidewatch.catalog.sqltext import hash32, on_customers, on_predictions, rnd
-from tidewatch.functions.expr import churn_label, rounded, utc_clock, utc_instant
+from tidewatch.functions.expr import churn_label, hash32 as hash_of, rounded, utc_clock, utc_instant
 from tidewatch.operators import projections as P
 from tidewatch.operators.reports import union_all
 from tidewatch.plans.fixtures import customer_attributes, customers, predictions, table
 from tidewatch.schemas import ALERTS as ALERT_SCHEMA
-from tidewatch.schemas import DAILY as DAILY_SCHEMA
-from tidewatch.schemas import HOURLY as HOURLY_SCHEMA
+from tidewatch.schemas import CUSTOMER, TARGET
 from tidewatch.schemas import PREDICTIONS as PREDICTION_SCHEMA
 from tidewatch.session import work_folder
 from tidewatch.sources import keyed
 from tidewatch.streaming import jobs as J
 from tidewatch.streaming import messages as MSG
+from tidewatch.streaming import outbox as OUT
+from tidewatch.streaming import progress as PROGRESS
 
 TOPIC = "customer-events"
 
 
+def message_rows(df, topic, key, value, offset, timestamp, partitions: int = 3):
+    """Rows as a broker would deliver them: a key always comes from the same partition."""
+    key = key.cast("string")
+    return df.select(
+        F.lit(topic).alias("topic"), (hash_of(0, key) % partitions).cast("int").alias("partition"), offset.cast("bigint").alias("offset"),
+        MSG.iso(timestamp).alias("timestamp"), key.alias("key"), value.alias("value"),
+    )
+
+
+def score_rule(df):
+    """The churn probability of the fixtures: the event amount over 200, at most 1."""
+    return F.least(F.col("EstimatedSalary") / 200, F.lit(1.0))
+
+
+def by_rule(df):
+    return J.score(df, score_rule)
+
+
 def event_messages(spark, folder, damaged: bool = False):
     """Every event as a message.
 
@@ -53,7 +72,7 @@ def event_messages(spark, folder, damaged: bool = False):
     )
     if damaged:
         value = F.when(F.col("event_id") % 50 == 0, F.substring(value, 1, 40)).otherwise(value)
-    return MSG.message_rows(rows, TOPIC, F.col("user_id"), value, F.col("event_id"), F.col("ts"))
+    return message_rows(rows, TOPIC, F.col("user_id"), value, F.col("event_id"), F.col("ts"))
 
 
 def _publish(spark, folder, purpose: str, damaged: bool = False) -> str:
@@ -86,11 +105,11 @@ _EXPECTED = """expected AS (
     coalesce(geography, 'Unknown') AS "Geography", coalesce(gender, 'Unknown') AS "Gender",
     coalesce(age, 0) AS "Age",
     CAST(CASE WHEN CAST(event_id AS BIGINT) % 13 <> 0 THEN 350 + CAST(event_id AS BIGINT) % 500 ELSE 600 END AS INTEGER) AS "CreditScore",
-    coalesce(balance, 0) AS "Balance", coalesce(tenure, 0) AS "Tenure", coalesce(num_of_products, 1) AS "NumOfProducts",
+    coalesce(balance, 0) AS "Balance", coalesce((SELECT value FROM events e WHERE e.event_id = CAST(predictions.event_id AS BIGINT)), 0) AS "EstimatedSalary", coalesce(tenure, 0) AS "Tenure", coalesce(num_of_products, 1) AS "NumOfProducts",
     coalesce(has_cr_card, 0) AS "HasCrCard", coalesce(is_active_member, 0) AS "IsActiveMember",
     predicted_at AS event_time FROM predictions)"""
 _EVENT_COLUMNS = [
-    "event_id", "CustomerId", "Geography", "Gender", "Age", "CreditScore", "Balance", "Tenure", "NumOfProducts",
+    "event_id", "CustomerId", "Geography", "Gender", "Age", "CreditScore", "Balance", "EstimatedSalary", "Tenure", "NumOfProducts",
     "HasCrCard", "IsActiveMember",
 ]
 
@@ -106,19 +125,25 @@ def event_defaults(spark, folder):
     return _event_view(J.events(J.parse(event_messages(spark, folder))))
 
 
-_PAYLOAD = ["CustomerId", "Geography", "Gender", "Age", "Tenure", "NumOfProducts", "HasCrCard", "IsActiveMember"]
+# Every raw field but the target.  Amounts are doubles, which the two engines may write in
+# other digits; they are read back and compared as numbers.
+_PAYLOAD = [f.name for f in CUSTOMER.fields if f.name != TARGET]
 
 
 @query(
     "event_payload",
     on_customers(
-        'SELECT "CustomerId", CAST(to_json({'
-        + ", ".join(f"""'{c}': "{c}" """ for c in _PAYLOAD) + '}) AS VARCHAR) AS payload FROM customers'
+        "SELECT " + ", ".join(f'"{c}"' for c in _PAYLOAD)
+        + f""", '{",".join(_PAYLOAD)}' AS fields FROM customers"""
     ),
 )
 def event_payload(spark, folder):
+    """Payloads read back: each field keeps its name, order and value, nulls are written out."""
     df = customers(spark, folder)
-    return df.select("CustomerId", P.event_payload(df, _PAYLOAD).alias("payload"))
+    payload = df.select(P.event_payload(df, _PAYLOAD).alias("payload"))
+    names = F.array_join(F.json_object_keys("payload"), ",").alias("fields")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CUSTOMER.fields if f.name != TARGET)
+    return payload.select(F.from_json("payload", kinds).alias("p"), names).select("p.*", "fields")
 
 
 @query(
@@ -164,9 +189,9 @@ def event_stream_source(spark, folder):
 )
 def event_stream_sink(spark, folder):
     root = _publish(spark, folder, "outbox")
-    scored = J.score(_events(spark, root))
+    scored = by_rule(_events(spark, root))
     result = F.to_json(F.struct("event_id", "prediction", "geography"))
-    outgoing = MSG.message_rows(
+    outgoing = message_rows(
         scored, "churn-predictions", F.col("customer_id"), result, F.col("event_id"),
         utc_clock(F.col("predicted_at")),
     )
@@ -232,7 +257,7 @@ def stream_micro_batch(spark, folder):
 )
 def stream_score(spark, folder):
     root = _publish(spark, folder, "score")
-    J.run_available(J.scoring_job(_events(spark, root), f"{root}/table", f"{root}/outbox", f"{root}/checkpoint"))
+    J.run_available(J.scoring_job(_events(spark, root), by_rule, f"{root}/table", f"{root}/outbox", f"{root}/checkpoint"))
     like = spark.createDataFrame([], PREDICTION_SCHEMA)
     return keyed.read_table(spark, f"{root}/table", like).select(
         "event_id", "customer_id", "prediction", rounded(F.col("probability"), 6).alias("probability"),
@@ -251,28 +276,27 @@ def stream_dedup(spark, folder):
     return spark.read.schema(unique.schema).parquet(f"{root}/table")
 
 
-def _rollup(spark, folder, width: str, schema):
+def _rollup(spark, folder, width: str):
     def run(root):
-        J.run_available(J.rollup_job(J.score(_events(spark, root)), f"{root}/metrics", f"{root}/checkpoint", width))
+        J.run_available(J.rollup_job(by_rule(_events(spark, root)), f"{root}/log", f"{root}/checkpoint", width))
 
-    root = _in_parts(spark, folder, "rollup", run)
-    return keyed.read_table(spark, f"{root}/metrics", spark.createDataFrame([], schema))
+    return J.rollup_table(spark, f"{_in_parts(spark, folder, 'rollup', run)}/log", width)
 
 
 @query("stream_rollup_hourly", on_predictions("SELECT * FROM hourly", HOURLY))
 def stream_rollup_hourly(spark, folder):
-    return _rollup(spark, folder, "1 hour", HOURLY_SCHEMA)
+    return _rollup(spark, folder, "1 hour")
 
 
 @query("stream_rollup_daily", on_predictions("SELECT * FROM daily", DAILY))
 def stream_rollup_daily(spark, folder):
-    return _rollup(spark, folder, "1 day", DAILY_SCHEMA)
+    return _rollup(spark, folder, "1 day")
 
 
 @query("stream_high_risk_alerts", on_predictions("SELECT * FROM alerts", ALERTS))
 def stream_high_risk_alerts(spark, folder):
     def run(root):
-        J.run_available(J.alert_job(J.score(_events(spark, root)), f"{root}/alerts", f"{root}/checkpoint"))
+        J.run_available(J.alert_job(by_rule(_events(spark, root)), f"{root}/alerts", f"{root}/checkpoint"))
 
     root = _in_parts(spark, folder, "alerts", run)
     return keyed.read_table(spark, f"{root}/alerts", spark.createDataFrame([], ALERT_SCHEMA))
@@ -299,9 +323,77 @@ def stream_bounded_run(spark, folder):
     return stored.groupBy("run").agg(F.count("*").alias("events"))
 
 
-@query("stream_progress", "SELECT count(*) AS input_rows FROM events")
+@query("stream_progress", "SELECT count(*) AS input_rows, 0 AS waiting, CAST(0 AS BIGINT) AS batches_without_offsets FROM events")
 def stream_progress(spark, folder):
     root = _publish(spark, folder, "progress")
-    writer = MSG.file_messages(spark, f"{root}/topic").select("offset").writeStream.format("noop")
-    done = J.run_available(writer.option("checkpointLocation", f"{root}/checkpoint"))
-    return J.progress_rows(spark, done).agg(F.sum("input_rows").alias("input_rows"))
+    listener = PROGRESS.ProgressLog(spark, f"{root}/progress")
+    spark.streams.addListener(listener)
+    try:
+        stream = MSG.file_messages(spark, f"{root}/topic", max_files=2).select("offset")
+        query = J.run_available(stream.writeStream.format("noop").option("checkpointLocation", f"{root}/checkpoint"))
+        PROGRESS.flush(spark)
+    finally:
+        spark.streams.removeListener(listener)
+    rows = PROGRESS.progress_rows(spark, f"{root}/progress", query)
+    return rows.agg(
+        F.sum("input_rows").alias("input_rows"), F.min("lag").cast("int").alias("waiting"),
+        F.count(F.when(F.expr("size(filter(end_offsets, o -> o IS NULL)) > 0"), 1)).alias("batches_without_offsets"),
+    )
+
+
+# --- the two steps ---------------------------------------------------------------
+
+def _scored_topic(spark, folder) -> str:
+    """Events published twice, scored in two runs and handed over; each prediction is there once."""
+    root = work_folder(spark, "chain")
+    messages = event_messages(spark, folder)
+    for _ in range(2):
+        MSG.publish_files(messages, f"{root}/topic")
+        J.run_available(J.scoring_job(_events(spark, root), by_rule, f"{root}/table", f"{root}/outbox", f"{root}/scoring"))
+    return root
+
+
+@query(
+    "stream_predictions_parse",
+    on_predictions(
+        f"""SELECT event_id, customer_id, prediction, {rnd('probability', 6)} AS probability, {rnd('risk_score', 6)} AS risk_score,
+          predicted_at, model_version, geography, gender, age, tenure, balance, false AS malformed FROM predictions"""
+    ),
+)
+def stream_predictions_parse(spark, folder):
+    """The predictions topic as rows: what the second step reads."""
+    root = _scored_topic(spark, folder)
+    parsed = J.parse_predictions(OUT.topic(spark, f"{root}/outbox"))
+    rows = parsed.select(*PREDICTION_SCHEMA.fieldNames(), "malformed")
+    writer = rows.writeStream.format("parquet").option("path", f"{root}/parsed")
+    J.run_available(writer.option("checkpointLocation", f"{root}/parsing"))
+    return spark.read.schema(rows.schema).parquet(f"{root}/parsed").select(
+        "event_id", "customer_id", "prediction", rounded(F.col("probability"), 6).alias("probability"),
+        rounded(F.col("risk_score"), 6).alias("risk_score"), utc_clock(F.col("predicted_at")).alias("predicted_at"),
+        "model_version", "geography", "gender", "age", "tenure", "balance", "malformed",
+    )
+
+
+@query(
+    "stream_chain",
+    on_predictions(
+        """SELECT 'hour' AS kind, CAST(hour_timestamp AS VARCHAR) AS label, total_predictions AS n, avg_risk_score AS value FROM hourly
+        UNION ALL SELECT 'alert', customer_id || ' ' || CAST(detected_at AS VARCHAR), 1, risk_score FROM alerts""",
+        HOURLY, ALERTS,
+    ),
+)
+def stream_chain(spark, folder):
+    """Events to predictions, predictions to rollups and alerts, with every event sent twice."""
+    root = _scored_topic(spark, folder)
+    topic = lambda: J.predictions(J.parse_predictions(OUT.topic(spark, f"{root}/outbox")))
+    J.run_available(J.rollup_job(topic(), f"{root}/log", f"{root}/rollup"))
+    J.run_available(J.alert_job(topic(), f"{root}/alerts", f"{root}/alerting"))
+    hours = J.rollup_table(spark, f"{root}/log").select(
+        F.lit("hour").alias("kind"), F.col("hour_timestamp").cast("string").alias("label"),
+        F.col("total_predictions").alias("n"), F.col("avg_risk_score").alias("value"),
+    )
+    alerts = keyed.read_table(spark, f"{root}/alerts", spark.createDataFrame([], ALERT_SCHEMA)).select(
+        F.lit("alert").alias("kind"), F.concat_ws(" ", "customer_id", F.col("detected_at").cast("string")).alias("label"),
+        F.lit(1).cast("bigint").alias("n"), F.col("risk_score").alias("value"),
+    )
+    return union_all([hours, alerts])

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidewatch.functions.expr import utc_instant
 from tidewatch.schemas import IDENTIFIERS, TARGET
 
+CORRUPT = "_corrupt"
+
 # The ordered model matrix.
 MODEL_COLUMNS = [
     "CreditScore", "Age", "Tenure", "Balance", "NumOfProducts", "HasCrCard", "IsActiveMember",
@@ -93,10 +95,6 @@ def event_struct() -> T.StructType:
     return T.StructType([*fields, T.StructField("timestamp", T.StringType()), T.StructField("data", T.StructType(fields))])
 
 
-def parse_event(value: Column) -> Column:
-    return F.from_json(value, event_struct(), {"mode": "PERMISSIVE"})
-
-
 def _typed(text: Column, kind: str) -> Column:
     """A scalar of a message; null if it is none of its kind.  Whole numbers may be
     written with a fraction, which is cut off."""
@@ -106,43 +104,39 @@ def _typed(text: Column, kind: str) -> Column:
     return direct if kind == "double" else F.coalesce(direct, text.try_cast("double").try_cast(kind))
 
 
-def event_unreadable(message: str = "m") -> Column:
-    """Whether a parsed message holds a value that its field cannot take, or a time that is none."""
-    nested = F.col(f"{message}.data").isNotNull()
-    stamp = event_stamp(message)
-    bad = stamp.isNotNull() & utc_instant(stamp).isNull()
-    for name, (kind, _) in EVENT_DEFAULTS.items():
-        text = F.when(nested, F.col(f"{message}.data.{name}")).otherwise(F.col(f"{message}.{name}"))
-        bad = bad | (text.isNotNull() & _typed(text, kind).isNull())
-    return bad
-
-
-def event_stamp(message: str = "m") -> Column:
-    """The time of a parsed message as text: the envelope's, else the event's."""
-    nested = F.col(f"{message}.data").isNotNull()
-    own = F.when(nested, F.col(f"{message}.data.event_timestamp")).otherwise(F.col(f"{message}.event_timestamp"))
-    return F.coalesce(F.col(f"{message}.timestamp"), own)
-
+def event_records(value: Column, origin: Column, arrived: Column | None = None) -> Column:
+    """The event of a message, as an array of one struct: every field with its default,
+    event_id, event_time, and whether the message is malformed.
 
-def event_defaults(df: DataFrame, message: str = "m") -> DataFrame:
-    """Unwrap a parsed message and default its fields.
+    ``inline`` unfolds it.  Parsing happens once, inside the array: later steps, filters
+    too, only read columns.  Malformed is what is no JSON, a value that its field cannot
+    take, or a time that is none.  The fields come from ``data`` when the message has one,
+    else from the message itself; JSON null and an absent field take the default.
 
-    The fields come from ``data`` when the message has one, else from the
-    message itself.  JSON null, an absent field and a value of another kind all take
-    the default.
+    An event without a time has that of its message (``arrived``), one without an id gets
+    it from customer and second, or without any time from the message's ``origin``.
     """
-    nested = F.col(f"{message}.data").isNotNull()
-
-    def field(name: str) -> Column:
-        return F.when(nested, F.col(f"{message}.data.{name}")).otherwise(F.col(f"{message}.{name}"))
-
-    values = {
-        name: F.coalesce(_typed(field(name), kind), F.lit(default).cast(kind)) for name, (kind, default) in EVENT_DEFAULTS.items()
-    }
-    at = utc_instant(event_stamp(message))
-    seconds = F.unix_seconds(at).cast("string")
-    fallback = F.concat(F.lit("evt_"), values["CustomerId"].cast("string"), F.lit("_"), F.coalesce(seconds, F.lit("0")))
-    identity = F.coalesce(F.col(f"{message}.event_id"), F.col(f"{message}.data.event_id"), fallback)
-    return df.withColumns(
-        {**values, "event_id": identity, "event_time": at}
-    ).drop(message)
+    schema = event_struct().add(CORRUPT, "string")
+    parsed = F.from_json(value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return F.transform(F.array(parsed), lambda m: _event(m, origin, arrived))
+
+
+def _event(m: Column, origin: Column, arrived: Column | None) -> Column:
+    data = m["data"]
+    nested = data.isNotNull()
+    pick = lambda name: F.when(nested, data[name]).otherwise(m[name])
+    stamp = F.coalesce(m["timestamp"], pick("event_timestamp"))
+    stated = utc_instant(stamp)
+    bad = m.isNull() | m[CORRUPT].isNotNull() | (stamp.isNotNull() & stated.isNull())
+    values = {}
+    for name, (kind, default) in EVENT_DEFAULTS.items():
+        text = pick(name)
+        typed = _typed(text, kind)
+        bad = bad | (text.isNotNull() & typed.isNull())
+        values[name] = F.coalesce(typed, F.lit(default).cast(kind))
+    at = stated if arrived is None else F.coalesce(stated, arrived)
+    second = F.coalesce(F.unix_seconds(at).cast("string"), origin)
+    fallback = F.concat(F.lit("evt_"), values["CustomerId"].cast("string"), F.lit("_"), second)
+    identity = F.coalesce(m["event_id"], data["event_id"], fallback)
+    fields = {**values, "event_id": identity, "event_time": at, "malformed": F.coalesce(bad, F.lit(True))}
+    return F.struct(*[c.alias(n) for n, c in fields.items()])

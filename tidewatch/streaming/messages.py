@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidewatch.functions.expr import hash32
 from tidewatch.schemas import MESSAGE
 
-# Micro-batch limits.
+# The published micro-batch limits.
 MAX_MESSAGES = 1000
 MAX_DELAY = "30 seconds"
 
@@ -20,37 +19,23 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def message_rows(
-    df: DataFrame, topic: str, key: Column, value: Column, offset: Column, timestamp: Column, partitions: int = 3
-) -> DataFrame:
-    """Rows as messages.  A key always goes to the same partition of the topic."""
-    key = key.cast("string")
-    return df.select(
-        F.lit(topic).alias("topic"),
-        (hash32(0, key) % partitions).cast("int").alias("partition"),
-        offset.cast("bigint").alias("offset"),
-        iso(timestamp).alias("timestamp"),
-        key.alias("key"),
-        value.alias("value"),
-    )
-
-
 def kafka_options(
-    servers: str, topic: str, from_start: bool = False, max_messages: int = MAX_MESSAGES, max_delay: str = MAX_DELAY
+    servers: str, topic: str, from_start: bool = False, max_messages: int | None = None, max_delay: str = MAX_DELAY,
+    least_messages: int = MAX_MESSAGES,
 ) -> dict[str, str]:
-    """A trigger fires at ``max_messages`` or after ``max_delay``, whichever is first.
+    """A trigger fires at ``least_messages`` or after ``max_delay``, whichever is first.
 
-    ``startingOffsets`` matters on the first run only; later runs continue from
-    the checkpoint.
+    It takes all that has arrived, unless ``max_messages`` limits it.  ``startingOffsets``
+    matters on the first run only; later runs continue from the checkpoint.
     """
-    return {
+    options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": "earliest" if from_start else "latest",
-        "minOffsetsPerTrigger": str(max_messages),
-        "maxOffsetsPerTrigger": str(max_messages),
+        "minOffsetsPerTrigger": str(least_messages),
         "maxTriggerDelay": max_delay,
     }
+    return options if max_messages is None else options | {"maxOffsetsPerTrigger": str(max_messages)}
 
 
 def kafka_messages(spark: SparkSession, **options) -> DataFrame:
@@ -85,5 +70,11 @@ def kafka_sink(messages: DataFrame, servers: str, checkpoint: str):
     )
 
 
+def kafka_publish(messages: DataFrame, servers: str) -> None:
+    """Send a batch of messages; a batch that is repeated is sent again."""
+    rows = messages.select("topic", "key", "value")
+    rows.write.format("kafka").option("kafka.bootstrap.servers", servers).save()
+
+
 def file_sink(messages: DataFrame, path: str, checkpoint: str):
     return messages.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint)
