@@ -14,9 +14,12 @@ from tidewatch.operators import projections as P
 from tidewatch.operators import scaling as S
 from tidewatch.operators import split as SP
 from tidewatch.operators.reports import union_all, value_distribution
-from tidewatch.plans.features import SCALED, as_json, indexed_features, manifest, one_hot_features
+from tidewatch.operators.learning import load_model, save_model
+from tidewatch.operators.serving import fit_preprocessing, preprocess
+from tidewatch.plans.features import SCALED, as_json, cleaned_sides, indexed_features, manifest, one_hot_features
 from tidewatch.plans.fixtures import customers, predictions, score_facts, table
 from tidewatch.schemas import CUSTOMER, IDENTIFIERS
+from tidewatch.session import work_folder
 
 _NAMES = [f.name for f in CUSTOMER.fields]
 _KEY = ["CustomerId"]
@@ -508,31 +511,55 @@ def feature_plan_indexed(spark, folder):
     return features.withColumns({c: rounded(F.col(c), 9) for c in SCALED})
 
 
-_FEATURE_NAMES = ",".join(_MATRIX + ["CreditScoreBins"] + [f"{c}_{v}" for c, vs in STORED.items() for v in vs])
+def _list(c: str) -> str:
+    return f"""(SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT "{c}" AS v FROM train))"""
+
+
+_FITTED_NAMES = "'" + ",".join(_MATRIX + ["CreditScoreBins"]) + "'" + "".join(
+    f""" || (SELECT string_agg(',{c}_' || v, '' ORDER BY v) FROM (SELECT DISTINCT "{c}" AS v FROM train))""" for c in STORED
+)
 
 
 @query(
     "dataset_manifest",
     on_customers(
-        f"""SELECT '{_FEATURE_NAMES}' AS feature_columns, 'Exited' AS target_column, 16 AS n_features,
+        f"""SELECT {_FITTED_NAMES} AS feature_columns, 'Exited' AS target_column, 16 AS n_features, '{",".join(SCALED)}' AS scaled_columns,
+          {_list("Geography")} AS "Geography_categories", {_list("Gender")} AS "Gender_categories",
           {count_if("split = 'train'")} AS train_rows, {count_if("split <> 'train'")} AS test_rows,
           {count_if("split = 'train' AND " + '"Exited" = 1')} AS train_churned,
-          {count_if("split <> 'train' AND " + '"Exited" = 1')} AS test_churned,
-          (SELECT count(*) FROM customers) AS raw_rows, """
+          {count_if("split <> 'train' AND " + '"Exited" = 1')} AS test_churned, """
         + ", ".join(
-            f'(SELECT {e}("{c}") * 1e0 FROM customers) AS "{c}_{e}"' for c in SCALED for e in ("min", "max")
+            f'(SELECT {e}("{c}") * 1e0 FROM train) AS "{c}_{e}"' for c in SCALED for e in ("min", "max")
         )
         + " FROM sided",
         *_CLEAN,
+        _TRAIN,
     ),
 )
 def dataset_manifest(spark, folder):
-    raw = customers(spark, folder)
-    row = as_json(manifest(_one_hot_plan(spark, folder), raw))
+    sided = cleaned_sides(customers(spark, folder))
+    known = E.categories(sided.where("split = 'train'"), list(STORED))
     # Through its JSON form and back, as a consumer would read it.
     fields = (
-        "feature_columns string, target_column string, n_features int, train_rows bigint, test_rows bigint, "
-        "train_churned bigint, test_churned bigint, raw_rows bigint, "
+        "feature_columns string, target_column string, n_features int, scaled_columns string, "
+        + ", ".join(f"{c}_categories string" for c in STORED)
+        + ", train_rows bigint, test_rows bigint, train_churned bigint, test_churned bigint, "
         + ", ".join(f"{c}_{e} double" for c in SCALED for e in ("min", "max"))
     )
-    return row.select(F.from_json("manifest", fields).alias("m")).select("m.*")
+    return as_json(manifest(sided, known)).select(F.from_json("manifest", fields).alias("m")).select("m.*")
+
+
+@query(
+    "serving_features",
+    on_customers(
+        """SELECT * EXCLUDE ("Exited", split) FROM features WHERE split = 'test'""", *_CLEAN, _TRAIN, _ONE_HOT_PLAN
+    ),
+)
+def serving_features(spark, folder):
+    """The matrix of the test side from a saved and loaded pipeline: nothing is fitted again."""
+    sided = cleaned_sides(customers(spark, folder))
+    root = work_folder(spark, "serving")
+    save_model(fit_preprocessing(sided.where("split = 'train'"), list(STORED), SCALED), root, "20240131000000")
+    rows = sided.where("split = 'test'").drop("Exited", "split")
+    found = preprocess(load_model(spark, root), rows, keep=_KEY)
+    return found.withColumns({c: rounded(F.col(c), 9) for c in SCALED})

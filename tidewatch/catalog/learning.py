@@ -5,9 +5,9 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from tidewatch.catalog.features import STORED
+from tidewatch.catalog.features import _CLEAN, STORED
 from tidewatch.catalog.registry import query
 from tidewatch.catalog.sqltext import count_if, on_customers, on_pairs, rnd, share
 from tidewatch.functions.expr import hash32, rounded
@@ -186,55 +186,159 @@ def _test_metrics(scored):
     return V.classification_metrics(pairs)
 
 
-@query("train_random_forest")
+# What can be said of a model without its weights: how many test rows it scored, that its
+# figures lie where they must, and that it ranks churners above others.
+_JUDGED = on_customers(
+    """SELECT count(*) AS scored, true AS in_range, true AS better_than_chance FROM sided WHERE split = 'test'""", *_CLEAN
+)
+
+
+def _judged(spark, folder, classifier):
+    _, scored = _trained(spark, folder, classifier)
+    scored = materialize(scored, "scored")
+    found = _test_metrics(scored)
+    names = [c for c in ("accuracy", "precision", "recall", "f1_score") if c in found.columns]
+    inside = F.lit(True)
+    for c in names:
+        inside = inside & F.col(c).between(0, 1)
+    count = scored.agg(F.count("prediction").alias("n")).scalar()
+    # Half the area is what calling everyone the larger class would get.
+    area = V.roc_auc(scored.select(F.col(TARGET).alias("true_label"), F.col("probability").alias("prediction_probability")))
+    return found.select(count.alias("scored"), inside.alias("in_range"), (area.select("roc_auc").scalar() > 0.5).alias("better_than_chance"))
+
+
+@query("train_random_forest", _JUDGED)
 def train_random_forest(spark, folder):
-    return _test_metrics(_trained(spark, folder, L.random_forest())[1])
+    return _judged(spark, folder, L.random_forest())
 
 
-@query("train_gbt")
+@query("train_gbt", _JUDGED)
 def train_gbt(spark, folder):
-    return _test_metrics(_trained(spark, folder, L.gradient_boosting())[1])
+    return _judged(spark, folder, L.gradient_boosting())
 
 
-@query("train_logistic")
+@query("train_logistic", _JUDGED)
 def train_logistic(spark, folder):
-    return _test_metrics(_trained(spark, folder, L.logistic())[1])
+    return _judged(spark, folder, L.logistic())
 
 
-@query("batch_score")
+@query(
+    "batch_score",
+    on_customers(
+        """SELECT "CustomerId", true AS scored, true AS class_fits, true AS confidence_fits, true AS status_fits,
+          'batch_1' AS batch_id, TIMESTAMP '2024-01-31' AS scored_at FROM sided WHERE split = 'test'""",
+        *_CLEAN,
+    ),
+)
 def batch_score(spark, folder):
+    """Every test row is scored, and its class, status and confidence follow from its probability."""
     _, scored = _trained(spark, folder, L.logistic())
-    return scored.withColumn("probability", rounded(F.col("probability"), 6)).drop(TARGET)
+    p, churns = F.col("probability"), F.col("prediction") == 1
+    return scored.select(
+        "CustomerId", p.between(0, 1).alias("scored"), ((p > 0.5) == churns).alias("class_fits"),
+        (F.col("confidence") == rounded(100 * p, 2)).alias("confidence_fits"),
+        (F.col("status") == F.when(churns, "Churn").otherwise("Retain")).alias("status_fits"), "batch_id", "scored_at",
+    )
+
+
+_ALL_FEATURES = [*NUMERIC, "CreditScoreBins", *(f"{c}_{v}" for c, vs in STORED.items() for v in vs)]
 
 
-@query("feature_importance")
+@query(
+    "feature_importance",
+    " UNION ALL ".join(f"SELECT '{f}' AS feature, true AS is_share, true AS shares_add_up, count(*) > 0 AS trained FROM customer" for f in _ALL_FEATURES),
+)
 def feature_importance(spark, folder):
+    """Each named feature once, with a share of the whole."""
     model, _ = _trained(spark, folder, L.random_forest(trees=20, depth=5))
-    return L.feature_importance(spark, model)
+    found = L.feature_importance(spark, model)
+    whole = found.agg(F.sum("importance").alias("s")).scalar()
+    return found.select(
+        "feature", F.col("importance").between(0, 1).alias("is_share"), (F.abs(whole - 1) < 1e-9).alias("shares_add_up"), F.lit(True).alias("trained")
+    )
 
 
-@query("top_features")
+@query("top_features", "SELECT unnest(range(1, 6)) AS rank, true AS not_above_the_one_before, 16 - 5 AS others_not_above FROM (SELECT count(*) FROM customer)")
 def top_features(spark, folder):
+    """Five features in falling order; none of the others weighs more than the last of them."""
     model, _ = _trained(spark, folder, L.logistic())
-    return L.top_features(L.feature_importance(spark, model), 5)
+    every = L.feature_importance(spark, model)
+    best = L.top_features(every, 5)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "feature")  # five rows
+    least = best.agg(F.min("importance").alias("m")).scalar()
+    others = every.join(best.select("feature"), "feature", "left_anti").agg(
+        F.count(F.when(F.col("importance") <= least, 1)).cast("int").alias("n")
+    )
+    return best.select(
+        F.row_number().over(order).cast("bigint").alias("rank"),
+        F.coalesce(F.col("importance") <= F.lag("importance").over(order), F.lit(True)).alias("not_above_the_one_before"),
+        others.scalar().alias("others_not_above"),
+    )
+
+
+_DATASET = "20240101000000"
+_TRAIN_ROWS = "(SELECT count(*) FROM sided WHERE split = 'train')"
 
 
 def _save_versions(spark, folder):
     train, test, cols = _sides(spark, folder)
-    root = work_folder(spark, "models")
-    L.save_model(L.train(train, L.logistic(iterations=5), cols, TARGET), root, "20240101000000")
-    L.save_model(L.train(train, L.logistic(), cols, TARGET), root, "20240131000000")
+    root, n = work_folder(spark, "models"), train.count()
+    L.save_model(L.train(train, L.logistic(iterations=5), cols, TARGET), root, "20240101000000", _DATASET, n)
+    L.save_model(L.train(train, L.logistic(), cols, TARGET), root, "20240131000000", _DATASET, n)
     return root, test
 
 
-@query("model_save")
+@query(
+    "model_save",
+    on_customers(
+        " UNION ALL ".join(
+            f"""SELECT '{v}' AS run_ts, '{_DATASET}' AS dataset_version, 2 AS stages, 'LogisticRegressionModel' AS classifier,
+              {_TRAIN_ROWS} AS train_rows""" for v in ("20240101000000", "20240131000000")
+        ),
+        *_CLEAN,
+    ),
+)
 def model_save(spark, folder):
+    """The stored versions and the dataset each was fitted on; all of them can be loaded."""
     root, _ = _save_versions(spark, folder)
-    rows = [(v, len(L.load_model(spark, root, v).stages)) for v in list_versions(spark, root, "models")]
-    return spark.createDataFrame(rows, "run_ts string, stages int")
+    for v in list_versions(spark, root, "models"):
+        L.load_model(spark, root, v)
+    return L.lineage(spark, root)
 
 
-@query("model_load")
+@query(
+    "model_load",
+    on_customers("""SELECT "CustomerId", true AS same_as_saved FROM sided WHERE split = 'test'""", *_CLEAN),
+)
 def model_load(spark, folder):
+    """The newest stored model scores every test row as the one named by its version does."""
     root, test = _save_versions(spark, folder)
-    return L.batch_score(L.load_model(spark, root), test, ["CustomerId"], "batch_1", _SCORED_AT)
+    newest = L.batch_score(L.load_model(spark, root), test, ["CustomerId"], "batch_1", _SCORED_AT)
+    named = L.batch_score(L.load_model(spark, root, "20240131000000"), test, ["CustomerId"], "batch_1", _SCORED_AT)
+    pairs = newest.select("CustomerId", F.struct("prediction", "probability").alias("a")).join(
+        named.select("CustomerId", F.struct("prediction", "probability").alias("b")), "CustomerId"
+    )
+    return pairs.select("CustomerId", F.col("a").eqNullSafe(F.col("b")).alias("same_as_saved"))
+
+
+# --- insights ------------------------------------------------------------------
+
+@query(
+    "insights_report",
+    on_pairs(
+        f"""SELECT count(*) AS total, {count_if('predicted_label = 1')} AS predicted_churn, {count_if('predicted_label = 0')} AS predicted_stay,
+          {count_if('true_label = 1')} AS true_churn, {count_if('true_label = 0')} AS true_stay,
+          {share(count_if('correct_prediction'), 'count(*)')} AS accuracy_percentage,
+          {share(count_if('predicted_label = 1'), 'count(*)')} AS churn_rate,
+          {share(count_if('predicted_label = 0'), 'count(*)')} AS retention_rate,
+          {count_if('prediction_probability > 0.7')} AS high_risk, {count_if('prediction_probability BETWEEN 0.3 AND 0.7')} AS medium_risk,
+          {count_if('prediction_probability < 0.3')} AS low_risk,
+          {count_if('prediction_probability > 0.8 OR prediction_probability < 0.2')} AS confident,
+          {count_if('prediction_probability BETWEEN 0.4 AND 0.6')} AS uncertain,
+          CASE WHEN {share(count_if('predicted_label = 1'), 'count(*)')} > 25 THEN 'HIGH'
+               WHEN {share(count_if('predicted_label = 1'), 'count(*)')} > 15 THEN 'MODERATE' ELSE 'LOW' END AS risk_level
+        FROM pairs"""
+    ),
+)
+def insights_report(spark, folder):
+    return V.insights(outcome_pairs(spark, folder))

@@ -9,7 +9,10 @@ from tidewatch.catalog.reports import ALERTS, DAILY, HOURLY
 from tidewatch.catalog.sqltext import hash32, on_customers, on_predictions, rnd
 from tidewatch.functions.expr import churn_label, hash32 as hash_of, rounded, utc_clock, utc_instant
 from tidewatch.operators import projections as P
+from tidewatch.operators.learning import load_model, logistic, save_model
 from tidewatch.operators.reports import union_all
+from tidewatch.operators.serving import fit_serving, serve
+from tidewatch.plans.features import SCALED
 from tidewatch.plans.fixtures import customer_attributes, customers, predictions, table
 from tidewatch.schemas import ALERTS as ALERT_SCHEMA
 from tidewatch.schemas import CUSTOMER, TARGET
@@ -397,3 +400,37 @@ def stream_chain(spark, folder):
         F.lit(1).cast("bigint").alias("n"), F.col("risk_score").alias("value"),
     )
     return union_all([hours, alerts])
+
+
+# --- scoring by a stored model -----------------------------------------------------
+
+_VERSIONS = ["20240101000000", "20240201000000"]
+
+
+@query(
+    "stream_score_model",
+    f"""SELECT CASE WHEN ts < TIMESTAMP '2024-01-11 06:30:00' THEN '{_VERSIONS[0]}' ELSE '{_VERSIONS[1]}' END AS model_version,
+      count(*) AS scored, count(*) AS as_in_batch FROM events GROUP BY 1""",
+)
+def stream_score_model(spark, folder):
+    """Events scored by the newest stored pipeline: one that is saved between two runs scores the second.
+
+    Every event is scored once, and as the same version scores it in batch.
+    """
+    train = customers(spark, folder).dropna(subset=["Age", "Gender"])
+    root = work_folder(spark, "model-stream")
+    scorer, messages = J.StoredModel(spark, root), event_messages(spark, folder)
+    at = F.col("timestamp")
+    for version, iterations, part in zip(_VERSIONS, (5, 50), (at < _CUTS[0], at >= _CUTS[0]), strict=True):
+        save_model(fit_serving(train, logistic(iterations), TARGET, ["Geography", "Gender"], SCALED), root, version)
+        MSG.publish_files(messages.where(part), f"{root}/topic")
+        J.run_available(J.scoring_job(_events(spark, root), scorer, f"{root}/table", f"{root}/outbox", f"{root}/checkpoint"))
+    streamed = keyed.read_table(spark, f"{root}/table", spark.createDataFrame([], PREDICTION_SCHEMA))
+    events = J.events(J.parse(messages))
+    batch = union_all([
+        J.score(serve(load_model(spark, root, v), events), lambda df: F.col("probability"), version=v) for v in _VERSIONS
+    ])
+    same = batch.select("event_id", "model_version", F.col("probability").alias("_p"))
+    return streamed.join(same, ["event_id", "model_version"]).groupBy("model_version").agg(
+        F.count("*").alias("scored"), F.count(F.when(F.abs(F.col("probability") - F.col("_p")) < 1e-9, 1)).alias("as_in_batch")
+    )

@@ -160,3 +160,24 @@ def overfit_gap(train: DataFrame, test: DataFrame, limit: float = 0.10, weight:
         for m in a.columns
     ]
     return joined.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def insights(pairs: DataFrame) -> DataFrame:
+    """One row about a scored batch: predicted and true classes, rates, risk and confidence bands.
+
+    The bands are those of the segment reports: above 0.7 high, 0.3 to 0.7 medium; beyond 0.2
+    and 0.8 confident, 0.4 to 0.6 uncertain.  An empty batch has counts of 0 and no rates.
+    """
+    p, guess, truth = F.col("prediction_probability"), F.col("predicted_label"), F.col("true_label")
+    counts = pairs.agg(
+        F.count("*").alias("total"), count_if(guess == 1).alias("predicted_churn"), count_if(guess == 0).alias("predicted_stay"),
+        count_if(truth == 1).alias("true_churn"), count_if(truth == 0).alias("true_stay"), count_if(guess == truth).alias("_right"),
+        count_if(p > 0.7).alias("high_risk"), count_if(p.between(0.3, 0.7)).alias("medium_risk"), count_if(p < 0.3).alias("low_risk"),
+        count_if((p > 0.8) | (p < 0.2)).alias("confident"), count_if(p.between(0.4, 0.6)).alias("uncertain"),
+    )
+    rates = counts.withColumns({
+        "accuracy_percentage": share(F.col("_right"), F.col("total")), "churn_rate": share(F.col("predicted_churn"), F.col("total")),
+        "retention_rate": share(F.col("predicted_stay"), F.col("total")),
+    })
+    level = F.when(F.col("churn_rate") > 25, "HIGH").when(F.col("churn_rate") > 15, "MODERATE").otherwise("LOW")
+    return rates.withColumn("risk_level", F.when(F.col("total") > 0, level)).drop("_right")

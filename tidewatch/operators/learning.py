@@ -106,12 +106,30 @@ def top_features(importance: DataFrame, n: int = 20) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def save_model(model: PipelineModel, root: str, version: str) -> str:
+LINEAGE = "run_ts string, dataset_version string, stages int, classifier string, train_rows bigint"
+
+
+def save_model(
+    model: PipelineModel, root: str, version: str, dataset_version: str | None = None, train_rows: int | None = None
+) -> str:
+    """Store a pipeline under its version, and beside it which dataset it was fitted on."""
     path = f"{spark_path(root)}/models/run_ts={version}"
     model.write().overwrite().save(path)
+    last = type(model.stages[-1]).__name__
+    row = [(version, dataset_version, len(model.stages), last, train_rows)]
+    spark = SparkSession.active()
+    spark.createDataFrame(row, LINEAGE).drop("run_ts").coalesce(1).write.mode("overwrite").json(
+        f"{spark_path(root)}/lineage/run_ts={version}"
+    )
     return path
 
 
+def lineage(spark: SparkSession, root: str) -> DataFrame:
+    """One row per stored model: its version, its dataset's version, stages, classifier, training rows."""
+    rows = spark.read.schema(LINEAGE).json(f"{spark_path(root)}/lineage")
+    return rows.select("run_ts", "dataset_version", "stages", "classifier", "train_rows")
+
+
 def load_model(spark: SparkSession, root: str, version: str | None = None) -> PipelineModel:
     """A saved model, the newest one unless a version is named."""
     if version is None:

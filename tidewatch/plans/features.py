@@ -36,6 +36,27 @@ def _fit_side(df: DataFrame, fit_scope: str) -> DataFrame:
     return df.where(F.col(SP.SIDE) == "train")
 
 
+def cleaned_sides(
+    df: DataFrame, key: Sequence[str] = ("CustomerId",), exact_split: bool = True, test_size: float = 0.2, seed: int = 42
+) -> DataFrame:
+    """Rows without missing values, with the side they fall on; written once.
+
+    The side of a row depends on its key and class alone, so the split may come first and
+    everything that is fitted can be fitted on the training side.
+    """
+    clean = M.missing_policy_pandas(materialize(df, "raw")).withColumn(TARGET, F.col(TARGET).cast("int"))
+    return materialize(SP.split_stratified(materialize(clean, "clean"), list(key), TARGET, test_size, seed, exact_split), "sided")
+
+
+def one_hot_matrix(
+    sided: DataFrame, categories: Mapping[str, Sequence[str]], key: Sequence[str] = ("CustomerId",), fit_scope: str = "train"
+) -> DataFrame:
+    """The key, the ordered model columns, the target and ``split`` of cleaned rows."""
+    binned = B.bin_ordinal(E.one_hot_apply(sided, categories))
+    scaled = S.scale_minmax(binned, SCALED, _fit_side(sided, fit_scope), constant=0.0)
+    return align_features(scaled, model_columns(categories), keep=[*key, TARGET, SP.SIDE])
+
+
 def one_hot_features(
     df: DataFrame,
     categories: Mapping[str, Sequence[str]],
@@ -49,14 +70,7 @@ def one_hot_features(
 
     Returns the key, the ordered model columns, the target and ``split``.
     """
-    clean = M.missing_policy_pandas(materialize(df, "raw")).withColumn(TARGET, F.col(TARGET).cast("int"))
-    clean = materialize(clean, "clean")
-    # The side of a row depends on its key and class alone, so the split may come
-    # first and the scaler can be fitted on the training side.
-    sided = SP.split_stratified(clean, list(key), TARGET, test_size, seed, exact_split)
-    binned = B.bin_ordinal(E.one_hot_apply(sided, categories))
-    scaled = S.scale_minmax(binned, SCALED, _fit_side(sided, fit_scope), constant=0.0)
-    return align_features(scaled, model_columns(categories), keep=[*key, TARGET, SP.SIDE])
+    return one_hot_matrix(cleaned_sides(df, key, exact_split, test_size, seed), categories, key, fit_scope)
 
 
 def indexed_features(
@@ -79,19 +93,20 @@ def indexed_features(
     return drop_identifiers(scaled, [c for c in ("RowNumber", "CustomerId", "Firstname", "Lastname") if c not in key])
 
 
-def manifest(features: DataFrame, raw: DataFrame, scaled: Sequence[str] = SCALED) -> DataFrame:
-    """One row that describes a dataset: features, shapes, classes, scaler limits."""
-    columns = [c for c in features.columns if c not in (TARGET, SP.SIDE, "CustomerId")]
-    limits = raw.agg(
-        *[F.min(c).cast("double").alias(f"{c}_min") for c in scaled],
-        *[F.max(c).cast("double").alias(f"{c}_max") for c in scaled],
-        F.count("*").alias("raw_rows"),
-    )
+def manifest(
+    sided: DataFrame, categories: Mapping[str, Sequence[str]], scaled: Sequence[str] = SCALED, fit_scope: str = "train"
+) -> DataFrame:
+    """One row that describes a dataset of ``one_hot_matrix``: columns, shapes, classes, and
+    what serving needs to repeat it: the categories and the fitted scaler limits."""
+    columns = model_columns(categories)
+    limits = S.fit_minmax(_fit_side(sided, fit_scope), scaled)
     train, churned = F.col(SP.SIDE) == "train", F.col(TARGET) == 1
-    shape = features.agg(
+    shape = sided.agg(
         F.lit(",".join(columns)).alias("feature_columns"),
         F.lit(TARGET).alias("target_column"),
         F.lit(len(columns)).alias("n_features"),
+        F.lit(",".join(scaled)).alias("scaled_columns"),
+        *[F.lit(",".join(v)).alias(f"{c}_categories") for c, v in categories.items()],
         F.count(F.when(train, 1)).alias("train_rows"),
         F.count(F.when(~train, 1)).alias("test_rows"),
         F.count(F.when(train & churned, 1)).alias("train_churned"),
@@ -99,8 +114,7 @@ def manifest(features: DataFrame, raw: DataFrame, scaled: Sequence[str] = SCALED
     )
     names = [f"{c}_{e}" for c in scaled for e in ("min", "max")]
     return shape.withColumn("_limits", limits.select(F.struct("*")).scalar()).select(
-        *[c for c in shape.columns], F.col("_limits.raw_rows").alias("raw_rows"),
-        *[F.col(f"_limits.{n}").alias(n) for n in names],
+        *shape.columns, *[F.col(f"_limits.{n}").alias(n) for n in names],
     )
 
 
