@@ -86,3 +86,18 @@ def test_attach_uses_a_subquery_not_a_join(spark):
     df = spark.range(10)
     plan = S.attach(df, df.agg(F.max("id").alias("m")))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "scalar-subquery" in plan
+
+
+def test_quantiles_shuffle_only_what_lies_near(spark):
+    n = 300_000
+    df = spark.range(n).selectExpr("CAST(hash(id) AS DOUBLE) * 0.5 AS a", "CAST(id % 7 AS DOUBLE) AS b", "IF(id % 3 = 0, NULL, CAST(pow(id, 3) AS DOUBLE)) AS c")
+    probs = [0.0, 0.25, 0.5, 0.999, 1.0]
+    counts = S.bracketed_counts(S.unpivoted(df, ["a", "b", "c"]), probs)
+    near = counts.where("value IS NOT NULL").groupBy("feature", "i").count().collect()
+    # Four times the error of the sketch to either side, and the error itself.
+    assert max(r["count"] for r in near) <= n * 10 / S.SKETCH + 2
+    values = {c: np.array([r[0] for r in df.where(f"{c} IS NOT NULL").select(c).collect()]) for c in "abc"}
+    for row in S.exact_quantiles(df, ["a", "b", "c"], probs).collect():
+        for i, p in enumerate(probs):
+            assert row[f"q{i}"] == pytest.approx(np.quantile(values[row["feature"]], p), rel=1e-12)
+        assert row["n"] == len(values[row["feature"]])

@@ -92,49 +92,77 @@ def running_counts(
     )
 
 
+SKETCH = 2000  # a sketched quantile is at most one part in this many off its rank
+_WHOLE = 20 * SKETCH  # up to this many values a bracket is the whole column
+
+
+def bracketed_counts(long: DataFrame, probs: Sequence[float], accuracy: int = SKETCH) -> DataFrame:
+    """Per feature and wanted quantile ``i``: the values near it with their counts, and under
+    the value null how many lie below.  ``total`` is the number of the feature's values.
+
+    A sketch brackets each quantile, four times its error to either side.  Values outside
+    are only counted, on the map side, so what is shuffled is bounded by that error.
+    """
+    slack = 4 / accuracy
+    edges = [q for p in probs for q in (max(0.0, p - slack), min(1.0, p + slack))]
+    sketch = long.groupBy("feature").agg(
+        F.count("*").alias("total"), F.percentile_approx("value", edges, accuracy).alias("_edges")
+    )
+    # One row per feature name, taken from a schema.
+    near = long.join(F.broadcast(sketch), "feature")
+    whole = F.col("total") <= _WHOLE
+    places = []
+    for i, p in enumerate(probs):
+        low = F.lit(True) if p - slack <= 0 else whole | (F.col("value") >= F.col("_edges")[2 * i])
+        high = F.lit(True) if p + slack >= 1 else whole | (F.col("value") <= F.col("_edges")[2 * i + 1])
+        place = F.struct(F.lit(i).alias("i"), F.when(low, F.col("value")).alias("value"))
+        places.append(F.when(high, place))
+    each = near.select("feature", "total", F.explode(F.array_compact(F.array(*places))).alias("_at"))
+    return each.groupBy("feature", "total", F.col("_at.i").alias("i"), F.col("_at.value").alias("value")).agg(F.count("*").alias("n"))
+
+
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], buckets: int = 1024
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], buckets: int = 256
 ) -> DataFrame:
     """Linear-interpolation quantiles of every column: ``(feature, n, q0, q1, …)``.
 
-    Values are counted first, the counts are cut into ranges, and only the
-    ranges that hold a wanted rank are ordered.
+    Only values next to a wanted rank are ordered, in ranges; the others are counted.
     """
-    counts = unpivoted(df, cols).groupBy("feature", "value").agg(F.count("*").alias("n"))
-    bucketed = _bucketed(counts, ["feature"], buckets)
-    offsets = _bucket_offsets(bucketed, ["feature"], ["n"]).withColumn(
-        "total", F.sum("n").over(W.partitionBy("feature"))
-    )
-    wants = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.cast("bigint").alias("rank"))
-            for i, p in enumerate(probs)
-            for side, rank in (
-                ("lo", F.floor((F.col("total") - 1) * F.lit(float(p)))),
-                ("hi", F.ceil((F.col("total") - 1) * F.lit(float(p)))),
-            )
-        ]
-    )
-    here = F.filter(
-        wants, lambda w: (w["rank"] >= F.col("before_n")) & (w["rank"] < F.col("before_n") + F.col("n"))
+    counts = bracketed_counts(unpivoted(df, cols), probs)
+    by = ["feature", "i"]
+    below = counts.where(F.col("value").isNull()).select(*by, F.col("n").alias("_below"))
+    inside = counts.where(F.col("value").isNotNull())
+    bucketed = _bucketed(inside, by, buckets)
+    # One row per feature name and wanted quantile on the right.
+    offsets = _bucket_offsets(bucketed, by, ["n"]).join(F.broadcast(below), by, "left").join(
+        F.broadcast(inside.groupBy(*by).agg(F.max("total").alias("total"))), by
     )
+    offsets = offsets.withColumn("before_n", F.col("before_n") + F.coalesce("_below", F.lit(0)))
+    position = (F.col("total") - 1) * F.array(*[F.lit(float(p)) for p in probs])[F.col("i")]
+    sides = F.array(*[
+        F.struct(F.lit(side).alias("side"), rank.cast("bigint").alias("rank"))
+        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position)))
+    ])
+    here = F.filter(sides, lambda w: (w["rank"] >= F.col("before_n")) & (w["rank"] < F.col("before_n") + F.col("n")))
     # At most one row per wanted rank and feature name.
-    wanted = offsets.select("feature", "bucket", "before_n", "total", here.alias("wants")).where(F.size("wants") > 0)
-    inside = W.partitionBy("feature", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    wanted = offsets.select(*by, "bucket", "before_n", here.alias("wants")).where(F.size("wants") > 0)
+    order = W.partitionBy(*by, "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     hit = (
-        bucketed.join(F.broadcast(wanted), ["feature", "bucket"])
-        .withColumn("upto", F.col("before_n") + F.sum("n").over(inside))
-        .select("feature", "value", "n", "upto", "total", F.explode("wants").alias("w"))
+        bucketed.join(F.broadcast(wanted), [*by, "bucket"])
+        .withColumn("upto", F.col("before_n") + F.sum("n").over(order))
+        .select("feature", "i", "value", "n", "upto", "total", F.explode("wants").alias("w"))
         .where((F.col("w.rank") < F.col("upto")) & (F.col("w.rank") >= F.col("upto") - F.col("n")))
-        .select("feature", "value", "total", F.col("w.i").alias("i"), F.col("w.side").alias("side"))
+        .select("feature", "value", "total", "i", F.col("w.side").alias("side"))
     )
 
     def quantile(i: int, p: float) -> Column:
         low = F.max(F.when((F.col("i") == i) & (F.col("side") == "lo"), F.col("value")))
         high = F.max(F.when((F.col("i") == i) & (F.col("side") == "hi"), F.col("value")))
-        position = (F.max("total") - 1) * F.lit(float(p))
-        weight = position - F.floor(position)
-        return (low * (1 - weight) + high * weight).alias(f"q{i}")
+        at = (F.max("total") - 1) * F.lit(float(p))
+        weight = at - F.floor(at)
+        # A rank outside its bracket would be a broken sketch: say so rather than answer null.
+        value = F.coalesce(low * (1 - weight) + high * weight, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+        return value.alias(f"q{i}")
 
     return hit.groupBy("feature").agg(
         F.max("total").alias("n"), *[quantile(i, p) for i, p in enumerate(probs)]
