@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,11 +69,26 @@ def test_alphabetical_codes(places):
     assert column(E.label_encode_alpha(places, ["c"]), "c", "id") == [1, 1, 0, 2, 3, 0, 1]
 
 
-def test_long_category_lists_are_numbered_on_the_executors(spark, places):
-    many = spark.range(3000).select("id", F.concat(F.lit("é"), (F.col("id") % 777).cast("string")).alias("c"))
-    for df in (places, many):
-        for fit in (E.frequency_encoder, E.alphabetical_encoder, E.encoder_table):
-            assert spark_rows(fit(df, ["c"], small=2)) == spark_rows(fit(df, ["c"]))
+def test_categories_of_several_columns_are_numbered_on_the_executors(spark):
+    many = spark.range(30_000).select(
+        F.concat(F.lit("é"), (F.col("id") % 7777).cast("string")).alias("c"), F.when(F.col("id") % 3 > 0, (F.col("id") % 11).cast("string")).alias("a")
+    )
+    rows = [tuple(r) for r in many.select("a", "c").collect()]
+    for fit, null, by_frequency in ((E.frequency_encoder, "MISSING", True), (E.alphabetical_encoder, "nan", False), (E.encoder_table, None, False)):
+        expected = {}
+        for i, name in enumerate(("a", "c")):
+            counts = Counter(null if r[i] is None else r[i] for r in rows)
+            counts.pop(None, None)
+            ordered = sorted(counts, key=lambda v: (-counts[v] if by_frequency else 0, v.encode()))
+            expected |= {(name, v): at for at, v in enumerate(ordered)}
+        found = fit(many, ["c", "a"])
+        assert {(r["column"], r["category"]): r["code"] for r in found.collect()} == expected
+
+
+def test_vectors_fitted_on_other_rows(spark, places):
+    other = spark.createDataFrame([(0, "a"), (1, "new"), (2, None)], "id int, c string")
+    rows = E.one_hot_vector(other, ["c"], fit_on=places).orderBy("id").collect()
+    assert [(r["c_vec"].size, list(r["c_vec"].indices)) for r in rows] == [(4, [1]), (4, []), (4, [2])]
 
 
 def test_ordinal(places):

@@ -53,6 +53,33 @@ def test_json_arrays(spark, tmp_path):
     assert spark_rows(RD.read_json_records(spark, f"{tmp_path}/lines", "id int, s string")) == spark_rows(whole)
 
 
+def test_json_arrays_stay_small(spark, tmp_path):
+    rows = spark.range(3000).select(F.lit(1).alias("id"), F.lit("same").alias("s"))
+    WR.write_json_arrays(rows, f"{tmp_path}/lines", F.lit(None).cast("int"), most=100)
+    lines = [json.loads(r["value"]) for r in spark.read.text(f"{tmp_path}/lines").collect()]
+    assert sum(map(len, lines)) == 3000 and max(map(len, lines)) < 200
+
+
+def test_database_options():
+    assert RD.jdbc_options("jdbc:x", table="t") == {"url": "jdbc:x", "dbtable": "t", "fetchsize": "10000"}
+    assert RD.jdbc_options("jdbc:x", query="SELECT 1", user="u")["query"] == "SELECT 1"
+    split = RD.jdbc_options("jdbc:x", query="SELECT * FROM t", partition_column="day", bounds=(dt.date(2024, 1, 1), dt.date(2024, 2, 1)), partitions=8)
+    assert split["dbtable"] == "(SELECT * FROM t) AS source" and "query" not in split
+    assert (split["lowerBound"], split["upperBound"], split["numPartitions"]) == ("2024-01-01", "2024-02-01", "8")
+    for wrong in ({}, {"table": "t", "query": "q"}, {"table": "t", "partitions": 4}, {"table": "t", "partition_column": "a", "bounds": (5, 5), "partitions": 2}):
+        with pytest.raises(ValueError):
+            RD.jdbc_options("jdbc:x", **wrong)
+
+
+def test_day_predicates_cut_without_loss(spark):
+    parts = RD.day_predicates("day", [dt.date(2024, 1, 1), dt.date(2024, 1, 5)])
+    days = [None, "2023-12-31", "2024-01-01", "2024-01-04", "2024-01-05", "2025-01-01"]
+    rows = spark.createDataFrame([(d,) for d in days], "d string").select(F.col("d").cast("date").alias("day"))
+    assert [rows.where(p).count() for p in parts] == [2, 2, 2]
+    with pytest.raises(ValueError):
+        RD.day_predicates("day", [dt.date(2024, 1, 5), dt.date(2024, 1, 1)])
+
+
 def test_prefer_parquet(spark, tmp_path):
     one, two = (spark.createDataFrame([(i,)], "id int") for i in (1, 2))
     WR.save_table(one, f"{tmp_path}/t.csv", "csv")

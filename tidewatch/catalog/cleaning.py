@@ -90,7 +90,8 @@ def fill_constant_all(spark, folder):
     return M.fill_constant_all(customers(spark, folder), "Unknown")
 
 
-_IMPUTED = ["CreditScore", "Age", "Tenure", "Balance", "EstimatedSalary"]
+# Every number of the table, identifiers included: the operator is not told which they are.
+_IMPUTED = [c for c in _NAMES if c not in ("Firstname", "Lastname", "Geography", "Gender")]
 
 
 def _mean_of(c: str) -> str:
@@ -102,7 +103,7 @@ def _mean_of(c: str) -> str:
     on_customers("SELECT " + _replaced(**{c: f'coalesce("{c}", {_mean_of(c)})' for c in _IMPUTED}) + " FROM customers"),
 )
 def impute_numeric_all(spark, folder):
-    filled = M.impute_numeric(customers(spark, folder), _IMPUTED)
+    filled = M.impute_numeric(customers(spark, folder))
     return filled.withColumns({c: rounded(F.col(c), 9) for c in _IMPUTED})
 
 
@@ -115,7 +116,7 @@ def impute_numeric_all(spark, folder):
     ),
 )
 def impute_numeric_median(spark, folder):
-    return M.impute_numeric(customers(spark, folder), _IMPUTED, "median")
+    return M.impute_numeric(customers(spark, folder), method="median")
 
 
 _LOOKUP = """lookup AS (

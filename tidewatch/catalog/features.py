@@ -325,14 +325,20 @@ _COMPLETE = 'complete AS (SELECT * FROM customers WHERE "Age" IS NOT NULL AND "E
     "scale_vector",
     on_customers(
         'SELECT "CustomerId", '
-        + ", ".join(f'{_nine(_minmax(c, "complete"))} AS scaled_{i}' for i, c in enumerate(SCALED))
-        + " FROM complete", _COMPLETE,
+        + ", ".join(
+            f"""CASE WHEN {" AND ".join(f'"{x}" IS NOT NULL' for x in SCALED)} THEN {_nine(_minmax(c, "complete"))} END AS scaled_{i}"""
+            for i, c in enumerate(SCALED)
+        )
+        + " FROM customers", _COMPLETE,
     ),
 )
 def scale_vector(spark, folder):
-    df = S.scale_vector(customers(spark, folder), SCALED, "minmax")
+    """Every customer; one with a missing value has no vector."""
+    df = S.scale_vector(customers(spark, folder), SCALED, "minmax", nulls="keep")
     array = vector_to_array("scaled_features")
-    return df.select("CustomerId", *[rounded(array[i], 9).alias(f"scaled_{i}") for i in range(len(SCALED))])
+    return df.select(
+        "CustomerId", *[F.when(F.col("scaled_features").isNotNull(), rounded(array[i], 9)).alias(f"scaled_{i}") for i in range(len(SCALED))]
+    )
 
 
 _LIMITS = {"Balance": (-1000.0, 10000.0), "EstimatedSalary": (0.0, 500000.0), "Age": (18.0, 92.0)}

@@ -8,56 +8,41 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidewatch.functions.stats import numbered
 from tidewatch.operators.missing import fill_sentinel
 from tidewatch.operators.profile import text_counts, top_per_column
-from tidewatch.operators.reports import union_all
+from tidewatch.session import materialize
 
 
-# Up to this many categories in all, an encoder is fitted into a literal table.
-SMALL = 10000
+def _positions(counts: DataFrame, cols: Sequence[str], by_frequency: bool) -> DataFrame:
+    """Number the categories of each column from 0, on the executors and in one path at any size.
 
-
-def _positions(counts: DataFrame, cols: Sequence[str], by_frequency: bool, small: int) -> DataFrame:
-    """Number the categories of each column from 0.
-
-    All columns come out of the same counts, one scan and one shuffle of the
-    table.  A short list is numbered here and becomes a literal table, which
-    Catalyst then broadcasts; a longer one is numbered in ranges on the executors.
+    All columns come out of the same counts, one scan and one shuffle of the table; the
+    categories of all are numbered together, column by column, and each column's numbers
+    start where those before it end.  The result is written once: it is joined several times.
     """
-    few = counts.limit(small + 1).collect()
-    if len(few) <= small:
-        rows = []
-        for c in cols:
-            mine = [r for r in few if r["column"] == c]
-            mine.sort(key=lambda r: (-r["n"] if by_frequency else 0, r["value"]))
-            rows += [(c, r["value"], i) for i, r in enumerate(mine)]
-        # From Arrow, so that the plan holds a local relation of known size.
-        fields = [("column", pa.string()), ("category", pa.string()), ("code", pa.int32())]
-        arrays = [pa.array(v, t) for v, (_, t) in zip(zip(*rows) if rows else ([], [], []), fields)]
-        return counts.sparkSession.createDataFrame(pa.table(arrays, names=[n for n, _ in fields]))
-    order = [-F.col("n"), F.col("category")] if by_frequency else [F.col("category")]
-    parts = []
-    for c in cols:
-        mine = counts.where(F.col("column") == c).select("column", F.col("value").alias("category"), "n")
-        parts.append(
-            numbered(mine, *order, name="code").select("column", "category", F.col("code").cast("int").alias("code"))
-        )
-    return union_all(parts)
-
-
-def frequency_encoder(df: DataFrame, cols: Sequence[str], small: int = SMALL) -> DataFrame:
+    named = counts.where(F.col("column").isin(list(cols))).select("column", F.col("value").alias("category"), "n")
+    order = [F.col("column"), -F.col("n"), F.col("category")] if by_frequency else [F.col("column"), F.col("category")]
+    placed = numbered(named, *order, name="_at")
+    # One row per column name, taken from a schema.
+    before = W.partitionBy(F.lit(0)).orderBy("column").rowsBetween(W.unboundedPreceding, -1)
+    sizes = named.groupBy("column").agg(F.count("*").alias("_size"))
+    first = sizes.select("column", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
+    coded = placed.join(F.broadcast(first), "column")
+    return materialize(coded.select("column", "category", (F.col("_at") - F.col("_first")).cast("int").alias("code")), "encoder")
+
+
+def frequency_encoder(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Codes by falling frequency, ties in alphabetical order; nulls as 'MISSING'."""
-    return _positions(text_counts(df, cols, "MISSING"), cols, True, small)
+    return _positions(text_counts(df, cols, "MISSING"), cols, True)
 
 
-def alphabetical_encoder(df: DataFrame, cols: Sequence[str], small: int = SMALL) -> DataFrame:
+def alphabetical_encoder(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Codes in alphabetical order; nulls as 'nan', the text a missing value has there."""
-    return _positions(text_counts(df, cols, "nan"), cols, False, small)
+    return _positions(text_counts(df, cols, "nan"), cols, False)
 
 
 def apply_encoder(
@@ -89,19 +74,22 @@ def label_encode_alpha(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | N
     return apply_encoder(df, encoder, cols, "nan", unseen="null")
 
 
-def one_hot_vector(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace each text by the sparse vector of its frequency index, last category dropped."""
-    filled = fill_sentinel(df, cols)
+def one_hot_vector(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
+    """Replace each text by the sparse vector of its frequency index; an unseen one has no entry.
+
+    Codes are joined, and each row's vector is built where the row is: of the categories only
+    their number is needed anywhere else.
+    """
+    encoder = frequency_encoder(df if fit_on is None else fit_on, cols)
+    coded = apply_encoder(fill_sentinel(df, cols), encoder, cols, "MISSING")
     index = [f"{c}_index" for c in cols]
-    indexed = (
-        StringIndexer(
-            inputCols=list(cols), outputCols=index, handleInvalid="keep", stringOrderType="frequencyDesc"
-        )
-        .fit(filled)
-        .transform(filled)
-    )
-    encoder = OneHotEncoder(inputCols=index, outputCols=[f"{c}_vec" for c in cols])
-    return encoder.fit(indexed).transform(indexed).drop(*cols, *index)
+    # One row with the largest code of each column, from which the lengths follow.
+    largest = encoder.agg(*[
+        F.coalesce(F.max(F.when(F.col("column") == c, F.col("code"))), F.lit(0)).cast("double").alias(i) for c, i in zip(cols, index)
+    ])
+    model = OneHotEncoder(inputCols=index, outputCols=[f"{c}_vec" for c in cols], handleInvalid="keep").fit(largest)
+    numbers = coded.withColumns({i: F.col(c).cast("double") for c, i in zip(cols, index)})
+    return model.transform(numbers).drop(*cols, *index)
 
 
 def one_hot_capped(df: DataFrame, cols: Sequence[str], max_categories: int = 50) -> DataFrame:
@@ -122,17 +110,20 @@ def ordinal_encode(df: DataFrame, mappings: Mapping[str, Mapping[str, int]], unm
     return out
 
 
-def categories(df: DataFrame, cols: Sequence[str], max_categories: int = 1000) -> dict[str, list[str]]:
+def categories(df: DataFrame, cols: Sequence[str], max_categories: int | None = None) -> dict[str, list[str]]:
     """The sorted values of each column, as plain lists.
 
-    They become column names, so they must be known when the plan is built.  One
-    job for all columns; a column with more than ``max_categories`` values raises.
+    They become column names, so they must be known when the plan is built.  One job for
+    all columns.  With ``max_categories`` a column of more values raises before they are
+    fetched; as columns they are many, and an index or a vector serves better.
     """
     found: dict[str, list[str]] = {c: [] for c in cols}
-    for row in top_per_column(text_counts(df, cols), max_categories + 1).collect():
+    counts = text_counts(df, cols)
+    rows = counts if max_categories is None else top_per_column(counts, max_categories + 1)
+    for row in rows.select("column", "value").toLocalIterator():
         found[row["column"]].append(row["value"])
     for c, values in found.items():
-        if len(values) > max_categories:
+        if max_categories is not None and len(values) > max_categories:
             raise ValueError(f"{c} has more than {max_categories} categories; index it instead")
     return {c: sorted(values) for c, values in found.items()}
 
@@ -150,6 +141,6 @@ def one_hot_columns(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None
     return one_hot_apply(df, categories(df if fit_on is None else fit_on, cols))
 
 
-def encoder_table(df: DataFrame, cols: Sequence[str], small: int = SMALL) -> DataFrame:
+def encoder_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Alphabetical codes of the non-null categories, as published next to a dataset."""
-    return _positions(text_counts(df, cols), cols, False, small)
+    return _positions(text_counts(df, cols), cols, False)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.expr import hash32
-from tidewatch.functions.stats import attach, quantiles, stat, widened
+from tidewatch.functions.stats import attach, numbered, quantiles, stat, widened
 from tidewatch.operators.profile import numeric_columns, text_columns, text_counts
 from tidewatch.schemas import IDENTIFIERS
 
@@ -111,37 +111,32 @@ def majority_lookup(df: DataFrame, keys: Sequence[str], column: str) -> DataFram
     return counts.groupBy(*keys).agg(best.alias("_best")).select(*keys, F.col("_best._value").alias(column))
 
 
-def impute_random_valid(
-    df: DataFrame, column: str, key: Sequence[str], seed: int = 42, max_values: int = 10000
-) -> DataFrame:
+def impute_random_valid(df: DataFrame, column: str, key: Sequence[str], seed: int = 42) -> DataFrame:
     """Each missing value becomes one of the observed values, drawn uniformly.
 
     The draw hashes the row key, so a rerun or another partitioning draws the
-    same.  The distinct values travel as one constant; more than ``max_values``
-    of them is an error, not a truncation.
+    same.  The distinct values are numbered on the executors, and only the rows that
+    need one are joined to the number they drew.  Without any value nothing is filled.
     """
-    distinct = df.where(F.col(column).isNotNull()).select(column).distinct().limit(max_values + 1)
-    values = distinct.agg(F.sort_array(F.collect_list(column)).alias("values")).select(
-        F.when(F.size("values") <= max_values, F.col("values"))
-        .otherwise(F.raise_error(F.lit(f"more than {max_values} distinct values in {column}")))
-        .alias("values")
-    )
-    filled = attach(df, values, STATS)
-    options = stat("values", STATS)
-    index = hash32(seed, *[F.col(k) for k in key]) % F.greatest(F.size(options), F.lit(1))
-    drawn = F.try_element_at(options, (index + 1).cast("int"))
-    return filled.withColumn(column, F.coalesce(F.col(column), drawn)).drop(STATS)
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_value")).distinct()
+    options = numbered(values, F.col("_value"), name="_number")
+    count = F.greatest(values.agg(F.count("*")).scalar(), F.lit(1).cast("bigint"))
+    number = hash32(seed, *[F.col(k) for k in key]) % count
+    missing = df.where(F.col(column).isNull()).withColumn("_number", number).join(options, "_number", "left")
+    drawn = missing.withColumn(column, F.col("_value")).select(*df.columns)
+    return df.where(F.col(column).isNotNull()).unionByName(drawn)
 
 
-def missing_policy_pandas(df: DataFrame, skip: Sequence[str] = IDENTIFIERS) -> DataFrame:
+def missing_policy_pandas(df: DataFrame, skip: Sequence[str] = IDENTIFIERS, method: str = "exact") -> DataFrame:
     """Numbers → median, missing Gender → row dropped, other texts → mode or 'Unknown'.
 
     Medians see every row, also those dropped for their Gender; modes see the
     rows that are left.  Identifiers are no measurements and stay as they are.
+    ``method="approx"`` takes medians from a sketch.
     """
     numeric = [c for c in numeric_columns(df) if c not in skip]
     known = df.dropna(subset=["Gender"]) if "Gender" in df.columns else df
-    filled = fill_from(known, median_stats(df, numeric), numeric)
+    filled = fill_from(known, median_stats(df, numeric, method), numeric)
     texts = [c for c in text_columns(df) if c != "Gender" and c not in skip]
     return fill_from(filled, modes_stats(known, texts, "Unknown"), texts) if texts else filled
 

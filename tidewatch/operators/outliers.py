@@ -36,9 +36,9 @@ def _beyond(column: str) -> Column:
     return (c < stat(f"{column}_lo", STATS)) | (c > stat(f"{column}_hi", STATS))
 
 
-def iqr_flag(df: DataFrame, cols: Sequence[str], bounds: DataFrame | None = None) -> DataFrame:
+def iqr_flag(df: DataFrame, cols: Sequence[str], bounds: DataFrame | None = None, method: str = "exact") -> DataFrame:
     """Add ``<col>_outlier``; null where the value is null."""
-    bounds = iqr_bounds(df, cols) if bounds is None else bounds
+    bounds = iqr_bounds(df, cols, method=method) if bounds is None else bounds
     flagged = attach(df, _one_row(bounds, cols), STATS)
     return flagged.withColumns({f"{c}_outlier": _beyond(c) for c in cols}).drop(STATS)
 
@@ -49,6 +49,7 @@ def outlier_remove(
     min_outliers: int = 2,
     nulls: str = "drop",
     bounds: DataFrame | None = None,
+    method: str = "exact",
 ) -> DataFrame:
     """Keep rows with fewer than ``min_outliers`` flags.
 
@@ -57,7 +58,7 @@ def outlier_remove(
     """
     if nulls not in ("drop", "keep"):
         raise ValueError(f"nulls must be 'drop' or 'keep', not {nulls!r}")
-    bounds = iqr_bounds(df, cols) if bounds is None else bounds
+    bounds = iqr_bounds(df, cols, method=method) if bounds is None else bounds
     attached = attach(df, _one_row(bounds, cols), STATS)
     flags = [_beyond(c).cast("int") for c in cols]
     if nulls == "keep":
@@ -68,9 +69,9 @@ def outlier_remove(
     return attached.where(total < min_outliers).drop(STATS)
 
 
-def outlier_cap(df: DataFrame, cols: Sequence[str], bounds: DataFrame | None = None) -> DataFrame:
+def outlier_cap(df: DataFrame, cols: Sequence[str], bounds: DataFrame | None = None, method: str = "exact") -> DataFrame:
     """Clamp to the fences; null stays null."""
-    bounds = iqr_bounds(df, cols) if bounds is None else bounds
+    bounds = iqr_bounds(df, cols, method=method) if bounds is None else bounds
     attached = attach(df, _one_row(bounds, cols), STATS)
 
     def clamp(c: str) -> Column:

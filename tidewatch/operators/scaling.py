@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.expr import rounded
@@ -92,16 +93,30 @@ def scale_standard(
     return apply_standard(df, stats, cols, with_mean, with_std)
 
 
-def scale_vector(df: DataFrame, cols: Sequence[str], kind: str = "minmax") -> DataFrame:
-    """Assemble ``cols`` and scale them as one vector, ``scaled_features``."""
+def scale_vector(df: DataFrame, cols: Sequence[str], kind: str = "minmax", nulls: str = "error") -> DataFrame:
+    """Assemble ``cols`` and scale them as one vector, ``scaled_features``.
+
+    A row with a null or NaN among them is an error, or with ``nulls="keep"`` stays
+    without a vector; the scaler is fitted on complete rows.
+    """
     scalers = {
         "minmax": MinMaxScaler(inputCol="_features", outputCol="scaled_features"),
         "standard": StandardScaler(inputCol="_features", outputCol="scaled_features"),
     }
     if kind not in scalers:
         raise ValueError(f"unknown scaling {kind!r}")
-    assembler = VectorAssembler(inputCols=list(cols), outputCol="_features", handleInvalid="skip")
-    return Pipeline(stages=[assembler, scalers[kind]]).fit(df).transform(df).drop("_features")
+    if nulls not in ("error", "keep"):
+        raise ValueError(f"nulls must be 'error' or 'keep', not {nulls!r}")
+    assembler = VectorAssembler(inputCols=list(cols), outputCol="_features", handleInvalid="error")
+    rows = df.dropna(subset=list(cols)) if nulls == "keep" else df
+    scaled = Pipeline(stages=[assembler, scalers[kind]]).fit(rows).transform(rows).drop("_features")
+    if nulls == "error":
+        return scaled
+    complete = F.lit(True)
+    for c in cols:
+        value = F.col(c).cast("double")
+        complete = complete & value.isNotNull() & ~F.isnan(value)
+    return scaled.unionByName(df.where(~complete).withColumn("scaled_features", F.lit(None).cast(VectorUDT())))
 
 
 def scaler_params(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -82,6 +82,59 @@ def sql_source(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame
     return spark.sql(text, **tables) if tables else spark.sql(text)
 
 
+def jdbc_options(
+    url: str,
+    table: str | None = None,
+    query: str | None = None,
+    partition_column: str | None = None,
+    bounds: tuple[object, object] | None = None,
+    partitions: int | None = None,
+    fetch_size: int = 10_000,
+    **more: str,
+) -> dict[str, str]:
+    """Options of a database read, of a table or of a query.
+
+    With a partition column (a number, a date or a timestamp), its bounds and a number of
+    partitions the read is split over as many tasks.  The bounds only place the cuts: rows
+    beyond them belong to the first and the last task.  Without them one task reads all.
+    """
+    if (table is None) == (query is None):
+        raise ValueError("name either a table or a query")
+    options = {"url": url, "fetchsize": str(fetch_size), **more}
+    split = (partition_column, bounds, partitions)
+    if any(s is not None for s in split):
+        if any(s is None for s in split):
+            raise ValueError("a split read needs a partition column, its bounds and a number of partitions")
+        if partitions < 1 or not bounds[0] < bounds[1]:
+            raise ValueError(f"cannot cut {bounds!r} into {partitions} parts")
+        options |= {
+            "partitionColumn": partition_column, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]),
+            "numPartitions": str(partitions),
+        }
+        # A split read takes no query option, but a query in the place of a table.
+        table = table or f"({query}) AS source"
+    return options | ({"dbtable": table} if table else {"query": query})
+
+
+def day_predicates(column: str, days: Sequence) -> list[str]:
+    """Conditions that cut a table at ``days`` (dates in order): one task each, no row lost or read
+    twice, rows without a day included."""
+    if not days or any(a >= b for a, b in zip(days, list(days)[1:])):
+        raise ValueError("days must be given in ascending order")
+    edges = [f"DATE '{d.isoformat()}'" for d in days]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(edges, edges[1:])]
+    return [f"{column} < {edges[0]} OR {column} IS NULL", *inner, f"{column} >= {edges[-1]}"]
+
+
+def jdbc_source(spark: SparkSession, options: dict[str, str], predicates: Sequence[str] | None = None) -> DataFrame:
+    """A database table, split by the options or with one task per predicate (needs its driver
+    on the class path).  Filters and columns are pushed to the database."""
+    if predicates is None:
+        return spark.read.format("jdbc").options(**options).load()
+    rest = {k: v for k, v in options.items() if k not in ("url", "dbtable")}
+    return spark.read.jdbc(options["url"], options["dbtable"], predicates=list(predicates), properties=rest)
+
+
 # --- versioned datasets ----------------------------------------------------
 
 VERSION = "run_ts"

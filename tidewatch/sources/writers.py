@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.operators.split import side
+from tidewatch.session import scratch
 from tidewatch.sources.readers import CSV_OPTIONS, VERSION, spark_path
 
 
@@ -22,13 +23,17 @@ def write_json_records(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     df.write.mode(mode).option("ignoreNullFields", "false").json(spark_path(path))
 
 
-def write_json_arrays(df: DataFrame, path: str, group, mode: str = "overwrite") -> None:
+def write_json_arrays(df: DataFrame, path: str, group, mode: str = "overwrite", most: int = 10_000) -> None:
     """JSON arrays of records, one array per value of ``group`` and line.
 
-    An array is built in memory: choose groups of a bounded number of rows.
+    An array holds about ``most`` rows: a larger group becomes several arrays, dealt by
+    hash, so no array grows with the data.
     """
     record = F.struct(*df.columns)
-    arrays = df.groupBy(group.alias("_group")).agg(F.collect_list(record).alias("records"))
+    rows = df.select(group.alias("_group"), record.alias("_record"), F.monotonically_increasing_id().alias("_row"))
+    sizes = rows.groupBy(F.col("_group").alias("_of")).agg(F.ceil(F.count("*") / most).alias("_parts"))
+    dealt = rows.join(sizes, F.col("_group").eqNullSafe(F.col("_of"))).withColumn("_part", F.expr("pmod(xxhash64(_row), _parts)"))
+    arrays = dealt.groupBy("_group", "_part").agg(F.collect_list("_record").alias("records"))
     lines = arrays.select(F.to_json("records", {"ignoreNullFields": "false"}).alias("value"))
     lines.write.mode(mode).text(spark_path(path))
 
@@ -63,12 +68,18 @@ def write_version(df: DataFrame, root: str, name: str, version: str) -> str:
 
 
 def export_reports(reports: Mapping[str, DataFrame], root: str, stamp: str) -> list[str]:
-    """Each non-empty report as one CSV file; reports are aggregated, hence small."""
+    """Each non-empty report as CSV, computed once; empty ones leave nothing behind.
+
+    Rows are gathered into files of a reasonable size: a report is one file, and a
+    frame that turns out to be large is not forced through one task.
+    """
     written = []
     for name, df in reports.items():
-        if df.isEmpty():
-            continue
         path = f"{root}/{name}_{stamp}"
-        save_table(df.coalesce(1), path, "csv")
+        with scratch(df.sparkSession) as keep:
+            rows = keep(df, "report")
+            if rows.isEmpty():
+                continue
+            save_table(rows.hint("rebalance"), path, "csv")
         written.append(path)
     return written
