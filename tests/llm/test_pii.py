@@ -113,7 +113,11 @@ def test_edge_rows(spark):
     ("call +1 555 five 1 two 3 four 5 now", [("phone", "+1 555 five 1 two 3 four 5")]),
     ("card 4111 one 111 1111 one one 11", [("card", "4111 one 111 1111 one one 11")]),
     ("x jo\u200b@example.c\u200bom y", [("email", "jo\u200b@example.c\u200bom")]), ("a@b.c\u200bo\u200bm", []),
-    ("one of 20, two of 30, page 7 one time", []),
+    ("one of 20, two of 30, page 7 one time", []), ("look at me dot it works", []), ("meet us at google dot com tonight", []),
+    ("we arrived at home dot com was down", []), ("mail bob at google dot com tonight", [("email", "bob at google dot com")]),
+    ("to user\uff20example\u3002com now", [("email", "user\uff20example\u3002com")]), ("x@y\uff61org", [("email", "x@y\uff61org")]),
+    ("ask john_at_example_dot_com", [("email", "john_at_example_dot_com")]), ("call look_at_me_dot_it()", []),
+    ("john&#64;example&#46;com or a&commat;b&period;org", [("email", "john&#64;example&#46;com"), ("email", "a&commat;b&period;org")]),
 ])
 def test_mixed_digits_and_all_top_level_domains(text, expected):
     assert [(pii.KINDS[k], text[s:e]) for k, s, e in pii.spans(text)[1]] == expected

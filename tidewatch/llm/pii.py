@@ -75,7 +75,7 @@ def detect(text: str) -> list[Span]:
 _LOOKALIKES = dict(zip(
     "аеорсхуіјѕԁһԛԝАВЕКМНОРСТХІЈЅ" "αορνικτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
     "aeopcxyijsdhqwABEKMHOPCTXIJS" "aopviktuABEZHIKMNOPTYX", strict=True,
-))
+)) | dict.fromkeys("。｡۔", ".")  # and full stops
 
 
 def _homoglyphs() -> dict[int, str]:
@@ -126,6 +126,15 @@ _TOP_LEVEL = frozenset(
 # Endings that count after a dot that is no written-out one, too.
 _ENDINGS = frozenset("com org net edu gov mil info biz io co uk de fr eu ca au ch nl example test".split())
 
+# Words that stand before or after an "at" in prose, and are no name in "a at b dot c".
+_PROSE = frozenset(
+    "a all am an and any are arrive arrived arriving back bad be been being best better but down even glance good great he "
+    "her here him his home i in is it its just laugh laughed later least less live lived look looked looking looks me meet "
+    "meeting met more most my never night nor not now off on once one only or our out over she shop smile so stare stared stay "
+    "stayed still stop stopped than that the their them then there these they this those up us was we were what which who "
+    "work worked works yell you your".split()
+)
+
 
 def _either(names: tuple[str, ...] | list[str]) -> str:
     """Names in either case, longest first."""
@@ -145,7 +154,9 @@ _SPELLED_PART = re.compile(
 )
 _SIGN = re.compile(
     rf"[ \t]{{0,3}}[\[({{<][ \t]{{0,2}}(?:(?P<at>{_either(_AT)}|@)|(?P<dot>{_either(_DOT)}|\.))[ \t]{{0,2}}[\])}}>][ \t]{{0,3}}"
-    rf"|(?<=\w)(?:(?P<bare_at>[ \t]{{1,3}}(?:{_either(_AT)})[ \t]{{1,3}})|(?P<bare_dot>[ \t]{{1,3}}(?:{_either(_DOT)})[ \t]{{1,3}})"
+    rf"|(?P<coded_at>&#0*64;|&commat;)|(?P<coded_dot>&#0*46;|&period;)"
+    rf"|(?<=\w)(?:(?P<bare_at>[ \t]{{1,3}}(?:{_either(_AT)})[ \t]{{1,3}}|_(?:{_either(_AT)})_)"
+    rf"|(?P<bare_dot>[ \t]{{1,3}}(?:{_either(_DOT)})[ \t]{{1,3}}|_(?:{_either(_DOT)})_)"
     rf"|(?P<wide_at>[ \t]{{1,3}}@[ \t]{{1,3}}))(?=\w)"
 )
 _LETTER_DIGIT = re.compile(r"(?:(?<=[0-9])|(?<=[0-9][ -]))[OoIl]{1,4}(?=[ -]?[0-9]|(?!\w))")
@@ -227,9 +238,9 @@ def spelled(text: str) -> Rewritten:
 
 
 def signs(text: str) -> Rewritten:
-    """Written-out at and dot, bracketed or between words, become signs."""
+    """Written-out at and dot, bracketed, coded or between words, become signs."""
     return Rewritten(text, [
-        (*m.span(), "@" if m["at"] or m["bare_at"] or m["wide_at"] else ".", m.lastgroup) for m in _SIGN.finditer(text)
+        (*m.span(), "@" if m.lastgroup.endswith("at") else ".", m.lastgroup) for m in _SIGN.finditer(text)
     ])
 
 
@@ -237,16 +248,20 @@ def _address(text: str, start: int, end: int, tags: list[tuple[int, str]]) -> in
     """Where a rewritten address ends, or 0 if it is none.
 
     "a at b.c" may be ordinary prose: a bare "at" counts only with a written-out dot
-    and a top-level domain, of a few if other dots are not written out.  The address ends before written-out dots that are prose.
+    and a top-level domain, of a few if other dots are not written out, and not beside a
+    word of prose ("look at me dot it").  The address ends before written-out dots that are prose.
     """
     sign = text.index("@", start)
+    names = text[start:sign].lower(), text[sign + 1:text.index(".", sign)].lower()
+    if any(place == sign and tag == "bare_at" for place, tag in tags) and not _PROSE.isdisjoint(names):
+        return 0
     while True:
         last = text.rindex(".", sign, end)
         ending = text[last + 1:end]
         plain = not any(place == last and tag == "bare_dot" for place, tag in tags)
         bare = any(place == sign and tag == "bare_at" for place, tag in tags)
-        dotted = any(sign < place < end and tag in ("dot", "bare_dot") for place, tag in tags)
-        written = sum(sign < place <= last and tag in ("dot", "bare_dot") for place, tag in tags)
+        dotted = any(sign < place < end and tag in ("dot", "coded_dot", "bare_dot") for place, tag in tags)
+        written = sum(sign < place <= last and tag in ("dot", "coded_dot", "bare_dot") for place, tag in tags)
         known = ending.lower() in _ENDINGS or (ending.lower() in _TOP_LEVEL and written == text.count(".", sign, end))
         if (known if bare else plain or known) and (dotted or not bare) and ending.isalpha() and len(ending) > 1:
             return end
