@@ -30,6 +30,7 @@ from tidewatch.session import materialize
 SAMPLE = 12_000  # labelled rows that the models are fitted on, chosen by hash
 SIZE = 1 << 18  # numbers that features are hashed to: every word has one, none is left out
 TASKS = 4  # partitions of the sample
+PORTION = 500_000  # features that a step of the fit handles at a time: bounds memory only
 _CACHE = 400_000  # hashes remembered per Python worker: bounds memory only
 
 _word = re.compile(r"[^\W_]+")
@@ -121,17 +122,23 @@ def fitted(places: np.ndarray, lengths: np.ndarray, earlier: np.ndarray, label:
 
     Quasi-Newton steps on the loss that stay in the orthant they start in; a weight that
     would change its sign stops at zero.  ``places`` are the features of all rows, one
-    after another, ``lengths`` how many each row has.
+    after another, ``lengths`` how many each row has; they are gone through in portions.
     """
     rows, dense = len(lengths), earlier.shape[1]
-    row = np.repeat(np.arange(rows), lengths)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + PORTION, PORTION)).clip(0, rows)).tolist()
+    portions = [(a, b, np.repeat(np.arange(b - a, dtype=np.int32), lengths[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
     price = np.full(SIZE + dense + 1, penalty)
     price[-1] = 0
 
     def loss_of(v: np.ndarray) -> tuple[float, np.ndarray]:
-        score = np.bincount(row, v[places], rows) + earlier @ v[SIZE:-1] + v[-1]
+        score = earlier @ v[SIZE:-1] + v[-1]
+        for a, b, row in portions:
+            score[a:b] += np.bincount(row, v[places[ends[a]:ends[b]]], b - a)
         error = (1 / (1 + np.exp(-score)) - label) / rows
-        slope = np.concatenate([np.bincount(places, error[row], SIZE), earlier.T @ error, [error.sum()]])
+        slope = np.concatenate([np.zeros(SIZE), earlier.T @ error, [error.sum()]])
+        for a, b, row in portions:
+            slope[:SIZE] += np.bincount(places[ends[a]:ends[b]], error[a:b][row], SIZE)
         return float(np.mean(np.logaddexp(0, score) - label * score) + price @ np.abs(v)), slope
 
     v = np.zeros(SIZE + dense + 1)
@@ -214,7 +221,7 @@ def _fit(rows: DataFrame, number: int, parts: list[int], folds: int, penalty: fl
         part, fold = table.column("part")[0].as_py(), table.column("fold").to_numpy()
         label = table.column(f"y{number}").to_numpy().astype(float)
         lists = table.column("places").combine_chunks()
-        lengths, places = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().astype(np.int64)
+        lengths, places = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
         before = np.array(table.column("before").to_pylist(), float).reshape(len(label), -1)
         learns = fold != part
         v = None
