@@ -25,6 +25,7 @@ def _positions(counts: DataFrame, cols: Sequence[str], by_frequency: bool) -> Da
     start where those before it end.  The result is written once: it is joined several times.
     """
     named = counts.where(F.col("column").isin(list(cols))).select("column", F.col("value").alias("category"), "n")
+    named = materialize(named, "categories")  # numbering reads them several times, the table only once
     order = [F.col("column"), -F.col("n"), F.col("category")] if by_frequency else [F.col("column"), F.col("category")]
     placed = numbered(named, *order, name="_at")
     # One row per column name, taken from a schema.
