@@ -1,12 +1,16 @@
-"""Near-duplicate documents: Jaccard join of word shingles by MinHash bands of fixed depth.
+"""Near-duplicate documents: Jaccard join of word shingles by an LSH forest of MinHash tries.
 
-Every document has 40 MinHash trees, in each a path of hashes.  Documents that share the
-prefix of a path are candidates.  Its length is one for all, computed from the threshold
-and the target recall before any data is read: this is banding, not a forest whose
-prefixes adapt to the data.  Candidates of a node are first compared by their
-whole signatures, far below the threshold, and those that look alike are tied into
-clusters; only documents of clusters have their texts read again, each is sent to its
-cluster once, and all pairs of a cluster are verified exactly.
+Every document has 40 MinHash trees, in each a path of hashes, and looks for documents that
+share a prefix of a path.  It begins with the whole paths and goes up a level in one tree
+after the other until a document at the smallest similarity that it can be linked at is
+found with the target recall.  That similarity depends on its number of shingles (7 shingles:
+6 of 7; under 4: none at 0.8), so documents end at different depths.  Documents meet if
+they share the prefix at which either ends.  The order in which trees are shortened is
+fixed: to shorten where a node is small would count trees known to hold nothing.
+
+Candidates are first compared by their whole signatures, far below the threshold, and those
+that look alike are tied into clusters; only documents of clusters have their texts read
+again, each is sent to its cluster once, and all pairs of a cluster are verified exactly.
 
 Documents with equal shingle sets are one class from the start.  Large nodes and
 clusters are cut into tiles that meet pairwise; small ones share tasks.  Tasks return
@@ -16,7 +20,9 @@ a number of links and one edge per class, never the pairs.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,29 +35,64 @@ from tidewatch.llm.embedding_dedup import roots
 from tidewatch.llm.words import mixed, shingles
 from tidewatch.session import materialize
 
-TREES, DEEPEST = 40, 7
+TREES, DEEPEST = 40, 8
 TILE = 256  # classes of a cluster that meet in one task
 TILE_SHINGLES = 4_000_000  # and their shingles
-PACK_ROWS, PACK_SHINGLES = 20_000, 2_000_000  # of small groups that share a task
+PACK_ROWS, PACK_SHINGLES = 2_000, 2_000_000  # of small groups that share a task
 _COLUMNS = 4096
+_PAIRS = 8192  # pairs of signatures that are compared in one go
+_FEW = 64  # shingles; sets of more can be linked at next to the threshold itself
+_NEVER = 255  # the end of a search that is not begun
 _LINKS = "a long, b long, n long"
 
 
 def prefix_length(trees: int, deepest: int, threshold: float, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold agrees in some tree with
-    probability ``recall`` or more; shortened from the deepest path."""
+    """The longest prefix, of all trees alike, at which a pair at the threshold agrees in some
+    tree with probability ``recall`` or more; shortened from the deepest path."""
     for length in range(deepest, 0, -1):
         if 1 - (1 - threshold**length) ** trees >= recall:
             return length
     raise ValueError("more trees are needed for this recall")
 
 
+@cache
+def least_similarity(size: int, threshold: float) -> float | None:
+    """The smallest similarity, from ``threshold`` on, that a set of ``size`` can have to
+    another set; None if there is none.  For large sets the threshold, which is never more."""
+    if size > _FEW:
+        return threshold
+    found = []
+    for common in range(math.ceil(threshold * size) - 1, size + 1):
+        union = int(common / threshold) + 1  # the largest that is similar enough
+        while union and common / union < threshold:
+            union -= 1
+        if union >= size and union > common > 0:
+            found.append(common / union)
+    return min(found, default=None)
+
+
+@cache
+def levels(trees: int, deepest: int, similarity: float, recall: float) -> tuple[int, ...]:
+    """The level of each tree at which a search ends: one tree after the other goes up a
+    level until a pair at ``similarity`` is found with probability ``recall``."""
+    base = prefix_length(trees, deepest, similarity, recall)
+    ends = np.full(trees, min(base + 1, deepest))
+    for tree in range(trees):
+        if 1 - np.prod(1 - similarity**ends) >= recall:
+            break
+        ends[tree] = base
+    return tuple(ends.tolist())
+
+
 class Forest:
-    """MinHash signatures of shingle sets, as prefixes of trees and as one byte per hash."""
+    """MinHash signatures of shingle sets, as prefixes of trees and as one byte per hash.
+
+    ``prefix`` is the length of all prefixes, or one for each tree.
+    """
 
-    def __init__(self, trees: int, deepest: int, prefix: int, seed: int):
+    def __init__(self, trees: int, deepest: int, prefix: int | tuple[int, ...], seed: int):
         rng = np.random.default_rng(seed)
-        self.trees, self.deepest, self.prefix = trees, deepest, prefix
+        self.trees, self.deepest, self.prefix = trees, deepest, np.broadcast_to(prefix, trees)
         self.factor = rng.integers(0, 2**32, trees * deepest, dtype=np.uint32) | np.uint32(1)
         self.shift = rng.integers(0, 2**32, trees * deepest, dtype=np.uint32)
 
@@ -66,21 +107,38 @@ class Forest:
         """One number per tree for the node at the end of the prefix."""
         paths = signature.reshape(self.trees, self.deepest)
         node = np.arange(self.trees, dtype=np.uint64)
-        for level in range(self.prefix):
-            node = mixed(node + paths[:, level].astype(np.uint64))
+        for level in range(self.prefix.max()):
+            node = np.where(level < self.prefix, mixed(node + paths[:, level].astype(np.uint64)), node)
         return node.view(np.int64)
 
+    def below(self, tree: int, marks: np.ndarray) -> np.ndarray:
+        """The part of each signature's path that lies below the tree's prefix, as long for every tree."""
+        path = marks[:, tree * self.deepest + self.prefix[tree]:(tree + 1) * self.deepest]
+        return np.pad(path, ((0, 0), (0, self.deepest - self.prefix.min() - path.shape[1])))
+
     @staticmethod
     def bytes_of(signature: np.ndarray) -> bytes:
         return (signature >> np.uint32(24) ^ signature & np.uint32(255)).astype(np.uint8).tobytes()
 
 
-def alike(left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
-    """Pairs of rows of one-byte signatures whose estimated similarity is at least ``least``."""
-    same = np.zeros((len(left), len(right)), np.int32)
-    for a, b in zip(left.T, right.T, strict=True):
-        same += a[:, None] == b[None, :]
-    return (same / left.shape[1] - 1 / 256) / (1 - 1 / 256) >= least
+def meet(ends: tuple[np.ndarray, np.ndarray], paths: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Pairs of a node that share the prefix at which the search of one of them ends.
+
+    ``ends`` count levels below the node, as ``paths`` do.
+    """
+    same = paths[0][:, None, :] == paths[1][None, :, :]
+    shared = np.logical_and.accumulate(same, axis=2).sum(axis=2)
+    return (shared >= np.minimum.outer(*ends)) & (np.maximum.outer(*ends) != _NEVER)
+
+
+def alike(left: np.ndarray, right: np.ndarray, pairs: np.ndarray, least: float) -> np.ndarray:
+    """Those of the pairs of one-byte signatures whose estimated similarity is at least ``least``."""
+    out, (a, b) = np.zeros(pairs.shape, dtype=bool), np.nonzero(pairs)
+    for at in range(0, len(a), _PAIRS):
+        i, j = a[at:at + _PAIRS], b[at:at + _PAIRS]
+        same = np.count_nonzero(left[i] == right[j], axis=1)
+        out[i, j] = (same / left.shape[1] - 1 / 256) / (1 - 1 / 256) >= least
+    return out
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -202,22 +260,38 @@ def signatures(docs: DataFrame, forest: Forest, size: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([docs.schema["key"], *added.fields]))
 
 
-def _clusters(classes: DataFrame, least: float, tile: int) -> DataFrame:
-    """cls and cluster, of classes that look like another one."""
-    slim = classes.select("cls", F.explode("nodes").alias("node"))
+def _clusters(
+    classes: DataFrame, forest: Forest, ends: Callable[[int], tuple[int, ...] | None], least: float, tile: int
+) -> DataFrame:
+    """cls and cluster, of classes that look like another one.
+
+    ``ends`` tells from a number of shingles where the search ends in each tree, the
+    shallowest being the forest's prefixes: what meets at any depth shares such a node.
+    """
+    slim = classes.select("cls", F.posexplode("nodes").alias("tree", "node"))
     counts = slim.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
     counts = materialize(counts.selectExpr("node", f"CAST(ceil(n / {tile}) AS INT) AS t", "n"), "nodes")
     members = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # Here and below both sides grow with the corpus: merge joins at every size, never a broadcast.
     shared = slim.join(counts.drop("n", "t").hint("merge"), "node")
-    shared = shared.join(classes.select("cls", "signature").hint("merge"), "cls")
+    shared = shared.join(classes.select("cls", "signature", "shingles").hint("merge"), "cls")
     shared = shared.withColumn("copies", F.lit(1).cast("long"))
+    width = forest.deepest - int(forest.prefix.min())
 
     def load(table: pa.Table) -> np.ndarray:
-        return np.stack([np.frombuffer(s, np.uint8) for s in table.column("signature").to_pylist()])
+        """Per row the end of its search and its path, both below the node, and its signature."""
+        tree, sizes = table.column("tree")[0].as_py(), table.column("shingles").to_pylist()
+        marks = np.stack([np.frombuffer(s, np.uint8) for s in table.column("signature").to_pylist()])
+        found = [_NEVER if (e := ends(n)) is None else e[tree] - forest.prefix[tree] for n in sizes]
+        return np.hstack([np.array(found, np.uint8)[:, None], forest.below(tree, marks), marks])
+
+    def test(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        left, right = np.asarray(left), np.asarray(right)
+        pairs = meet((left[:, 0], right[:, 0]), (left[:, 1:1 + width], right[:, 1:1 + width]))
+        return alike(left[:, 1 + width:], right[:, 1 + width:], pairs, least)
 
     def run(table: pa.Table) -> pa.Table:
-        return compared(table, "node", load, lambda a, b: alike(np.asarray(a), np.asarray(b), least))
+        return compared(table, "node", load, test)
 
     placed = tiles(shared, "node", counts.drop("n"), -(-members // PACK_ROWS) or 1)
     found = components(placed.groupBy(*TASK).applyInArrow(run, _LINKS))
@@ -225,10 +299,17 @@ def _clusters(classes: DataFrame, least: float, tile: int) -> DataFrame:
     return tied.unionByName(tied.select(F.col("cluster").alias("cls"), "cluster").distinct())
 
 
-def _links(classes: DataFrame, texts: DataFrame, threshold: float, size: int, least: float, tile: int) -> DataFrame:
+def _links(
+    classes: DataFrame, texts: DataFrame, forest: Forest, recall: float, threshold: float, size: int, least: float, tile: int
+) -> DataFrame:
     """Exact links a, b, n within clusters."""
+
+    def ends(shingles: int) -> tuple[int, ...] | None:
+        similarity = least_similarity(shingles, threshold)
+        return similarity and levels(forest.trees, forest.deepest, similarity, recall)
+
     members = materialize(
-        _clusters(classes, least, tile).join(
+        _clusters(classes, forest, ends, least, tile).join(
             classes.select("cls", "key", "text_key", "copies", "shingles"), "cls"
         ), "members",
     )
@@ -254,7 +335,7 @@ def _marked(
     recall: float = 0.9999, trees: int = TREES, deepest: int = DEEPEST, slack: float = 0.15, tile: int = TILE, seed: int = 17,
 ) -> DataFrame:
     """Columns of ``near_duplicates`` and root, the number of the group: keys repeat, it does not."""
-    forest = Forest(trees, deepest, prefix_length(trees, deepest, threshold, recall), seed)
+    forest = Forest(trees, deepest, levels(trees, deepest, threshold, recall), seed)
     texts = docs.select(
         F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     ).withColumn("text_key", F.xxhash64("text"))
@@ -265,7 +346,7 @@ def _marked(
         F.any_value("signature").alias("signature"),
     )
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cls"), "*", "row.*").drop("row"), "classes")
-    links = materialize(_links(classes, texts, threshold, size, threshold - slack, tile), "links")
+    links = materialize(_links(classes, texts, forest, recall, threshold, size, threshold - slack, tile), "links")
     counts = links.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     root = components(links).select(F.col("node").alias("cls"), "root")
     joined = classes.select("cls", "set_key", "first", "copies").join(counts, "cls", "left").join(root, "cls", "left")
