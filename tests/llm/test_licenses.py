@@ -91,3 +91,50 @@ def test_query_searches_several_levels(spark, tmp_path):
     assert [found[i] for i in (10101, 10100, None)] == [apache] * 3  # two levels up, one, and none
     assert [found[i] for i in (0, 100, 203)] == [("Apache-2.0", "own"), ("MIT", "own"), ("CC-BY-NC-4.0", "own")]
     assert found[102] == found[103] == (None, "none")
+
+
+GPL = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License" \
+      " as published by\nthe Free Software Foundation; either version {} of the License, or\n(at your option) any later version.\n"
+SAID = {
+    GPL.format("", 2): "GPL-2.0", GPL.format("", 3): "GPL-3.0", GPL.format("Affero ", 3): "AGPL-3.0",
+    GPL.replace("program", "library").format("Lesser ", 2.1): "LGPL-2.1", GPL.replace("\n", " ").format("Lesser ", 3): "LGPL-3.0",
+    GPL.replace("\n", "\n * ").format("", 2): "GPL-2.0", GPL.replace("program", "library").format("Library ", 2): "LGPL-2.0",
+    "Licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+    "This work is licensed under the GNU General Public License.": "GPL",
+    "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file"
+    " except in compliance with the License.": "MPL-1.1",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+    "Licensed under the Eclipse Public License, Version 2.0.": "EPL-2.0",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0": "EPL-1.0",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0",
+    "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": "CC-BY-3.0",
+    "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0",
+    "Licensed under the Apache License, Version 1.1.": L.OTHER, "Licensed under the Sleepycat License, Version 2.0.": L.OTHER,
+    "This is not licensed under the MIT License.": None, "no licence was ever granted to drive": None,
+    "// SPDX-License-Identifier: MIT\nint x;": "MIT", "# SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+    "SPDX-License-Identifier: (Apache-2.0 OR MIT)": "Apache-2.0", "SPDX-License-Identifier: LGPL-2.1+": "LGPL-2.1",
+    "SPDX-License-Identifier: NONE": None,
+    "words " * 300 + "and all of it is Licensed under the Apache License, Version 2.0": None,  # one whole sentence, of other words
+}
+
+
+def test_versions_variants_and_identifiers(spark):
+    prose = [f"the ship sailed on and the crew of it sang to the wind {i}" for i in range(200)]
+    rows = list(enumerate([*SAID, *prose]))
+    found = {r.doc_id: r for r in L.find(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(None).cast("string")).collect()}
+    wrong = [(text, found[i].license, found[i].cosine, name) for i, (text, name) in enumerate(SAID.items()) if found[i].license != name]
+    assert not wrong
+    assert all(found[i].origin == "none" for i in range(len(SAID), len(rows)))
+
+
+def test_headers_of_templates_are_their_own_licence():
+    weights = L.Weights(1000, {})
+    for name, text in L.TEMPLATES.items():
+        assert weights.best(text) == (weights.best(text)[0], name.partition(" ")[0])
+
+
+def test_affero_text_is_not_the_general_one():
+    text = L.whole_licences()["GPL-3.0"]
+    affero = text.replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE", 1)
+    for body, name in ((text, "GPL-3.0"), (affero, "AGPL-3.0")):
+        assert L.judged(body, "COPYING", L.Weights(1000, {}), 0.6, 0.5, 0.85, 0.7)[::2] == (name, True)
