@@ -98,3 +98,34 @@ def test_many_foreign_elements_stay_cheap():
     began = time.process_time()
     H.text_of("<svg>" + "<g>" * 30_000 + "<path/>" * 30_000 + "<svg><foreignObject>" * 10_000 + "<p>" * 10_000)
     assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("page,expected", [
+    ("<style>.x{display:none}</style><p class=x>hid</p>seen", "seen"), ("<p class='a x'>hid</p>b<style>.x{display:none}</style>", "b"),
+    ("<style>#i, em {visibility : hidden}</style><p id=i>no<b style='visibility:visible'>yes</b></p><em>no</em>d", "yes\n\nd"),
+    ("<style>p.x{display:none} /* .y{display:none} */</style><p class=x>no</p><div class=x>a</div><p class=y>b", "a\n\nb"),
+    ("<style>.x{display:none}.x.y{display:block}</style><i class='x y'>a</i><i class=x>no</i>", "a"),
+    ("<style>.x{display:none}#i{display:inline}i{display:none}</style><i class=x id=i>a</i><i>no</i>", "a"),
+    ("<style>.x{display:none}</style><i class=x style='display:inline'>a</i>", "a"),
+    ("<style>.x{display:none!important}</style><i class=x style='display:inline'>no</i>b", "b"),
+    ("<style>.x{display:none}.x{display:block}</style><i class=x>a</i>", "a"),
+    ("<style>@media print{.x{display:none}}@media screen{.y{display:none}}.z{display:none}</style>"
+     "<i class=x>a</i><i class=y>no</i><i class=z>no</i>", "a"),
+    ("<style media=print>.x{display:none}</style><style>@import 'a';.y{display:none}</style><i class=x>a</i><i class=y>no</i>", "a"),
+    ("<style>div .x,.x:hover,[a]{display:none}</style><div><i class=x>a</i></div>", "a"),
+    ("<style>}}{.x{display:none</style><i class=x>a</i>", "a"), ("<style>*{visibility:hidden}b{visibility:visible}</style>no<b>a</b>", "a"),  # loose text is in the body
+    ("<form>x<input type=submit value=Go><input value='a  b'><input type=hidden value=no><input type=password value=no>y", "x Go a b y"),
+    ("<div style='visibility:hidden'><input value=no></div>a", "a"), ("<input>a<input value=''>b", "a b"),
+    ("<ol type=a start=26><li>x<li>y</ol>", "z. x\naa. y"), ("<ol type=I><li>x<li value=9>y</ol>", "I. x\nIX. y"),
+    ("<ol reversed><li>x<li>y</ol>", "2. x\n1. y"),
+])
+def test_style_elements_inputs_and_list_types(page, expected):
+    assert H.text_of(page) == expected
+
+
+def test_many_rules_stay_cheap():
+    began = time.process_time()
+    page = "<style>" + "".join(f".x.a{i}{{display:none}}" for i in range(20_000)) + "</style>" + "<i class='x a1'>no</i><i class=x>y</i>" * 20_000
+    assert H.text_of(page) == "y" * 20_000
+    H.text_of("<style>" + "{" * 100_000 + "</style>" + "<style>/*" * 20_000)
+    assert time.process_time() - began < 20

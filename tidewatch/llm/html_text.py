@@ -1,8 +1,8 @@
 """Layout-aware text of HTML pages.
 
 A tree builder reads the page, with the end tags that HTML lets authors leave out; a
-renderer walks the tree and writes what a reader would see: hidden elements are left
-out, blocks are set apart, lists are numbered and indented, the cells of a table are
+renderer walks the tree and writes what a reader would see: what is hidden by itself, by
+attributes or by the page's style elements is left out, blocks are set apart, lists are numbered and indented, the cells of a table are
 aligned.  Both work through a page in time proportional to its length, without
 recursion, whatever its tags are.
 """
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.llm import styles
+
 # Fixed values of the language: which elements are void, hidden, set apart, or end others.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
@@ -67,7 +69,10 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)\s*(?:!important\s*)?(?=;|$)", re.I)
-_KEPT = frozenset("hidden style open start value colspan rowspan type display visibility".split())
+_KEPT = frozenset("hidden style open start value colspan rowspan type display visibility class id media reversed".split())
+# Inputs whose value is not shown as text, and the numbers of lists in Roman form.
+UNSHOWN_INPUTS = frozenset("hidden checkbox radio password image file range color".split())
+ROMAN = {1000: "m", 900: "cm", 500: "d", 400: "cd", 100: "c", 90: "xc", 50: "l", 40: "xl", 10: "x", 9: "ix", 5: "v", 4: "iv", 1: "i"}
 
 
 class Node:
@@ -84,6 +89,7 @@ class Builder:
         self.root = Node("#root", {})
         self.stack = [self.root]
         self.open = Counter()
+        self.styles: list[str] = []
         self.foreign: list[str] = []  # open pictures and formulas, and what in them holds HTML
 
     def build(self, page: str) -> Node:
@@ -96,8 +102,20 @@ class Builder:
             if sign > at:
                 self.text(page[at:sign])
             at = self.markup(page, sign)
+        if self.styles:
+            self.restyle(styles.Sheet(self.styles))
         return self.root
 
+    def restyle(self, sheet: styles.Sheet) -> None:
+        """Gives the elements that rules of the page match the style that results."""
+        work = [self.root] if sheet.rules else []
+        while work:
+            node = work.pop()
+            style = sheet.style(node.name, node.attributes)
+            if style is not None:
+                node.attributes = node.attributes | {"style": style}
+            work.extend(child for child in node.children if isinstance(child, Node))
+
     def markup(self, page: str, at: int) -> int:
         """Takes what begins with the sign at ``at``; returns the place behind it.
 
@@ -131,6 +149,8 @@ class Builder:
             return found.end()
         close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, found.end())
         inner = page[found.end():close.start() if close else rest]
+        if name == "style" and styles.on_screen(self.stack[-1].attributes.get("media", "")):
+            self.styles.append(inner)
         if name in ("textarea", "xmp"):
             self.text(inner, raw=name == "xmp")
         self.end(name)
@@ -345,6 +365,32 @@ def _number(text: str | None, default: int, most: int) -> int:
     return min(int(text), most) if text and text.isascii() and text.isdigit() and len(text) < 8 else default
 
 
+def label(number: int, kind: str) -> str:
+    """The number of an item in a list of a type: 1, a, A, i or I."""
+    if kind in ("a", "A") and number > 0:
+        out = ""
+        while number:
+            number, letter = divmod(number - 1, 26)
+            out = chr(97 + letter) + out
+    elif kind in ("i", "I") and 0 < number < 4000:
+        out = ""
+        for value, sign in ROMAN.items():
+            out += sign * (number // value)
+            number %= value
+    else:
+        return str(number)
+    return out.upper() if kind.isupper() else out
+
+
+def _first(node: Node) -> tuple[int, int, str] | None:
+    """First number, step and type of an ordered list."""
+    if node.name != "ol":
+        return None
+    a, back = node.attributes, "reversed" in node.attributes
+    items = sum(isinstance(c, Node) and c.name == "li" for c in node.children) if back else 1
+    return _number(a.get("start"), items, 10**7), -1 if back else 1, a.get("type", "1")
+
+
 def render(root: Node) -> str:
     """What is seen of a tree."""
     pages, tables, counters = [Page()], [], []
@@ -412,13 +458,14 @@ def render(root: Node) -> str:
             else:
                 page.line()
         elif name in LISTS:
-            counters.append(_number(node.attributes.get("start"), 1, 10**7) if name == "ol" else None)
+            counters.append(_first(node))
             page.indents.append("   " if name == "ol" else "  ")
         elif name == "li":
             if counters and counters[-1] is not None:
-                number = _number(node.attributes.get("value"), counters[-1], 10**7)
-                counters[-1] = number + 1
-                page.marker = f"{number}. "
+                number, step, kind = counters[-1]
+                number = _number(node.attributes.get("value"), number, 10**7)
+                counters[-1] = number + step, step, kind
+                page.marker = f"{label(number, kind)}. "
             else:
                 page.marker = "- "
                 if not counters:
@@ -430,6 +477,8 @@ def render(root: Node) -> str:
         if name in VOID:
             if name == "hr":
                 page.blank()
+            elif name == "input" and visible(node, seen) and node.attributes.get("type", "").lower() not in UNSHOWN_INPUTS:
+                page.write(f" {node.attributes.get('value', '')} ")
             continue
         work.append((node, parent, True, seen))
         seen = visible(node, seen)
