@@ -14,6 +14,9 @@ from tidewatch.schemas import MESSAGE
 MAX_MESSAGES = 1000
 MAX_DELAY = "30 seconds"
 
+# Message files of bounded size: compressed files are read whole by a task each.
+PACKED = {"compression": "snappy", "maxRecordsPerFile": "100000"}
+
 
 def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -55,9 +58,9 @@ def file_messages(spark: SparkSession, path: str, max_files: int | None = None)
     return reader.json(path)
 
 
-def publish_files(messages: DataFrame, path: str) -> None:
-    """Append a batch of messages to a topic folder."""
-    messages.write.mode("append").json(path)
+def publish_files(messages: DataFrame, path: str, packed: bool = False) -> None:
+    """Append a batch of messages to a topic folder; ``packed`` writes compressed files of bounded size."""
+    messages.write.mode("append").options(**(PACKED if packed else {})).json(path)
 
 
 def kafka_sink(messages: DataFrame, servers: str, checkpoint: str):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.schemas import MESSAGE
 from tidewatch.sources.readers import spark_path
-from tidewatch.streaming.messages import file_messages
+from tidewatch.streaming.messages import PACKED, file_messages
 
 _FIELDS = "event_id string, batch string"
 
@@ -41,7 +41,7 @@ def hand_over(spark: SparkSession, outbox: str, query: str, batch: int, messages
     staged, fs = _file_system(spark, f"{spark_path(outbox)}/_staged/{query}-{batch}")
     path = spark._jvm.org.apache.hadoop.fs.Path
     if not fs.exists(path(staged, "_SUCCESS")):
-        messages().write.mode("overwrite").json(staged.toString())
+        messages().write.mode("overwrite").options(**PACKED).json(staged.toString())
     target = path(folder(outbox, query, batch))
     fs.mkdirs(target)
     for status in fs.listStatus(staged):
