@@ -257,6 +257,33 @@ def test_a_killed_batch_changes_nothing_downstream(topic, spark, monkeypatch, wh
     assert all(r["batch"].rsplit("-", 1)[1] in "01" for r in sent.collect())
 
 
+def test_the_run_that_wrote_the_messages_does_not_parse_them(topic, spark, monkeypatch):
+    def parsed(_):
+        raise RuntimeError("parsed")
+
+    monkeypatch.setattr(J, "parse_predictions", parsed)
+    topic.put(message("a", 1), message("b", 1, customer=2), message("a", 1))
+    unsure = lambda df: J.score(df, lambda _: F.when(F.col("CustomerId") == 1, F.lit(0.9)))
+    scoring(topic, scorer=unsure)
+    scoring(topic, "lost", scorer=unsure)
+    table = K.read_table(spark, f"{topic.root}/table", spark.createDataFrame([], schemas.PREDICTIONS))
+    assert [(r["event_id"], r["probability"]) for r in table.collect()] == [("a", 0.9)]
+    sent = spark.read.schema("event_id string").json(f"{topic.root}/out/query=*/batch=0")
+    # A prediction without a score is no prediction: handed over (and again by a replay), not stored.
+    assert sorted(r["event_id"] for r in sent.collect()) == ["a", "b", "b"]
+
+
+def test_handed_over_files_are_compressed_and_bounded(topic, spark, monkeypatch):
+    monkeypatch.setitem(MSG.PACKED, "maxRecordsPerFile", "3")
+    topic.put(*[message(f"e{i}", 1) for i in range(10)])
+    scoring(topic)
+    MSG.publish_files(topic.spark.read.schema(schemas.MESSAGE).json(f"{topic.root}/topic"), f"{topic.root}/again", packed=True)
+    for folder in (f"{topic.root}/out/query=*/batch=*", f"{topic.root}/again"):
+        rows = spark.read.schema("value string").json(folder).select("value", F.input_file_name().alias("file")).collect()
+        files = [r["file"] for r in rows]
+        assert len(files) == 10 and all(f.endswith(".snappy") for f in files) and max(map(files.count, files)) <= 3
+
+
 def test_published_elsewhere(topic, spark):
     got = []
     topic.put(message("a", 1), message("b", 1))

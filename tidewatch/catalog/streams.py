@@ -351,11 +351,20 @@ def _scored_topic(spark, folder) -> str:
     root = work_folder(spark, "chain")
     messages = event_messages(spark, folder)
     for _ in range(2):
-        MSG.publish_files(messages, f"{root}/topic")
+        MSG.publish_files(messages, f"{root}/topic", packed=True)
         J.run_available(J.scoring_job(_events(spark, root), by_rule, f"{root}/table", f"{root}/outbox", f"{root}/scoring"))
     return root
 
 
+def _parsed_topic(spark, root: str):
+    """The predictions topic parsed once, by a job of its own, and the columns of its table."""
+    parsed = J.parse_predictions(OUT.topic(spark, f"{root}/outbox"))
+    rows = parsed.select(*PREDICTION_SCHEMA.fieldNames(), "malformed")
+    writer = rows.writeStream.format("parquet").option("path", f"{root}/parsed")
+    J.run_available(writer.option("checkpointLocation", f"{root}/parsing"))
+    return rows.schema
+
+
 @query(
     "stream_predictions_parse",
     on_predictions(
@@ -366,11 +375,7 @@ def _scored_topic(spark, folder) -> str:
 def stream_predictions_parse(spark, folder):
     """The predictions topic as rows: what the second step reads."""
     root = _scored_topic(spark, folder)
-    parsed = J.parse_predictions(OUT.topic(spark, f"{root}/outbox"))
-    rows = parsed.select(*PREDICTION_SCHEMA.fieldNames(), "malformed")
-    writer = rows.writeStream.format("parquet").option("path", f"{root}/parsed")
-    J.run_available(writer.option("checkpointLocation", f"{root}/parsing"))
-    return spark.read.schema(rows.schema).parquet(f"{root}/parsed").select(
+    return spark.read.schema(_parsed_topic(spark, root)).parquet(f"{root}/parsed").select(
         "event_id", "customer_id", "prediction", rounded(F.col("probability"), 6).alias("probability"),
         rounded(F.col("risk_score"), 6).alias("risk_score"), utc_clock(F.col("predicted_at")).alias("predicted_at"),
         "model_version", "geography", "gender", "age", "tenure", "balance", "malformed",
@@ -388,7 +393,8 @@ def stream_predictions_parse(spark, folder):
 def stream_chain(spark, folder):
     """Events to predictions, predictions to rollups and alerts, with every event sent twice."""
     root = _scored_topic(spark, folder)
-    topic = lambda: J.predictions(J.parse_predictions(OUT.topic(spark, f"{root}/outbox")))
+    schema = _parsed_topic(spark, root)
+    topic = lambda: J.predictions(spark.readStream.schema(schema).parquet(f"{root}/parsed"))
     J.run_available(J.rollup_job(topic(), f"{root}/log", f"{root}/rollup"))
     J.run_available(J.alert_job(topic(), f"{root}/alerts", f"{root}/alerting"))
     hours = J.rollup_table(spark, f"{root}/log").select(

@@ -151,14 +151,19 @@ def known_rows(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[
 
 
 def insert_table(
-    spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], column: str
+    spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], column: str,
+    decided: bool = False,
 ) -> None:
     """Append the rows with unknown keys; running it twice adds nothing.
 
     A key is known whatever day it came with, or without one.  Bloom filters name the
     days that may hold a key of the batch; of those only the key columns are read.
-    Rows without a key are always new.
+    Rows without a key are always new.  With ``decided`` the batch is what ``new_rows``
+    has just found to be new for the table's only writer: it is appended as it is.
     """
+    if decided:
+        append_table(batch, path, column)
+        return
     with scratch(spark) as keep:
         rows = keep(batch, "batch")
         fresh = keep(new_rows(known_rows(spark, path, rows, keys, column), rows, keys, order), "fresh")

@@ -27,6 +27,7 @@ from tidewatch.streaming import rolluplog as LOG
 from tidewatch.streaming.messages import iso
 
 PREDICTION_TOPIC = "churn-predictions"
+NEEDED = ["event_id", "customer_id", "prediction", "probability", "risk_score"]  # without them a prediction is malformed
 
 
 # --- parsing -----------------------------------------------------------------
@@ -166,23 +167,27 @@ def scoring_job(
 
     What is new is decided before anything is stored, and written down in the outbox:
     a batch that is repeated, wherever it was killed, stores and hands over the same rows.
-    A replay under a new checkpoint finds every event known.  ``publish`` also sends the
-    handed-over messages elsewhere, to a broker for instance, at least once.
+    A replay under a new checkpoint finds every event known.  The messages are read back
+    only by a run that repeats a batch; the run that wrote them still has the rows.
+    ``publish`` also sends the handed-over messages elsewhere, to a broker for instance,
+    at least once.
     """
     spark = events.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
         query = query_id(spark)
+        decided: list[DataFrame] = []
         with scratch(spark) as keep:
             def messages() -> DataFrame:
                 rows = keep(stored(scorer(batch)), "scored")
                 known = keyed.known_rows(spark, table, rows, ["event_id"], "predicted_at")
-                return prediction_messages(keyed.new_rows(known, rows, ["event_id"], ["predicted_at"]), f"{query}-{batch_id}")
+                decided.append(keep(keyed.new_rows(known, rows, ["event_id"], ["predicted_at"]), "new"))
+                return prediction_messages(decided[0], f"{query}-{batch_id}")
 
             OUT.hand_over(spark, outbox, query, batch_id, messages)
             sent = OUT.handed_over(spark, outbox, query, batch_id)
-            rows = stored(predictions(parse_predictions(sent)))
-            keyed.insert_table(spark, table, rows, ["event_id"], ["predicted_at"], "predicted_at")
+            rows = decided[0].dropna(subset=NEEDED) if decided else stored(predictions(parse_predictions(sent)))
+            keyed.insert_table(spark, table, rows, ["event_id"], ["predicted_at"], "predicted_at", decided=bool(decided))
             if publish is not None:
                 publish(sent.select("topic", "key", "value"))
 
@@ -204,7 +209,7 @@ def parse_predictions(messages: DataFrame) -> DataFrame:
         for name, kind in kinds.items():
             typed = utc_instant(m[name]) if name == "predicted_at" else m[name].try_cast(kind)
             bad = bad | (m[name].isNotNull() & typed.isNull())
-            if name in ("event_id", "customer_id", "prediction", "probability", "risk_score"):
+            if name in NEEDED:
                 bad = bad | typed.isNull()
             fields.append(typed.alias(name))
         return F.struct(*fields, F.coalesce(bad, F.lit(True)).alias("malformed"))
