@@ -284,6 +284,16 @@ def test_handed_over_files_are_compressed_and_bounded(topic, spark, monkeypatch)
         assert len(files) == 10 and all(f.endswith(".snappy") for f in files) and max(map(files.count, files)) <= 3
 
 
+def test_fits_and_batch_scoring_read_work_copies(spark, folder, monkeypatch):
+    read = {"fit_serving": [], "serve": []}
+    for name, place in (("fit_serving", 0), ("serve", 1)):
+        real = getattr(C, name)
+        monkeypatch.setattr(C, name, lambda *a, _n=name, _p=place, _r=real, **kw: read[_n].extend(a[_p].inputFiles()) or _r(*a, **kw))
+    assert sum(r["scored"] for r in C.stream_score_model(spark, folder).collect()) == predictions(spark, folder).count()
+    assert read["fit_serving"] and read["serve"]
+    assert not [f for files in read.values() for f in files if "orders.parquet" in f or "events.parquet" in f]
+
+
 def test_published_elsewhere(topic, spark):
     got = []
     topic.put(message("a", 1), message("b", 1))

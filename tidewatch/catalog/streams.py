@@ -17,7 +17,7 @@ from tidewatch.plans.fixtures import customer_attributes, customers, predictions
 from tidewatch.schemas import ALERTS as ALERT_SCHEMA
 from tidewatch.schemas import CUSTOMER, TARGET
 from tidewatch.schemas import PREDICTIONS as PREDICTION_SCHEMA
-from tidewatch.session import work_folder
+from tidewatch.session import materialize, work_folder
 from tidewatch.sources import keyed
 from tidewatch.streaming import jobs as J
 from tidewatch.streaming import messages as MSG
@@ -423,16 +423,17 @@ def stream_score_model(spark, folder):
 
     Every event is scored once, and as the same version scores it in batch.
     """
-    train = customers(spark, folder).dropna(subset=["Age", "Gender"])
+    # Every fit goes over its rows several times.
+    train = materialize(customers(spark, folder).dropna(subset=["Age", "Gender"]), "train")
     root = work_folder(spark, "model-stream")
     scorer, messages = J.StoredModel(spark, root), event_messages(spark, folder)
     at = F.col("timestamp")
     for version, iterations, part in zip(_VERSIONS, (5, 50), (at < _CUTS[0], at >= _CUTS[0]), strict=True):
         save_model(fit_serving(train, logistic(iterations), TARGET, ["Geography", "Gender"], SCALED), root, version)
-        MSG.publish_files(messages.where(part), f"{root}/topic")
+        MSG.publish_files(messages.where(part), f"{root}/topic", packed=True)
         J.run_available(J.scoring_job(_events(spark, root), scorer, f"{root}/table", f"{root}/outbox", f"{root}/checkpoint"))
     streamed = keyed.read_table(spark, f"{root}/table", spark.createDataFrame([], PREDICTION_SCHEMA))
-    events = J.events(J.parse(messages))
+    events = materialize(J.events(J.parse(messages)).drop("topic", "partition", "offset", "timestamp", "key"), "events")
     batch = union_all([
         J.score(serve(load_model(spark, root, v), events), lambda df: F.col("probability"), version=v) for v in _VERSIONS
     ])
