@@ -108,6 +108,18 @@ def test_sample_is_bounded_and_repeatable(spark, monkeypatch):
     assert a == b
 
 
+def test_every_labelled_url_counts(spark, monkeypatch):
+    rows = spark.range(20500).selectExpr("concat('http://h', id, IF(id % 3 = 0, '.bad/', '.good/')) AS url", "CAST(id % 3 = 0 AS INT) AS blocked")
+    seen, bins = [], []
+    suffixes, learner = url_filter._suffixes, url_filter.GBTClassifier
+    monkeypatch.setattr(url_filter, "_suffixes", lambda rows, rate: seen.append(rows.count()) or suffixes(rows, rate))
+    monkeypatch.setattr(url_filter, "GBTClassifier", lambda **kw: bins.append(kw["maxBins"]) or learner(**kw))
+    fitted = url_filter.train(rows, trees=1, depth=1)
+    assert seen[url_filter.FOLDS] == 20500
+    assert bins[0] ** 2 >= 20500  # thresholds from all rows too
+    assert fitted.rate == pytest.approx(6834 / 20500)
+
+
 def test_one_class_and_empty(spark):
     kind = "url string, blocked int"
     pages = spark.createDataFrame([(1, "http://a.net/x"), (2, None)], "page_id long, url string")

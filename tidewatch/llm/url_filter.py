@@ -6,13 +6,15 @@ one, two or three labels of the host, or the same file suffix, were blocked.  Tr
 rows get these statistics from folds that do not hold them, so that the trees meet them
 as they will on new URLs.
 
-The trees are fitted on a bounded sample of the labelled URLs (``SAMPLE``), chosen by
-hash; the suffix table comes from the same rows and is bounded with them.  Judging reads
-every page once, in built-in functions, without a shuffle.
+Trees, their thresholds and the suffix table come from every distinct labelled URL (a
+``sample`` chosen by hash only if the caller asks for one).  The suffix table grows with
+the labelled URLs, so its joins carry no hint: small ones are broadcast by size, a common
+suffix of a large one is split by adaptive execution.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import materialize
 
-SAMPLE = 20_000  # labelled URLs that the trees are fitted on, chosen by hash
-TASKS = 4  # partitions of the sample
+TASKS = 4  # least partitions of the training rows
+ROWS = 50_000  # training rows of a partition
+BINS = 32  # least candidate thresholds of a feature
 FOLDS = 3
 PRIOR = 4.0  # labelled URLs' worth of the overall rate that each suffix starts with
 
@@ -92,9 +95,10 @@ def described(rows: DataFrame, url: str) -> DataFrame:
 
 
 def _suffixes(rows: DataFrame, rate: float) -> DataFrame:
-    """suffix, rate (drawn towards the overall one), seen."""
-    each = rows.select("blocked", F.explode(F.array(*(f"_{s}" for s in _SUFFIXES))).alias("suffix")).where("suffix IS NOT NULL")
-    return each.groupBy("suffix").agg(
+    """kind, suffix, rate (drawn towards the overall one), seen."""
+    ends = F.array(*(F.struct(F.lit(s).alias("kind"), F.col(f"_{s}").alias("suffix")) for s in _SUFFIXES))
+    each = rows.select("blocked", F.inline(ends)).where("suffix IS NOT NULL")
+    return each.groupBy("kind", "suffix").agg(
         ((F.sum("blocked") + F.lit(PRIOR * rate)) / (F.count("*") + F.lit(PRIOR))).alias("rate"),
         F.log1p(F.count("*").cast("double")).alias("seen"),
     )
@@ -102,9 +106,10 @@ def _suffixes(rows: DataFrame, rate: float) -> DataFrame:
 
 def _with_statistics(rows: DataFrame, suffixes: DataFrame, rate: float) -> DataFrame:
     for s in _SUFFIXES:
-        known = suffixes.select(F.col("suffix").alias(f"_{s}"), F.col("rate").alias(f"rate_{s}"), F.col("seen").alias(f"seen_{s}"))
-        # At most four suffixes for each row of the sample.
-        rows = rows.join(F.broadcast(known), f"_{s}", "left")
+        known = suffixes.where(F.col("kind") == s).select(
+            F.col("suffix").alias(f"_{s}"), F.col("rate").alias(f"rate_{s}"), F.col("seen").alias(f"seen_{s}")
+        )
+        rows = rows.join(known, f"_{s}", "left")
         rows = rows.withColumns({f"rate_{s}": F.coalesce(f"rate_{s}", F.lit(rate)), f"seen_{s}": F.coalesce(f"seen_{s}", F.lit(0.0))})
     return rows
 
@@ -154,10 +159,10 @@ def rule_labels(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url: st
 
 
 def train(
-    labelled: DataFrame, url: str = "url", label: str = "blocked", sample: int = SAMPLE, trees: int = 20, depth: int = 4,
+    labelled: DataFrame, url: str = "url", label: str = "blocked", sample: int | None = None, trees: int = 20, depth: int = 4,
     threshold: float = 0.5, seed: int = 17,
 ) -> Filter:
-    """Fits the trees on at most ``sample`` distinct labelled URLs, chosen by hash.
+    """Fits the trees on all distinct labelled URLs, or on ``sample`` of them, chosen by hash.
 
     Rows with a null URL or another label than 0 and 1 are left out; of several labels
     of a URL the largest counts.  Without rows, or with one class only, there are no
@@ -169,7 +174,9 @@ def train(
     )
     short = described(rows, "url").drop("url")  # numbers and hashes only: rows of bounded size
     short = short.withColumn("_fold", F.expr(f"CAST(pmod(xxhash64(_host), {FOLDS}) AS INT)")).drop("_host")
-    chosen = materialize(short.orderBy("_order", *_LEXICAL, *(f"_{s}" for s in _SUFFIXES)).limit(sample).coalesce(TASKS), "urls")
+    if sample is not None:
+        short = short.orderBy("_order", *_LEXICAL, *(f"_{s}" for s in _SUFFIXES)).limit(sample)
+    chosen = materialize(short, "urls")
     count, blocked = chosen.agg(F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     rate = blocked / count if count else 0.0
     if blocked in (0, count):
@@ -182,8 +189,10 @@ def train(
     for part in parts[1:]:
         table = table.unionByName(part)
     table = VectorAssembler(inputCols=FEATURES, outputCol="_input").transform(table).select("_input", "blocked", "_order")
-    table = materialize(table.repartition(TASKS, "_order").sortWithinPartitions("_order", "blocked").drop("_order"), "urls")
+    tasks = max(TASKS, math.ceil(count / ROWS))
+    table = materialize(table.repartition(tasks, "_order").sortWithinPartitions("_order", "blocked").drop("_order"), "urls")
     learner = GBTClassifier(
         featuresCol="_input", labelCol="blocked", predictionCol="_prediction", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed,
+        maxBins=max(BINS, math.ceil(math.sqrt(count))),  # Spark ML draws a sample of maxBins squared rows for thresholds: here all
     ).setProbabilityCol("_probability").setRawPredictionCol("_raw")
     return Filter(learner.fit(table), materialize(_suffixes(chosen, rate), "suffixes"), rate, threshold)
